@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.covering_simhash import op8_covering_simhash
+from quern.llm.posting_ann import op9_posting_ann
 from quern.llm.repeat_intervals import op5_repeat_intervals
 from quern.llm.secret_battery import op10_secret_battery
 from quern.llm.shard_tree import op3_shard_tree
@@ -10,5 +11,5 @@ from quern.llm.site_templates import op7_site_templates
 from quern.llm.token_store import op2_token_store
 from quern.llm.toxicity_cnn import op4_toxicity_cnn
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op3_shard_tree, op4_toxicity_cnn, op5_repeat_intervals, op7_site_templates, op8_covering_simhash, op10_secret_battery)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op3_shard_tree, op4_toxicity_cnn, op5_repeat_intervals, op7_site_templates, op8_covering_simhash, op9_posting_ann, op10_secret_battery)}
 ORACLES: dict[str, str] = {}

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The input table `name` under `sf_dir`."""
+    """The input table `name` under `sf_dir`. Rows go to Python in batches of few megabytes from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -62,10 +63,14 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], out: str, block
     rows of the blocks before. Rows that agree in all of `order` share a block; nulls hash like a value of their own.
     """
     blocks = blocks or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _numbered(df, groups, F.pmod(F.xxhash64(F.lit("block"), *order), F.lit(blocks)).cast("int"), [F.col(c) for c in order], out)
+
+
+def _numbered(df: DataFrame, groups: list[str], of_block: Column, order: list[Column], out: str) -> DataFrame:
     block, before = fresh(df, "block", "before")
     if out in df.columns:
         raise ValueError(f"the column {out} exists")
-    dealt = df.withColumn(block, F.pmod(F.xxhash64(F.lit("block"), *order), F.lit(blocks)).cast("int"))
+    dealt = df.withColumn(block, of_block)
     counts = dealt.groupBy(*groups, block).agg(F.count(F.lit(1)).alias(before))
     ahead = Window.partitionBy(*groups).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn(before, F.coalesce(F.sum(before).over(ahead), F.lit(0)))
@@ -84,3 +89,15 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], out: str, block
 def unit_draw(*parts: Column) -> Column:
     """A uniform draw in (0, 1), decided by the hash of the parts."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+
+
+def numbered_by(df: DataFrame, groups: list[str], number: str, out: str, blocks: int | None = None) -> DataFrame:
+    """Adds `out`: 0-based row numbers within each combination of `groups`, gapless, in the order of the whole column `number`.
+
+    Like numbered(), with blocks that are equal ranges of `number` over the whole table; null comes first.
+    """
+    blocks = blocks or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ends = df.agg(F.min(number).alias("lo"), F.max(number).alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    width = max(1, -(-(hi - lo + 1) // blocks))
+    return _numbered(df, groups, F.coalesce(F.floor((F.col(number) - lo) / width), F.lit(-1)).cast("int"), [F.asc_nulls_first(number)], out)

@@ -10,7 +10,9 @@ vocabulary allows it, else 32.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +25,82 @@ END_ID = 1
 #: Ids per sequence, and per record batch of sequences.
 LENGTH, BATCH = 2048, 64
 #: Words whose ids are remembered by a task; the memory is emptied when it is full.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 
 
 class WordMemory:
     """Encodes with a tokenizer of the tokenizers library, each whitespace-separated piece once while it is remembered.
 
     Only for tokenizers that split at white space before all else and drop it, as word_bpe_49k does: there, a text's
-    ids are its pieces' ids in a row. Pieces are told apart at space, tab, newline and return alone.
+    ids are its pieces' ids in a row. Pieces are told apart at space, tab, newline and return alone. A piece of letters
+    with one mark after it has the ids of the letters, then the mark's; where the tokenizer lower-cases, ASCII letters
+    are looked up in lower case. Pieces of letters are encoded together, and their ids told apart by the ends of words.
     """
 
     def __init__(self, path: str, dtype: np.dtype):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {"": b""}
+        model = self.tokenizer.model
+        self.ends = None
+        if suffix := getattr(model, "end_of_word_suffix", None):
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
 
     def encode(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
         try:
-            return b"".join([known[p] for p in pieces])
+            return b"".join([self.known[p] for p in pieces])
         except KeyError:
             pass
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        if len(self.known) > WORDS_KEPT:
+            self.known = {"": b""}
+        self._learn(p for p in set(pieces) if p not in self.known)
+        return b"".join([self.known[p] for p in pieces])
+
+    def _learn(self, new: Iterator[str]) -> None:
+        known, split, words, others = self.known, [], set(), set()
+        for p in new:
+            core, tail = (p[:-1], p[-1]) if p[-1] in ".,;:!?" and p[:-1].isalpha() else (p, "")
+            if self.lowers and core.isascii() and core.isalpha():
+                core = core.lower()
+            split.append((p, core, tail))
+            for part in (core, tail):
+                if part not in known:
+                    (words if part.isalpha() else others).add(part)
+        if self.ends is None or not self._words(list(words)):
+            others |= words
+        rest = list(others)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
             known[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return b"".join([known[p] for p in pieces])
+        for p, core, tail in split:
+            known[p] = known[core] + known[tail]
+
+    def _words(self, words: list[str]) -> bool:
+        """Learns pieces of letters; False, and nothing learnt, if their ids don't show where each ends."""
+        if not words:
+            return True
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return False
+        raw, at = ids.astype(self.dtype).tobytes(), 0
+        for w, stop in zip(words, (stops * self.dtype.itemsize).tolist(), strict=True):
+            self.known[w] = raw[at:stop]
+            at = stop
+        return True
+
+
+_MEMORY: dict[tuple[str, str], WordMemory] = {}
+
+
+def _memory(path: str, dtype: np.dtype) -> WordMemory:
+    """The worker's memory, kept from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if (path, dtype.str) not in _MEMORY:
+        _MEMORY[path, dtype.str] = WordMemory(path, dtype)
+    return _MEMORY[path, dtype.str]
 
 
 def _filesystem(uri: str):
@@ -114,7 +164,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH
         task = TaskContext.get()
         shard, attempt = task.partitionId(), task.taskAttemptId()
         name, ids, starts, at = f"{shard:06d}", [], [], 0
-        memory = WordMemory(tokenizer, dtype)
+        memory = _memory(tokenizer, dtype)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -122,9 +172,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH
         def sequences(sink) -> None:
             nonlocal at
             store = _Sequences(sink, dtype, length)
-            for batch in (first, *()):
-                at = _fill(store, batch, memory, end, ids, starts, at)
-            for batch in batches:
+            for batch in chain((first,), batches):
                 at = _fill(store, batch, memory, end, ids, starts, at)
             store.add(b"", last=True)
 

@@ -97,16 +97,15 @@ def _link(radius: int, bucket: int):
                 x = p
             return x
 
-        def send(kind: int, a, b, path, mask) -> pa.RecordBatch:
-            n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x, dtype=np.int64)) for x in (a, b, path, mask))], names=["kind", "a", "b", "path", "mask"])
+        def send(kind: int, a, b, path) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.asarray(x, dtype=np.int64)) for x in (a, b, path))], names=["kind", "a", "b", "path"])
 
         rest, over = None, None  # the last bucket so far; the (path, key) of one that is being passed on
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            path, key, mask, node, fp = cols
+            path, key, node, fp = cols
             if not len(path):
                 continue
             cut = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1])) + 1
@@ -118,20 +117,20 @@ def _link(radius: int, bucket: int):
             rest = [c[last:] for c in cols]
             if len(rest[0]) > bucket:
                 over = (rest[0][0], rest[1][0])
-                yield send(1, rest[3], rest[4], rest[0], rest[2])
+                yield send(1, rest[2], rest[3], rest[0])
                 rest = [c[-1:] for c in rest]  # keeps the bucket's name; its own row has been sent
         if rest is not None and len(rest[0]):
             yield from done(np.array([0, len(rest[0])]), rest, parent, root, send, over)
 
     def done(edges, cols, parent, root, send, over) -> Iterator[pa.RecordBatch]:
-        path, key, mask, node, fp = cols
+        path, key, node, fp = cols
         sizes, found = np.diff(edges), []
         for g in np.flatnonzero(sizes > 1).tolist():
             lo, hi = int(edges[g]), int(edges[g + 1])
             if over == (path[lo], key[lo]):
-                yield send(1, node[lo + 1 : hi], fp[lo + 1 : hi], path[lo + 1 : hi], mask[lo + 1 : hi])
+                yield send(1, node[lo + 1 : hi], fp[lo + 1 : hi], path[lo + 1 : hi])
             elif hi - lo > bucket:
-                yield send(1, node[lo:hi], fp[lo:hi], path[lo:hi], mask[lo:hi])
+                yield send(1, node[lo:hi], fp[lo:hi], path[lo:hi])
             else:
                 nodes = node[lo:hi]
                 for i, j in _forest(fp[lo:hi].view(np.uint64), radius):
@@ -141,7 +140,7 @@ def _link(radius: int, bucket: int):
                         found.append((a, b))
         if found:
             a, b = zip(*found, strict=True)
-            yield send(0, a, b, np.zeros(len(a)), np.zeros(len(a)))
+            yield send(0, a, b, np.zeros(len(a)))
 
     return run
 
@@ -154,19 +153,21 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     until it is small or all bits are fixed, so no pair is lost and no task compares more than bucket^2 pairs at a time.
     """
     kind = F.col("kind").cast("long") if "kind" in nodes.columns else F.lit(0).cast("long")
-    rows = nodes.where(F.col("fp").isNotNull()).select(kind.alias("path"), F.lit(0).cast("long").alias("mask"), "node", "fp")
+    rows = nodes.where(F.col("fp").isNotNull()).select(kind.alias("path"), "node", "fp")
     out, level = [], 0
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        sets = F.explode(F.array(*(F.struct((F.col("path") * 64 + k + 1).alias("path"), F.col("mask").bitwiseOR(F.lit(m)).alias("mask")) for k, m in enumerate(masks(radius, level)))))
-        dealt = rows.select(sets.alias("t"), "node", "fp").select("t.path", F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "t.mask", "node", "fp")
-        n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        limit = bucket if level < 8 else 1 << 62
-        met = dealt.repartition(n, "path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(_link(radius, limit), "kind int, a long, b long, path long, mask long")
+        # a path has a digit of base 512 for each level, and decides the mask, so masks and keys aren't sent along
+        tables = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(masks(radius)) - 1).cast("long")))
+        dealt = rows.select("path", tables.alias("t"), "node", "fp").select((F.col("path") * 512 + F.col("t")).alias("path"), "node", "fp")
+        key = F.col("fp").bitwiseAND(_mask_of(radius, level))
+        limit = bucket if level < 5 else 1 << 62
+        met = dealt.repartition(n, F.col("path"), key).sortWithinPartitions(F.col("path"), key, "fp").select("path", key.alias("key"), "node", "fp").mapInArrow(_link(radius, limit), "kind int, a long, b long, path long")
         got = written(met, f"level{level}")
         out.append(got.where("kind = 0").select("a", "b"))
         if got.where("kind = 1").isEmpty():
             break
-        rows = got.where("kind = 1").select("path", "mask", F.col("a").alias("node"), F.col("b").alias("fp"))
+        rows = got.where("kind = 1").select("path", F.col("a").alias("node"), F.col("b").alias("fp"))
         level += 1
     whole = out[0]
     for x in out[1:]:
@@ -174,6 +175,15 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     return whole
 
 
+def _mask_of(radius: int, level: int):
+    """The mask of a path: all bits that its tables' masks keep."""
+    out = F.lit(0).cast("long")
+    for at in range(level + 1):
+        digit = F.pmod(F.shiftright("path", 9 * (level - at)), F.lit(512)).cast("int") + 1
+        out = out.bitwiseOR(F.element_at(F.array(*(F.lit(m) for m in masks(radius, at))), digit))
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """(key, fp, component_id): the smallest key that is reachable over links of at most `radius` differing bits.
 
@@ -189,6 +199,97 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+#: Fingerprints of words that similar texts are sought by, the smallest shingle hashes that are kept of a text to compare
+#: it, and what their estimate may fall short of the similarity: its standard deviation at 0.8.
+WORD_PRINTS, SKETCH, SLACK = 4, 128, 0.035
+
+
+def word_prints(text: str | None, known: dict[bytes, bytes], prints: int = WORD_PRINTS) -> np.ndarray:
+    """64-bit SimHashes of a text's words, each by hashes of its own; a word weighs the square of its length beyond two letters.
+
+    A text whose words change by a few in a hundred changes few bits, while its shingles change five times as much.
+    """
+    from xxhash import xxh3_64_digest
+
+    parts = (text or "").encode().lower().split()
+    if len(known) > 300_000:
+        known.clear()
+    ones, weight = np.zeros(64 * prints, np.float64), 0.0
+    for k in range(0, len(parts), PIECE):
+        some = parts[k : k + PIECE]
+        for w in set(some):
+            if w not in known:
+                known[w] = b"".join(xxh3_64_digest(w, seed) for seed in range(prints))
+        bits = np.unpackbits(np.frombuffer(b"".join([known[w] for w in some]), np.uint8).reshape(len(some), -1), axis=1)
+        heavy = np.array([len(w) for w in some], np.float32)
+        heavy = np.maximum(heavy - 2, 0.3) ** 2
+        ones += heavy @ bits.astype(np.float32)
+        weight += float(heavy.sum())
+    return np.packbits(ones * 2 > weight).view(">u8").astype(np.uint64)
+
+
+def sketch(text: str | None, words: int = 5, size: int = SKETCH) -> bytes:
+    """The smallest hashes of a text's different shingles, 32 bits of each; of a text with no more shingles than that, all."""
+    low = np.zeros(0, np.uint64)
+    for h in shingle_hashes(text, words):
+        low = np.unique(np.concatenate((low, h)))[:size]
+    return (low >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def resemblance(a: bytes, b: bytes, size: int = SKETCH) -> float:
+    """The Jaccard similarity of two texts' shingles, from their sketches; exact where these hold all shingles."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    least = np.unique(np.concatenate((x, y)))
+    if len(x) == size or len(y) == size:
+        least = least[:size]
+    return 1.0 if not len(least) else float(np.isin(least, x).astype(int) @ np.isin(least, y).astype(int)) / len(least)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+    """(key, node, group_id, copies): rows whose texts are linked by shingle similarity have the same group_id, its smallest key.
+
+    Candidates are texts with a word fingerprint within four bits, found by covering hashing, so the only pairs missed
+    are those whose fingerprints all differ by more; each candidate's similarity is estimated from sketches. Equal
+    texts are one node (xxhash64 of the text; null is empty). Every row comes back; `copies` counts rows of equal key and text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            prints = np.array([word_prints(t, known) for t in texts], np.uint64).reshape(-1, WORD_PRINTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.tolist(), pa.list_(pa.int64())), pa.array([sketch(t, words) for t in texts], pa.binary())], names=[key, "node", "prints", "sketch"])
+
+    rows = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    signed = written(rows.mapInArrow(run, f"{key} long, node long, prints array<long>, sketch binary"), "signatures")
+    nodes = signed.groupBy("node").agg(F.min(F.struct(key, "prints")).alias("x")).select("node", F.col(f"x.{key}").alias("least"), "x.prints")
+    found = links(nodes.select("node", F.posexplode("prints").alias("kind", "fp")), 4, bucket).distinct()
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = written(signed.select("node", key, "sketch").join(ends, "node", "left_semi").join(nodes.select("node", F.col("least").alias("rep")), "node").where(F.col(key).eqNullSafe(F.col("rep"))).select("node", "sketch").dropDuplicates(["node"]), "sketches")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [resemblance(x.as_buffer(), y.as_buffer()) >= similarity - SLACK for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = found.join(met.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(met.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")
+    roots = components(both.mapInArrow(compare, "a long, b long"))
+    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
+    named = rooted.join(names, "root").select("node", "group_id")
+    return signed.groupBy(key, "node").agg(F.count(F.lit(1)).alias("copies")).join(named, "node").select(key, "node", "group_id", "copies")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest key; of repeated rows one. Columns stay as they are."""
+    groups = written(similar_groups(docs, words, similarity, key), "groups")
+    chosen = groups.where(F.col(key).eqNullSafe(F.col("group_id")))
+    # a key that stands with several texts of one group: one of them
+    one = chosen.groupBy("group_id").agg(F.min("node").alias("kept_node"), F.sum("copies").alias("rows")).select(F.col("group_id").alias("kept_key"), "kept_node", "rows")
+    kept = docs.join(one.select("kept_key", "kept_node"), F.col(key).cast("long").eqNullSafe(F.col("kept_key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("kept_node")), "left_semi")
+    return kept if one.where("rows > 1").isEmpty() else kept.dropDuplicates([key])
+
+
 def op8_covering_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     got = near_duplicates(table(spark, sf_dir, "documents"))

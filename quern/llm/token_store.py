@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import shared_dir, table, written
@@ -148,10 +148,10 @@ class _Sequences:
         self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
 
-def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, vocabulary: int = 49_408) -> DataFrame:
+def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, vocabulary: int = 49_408, order: list[Column] | None = None) -> DataFrame:
     """Encodes docs (doc_id, text) into the files under `uri`; returns their manifest: shard, name, n_docs, n_tokens.
 
-    A null text is empty; every document gets at least the end id. Documents of equal doc_id, also null ones (which
+    Documents are written in ascending doc_id order, or in that of the columns `order`. A null text is empty; every document gets at least the end id. Documents of equal doc_id, also null ones (which
     come first), follow one another in the order of their texts. Other columns are ignored. An empty table makes no
     files. The manifest is a table in the shared folder: reading it doesn't encode again.
     """
@@ -186,8 +186,10 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH
         yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(ids)], "n_tokens": [at]}, schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    by = [c.alias(f"order{k}") for k, c in enumerate(order or [F.col("doc_id").cast("long")])]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *by)
+    names = [f"order{k}" for k in range(len(by))]
+    dealt = rows.repartitionByRange(parts, *names).sortWithinPartitions(*names, "text").select("doc_id", "text")
     return written(dealt.mapInArrow(write, "shard int, name string, n_docs long, n_tokens long"), "manifest")
 
 

@@ -34,12 +34,14 @@ def target_parts(counts: DataFrame, weights: dict[str | None, float] | None = No
             w = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(x))).otherwise(w)
         w = F.when(w.isNull(), F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("null"))))).otherwise(w)
     every = Window.partitionBy(F.lit(0))
-    shared = counts.withColumn("w", w).withColumn("n", F.count(F.lit(1)).over(every)).withColumn("exact", F.col("w") / F.sum("w").over(every) * (F.lit(period) - F.col("n")))
+    sized = counts.withColumn("w", w).withColumn("n", F.count(F.lit(1)).over(every)).withColumn("share", F.col("w") / F.sum("w").over(every))
+    # where a source's share is under one slot, each gets one and the rest is dealt by weight
+    shared = sized.withColumn("least", F.when(F.min("share").over(every) * period < 1, 1).otherwise(0)).withColumn("exact", F.col("share") * (F.lit(period) - F.col("n") * F.col("least")))
     if_less = F.raise_error(F.lit("more sources than slots of a period"))
     floor = F.floor("exact")
     rank = F.row_number().over(every.orderBy(F.desc(F.col("exact") - floor), F.asc_nulls_first("source")))
-    left = F.lit(period) - F.col("n") - F.sum(floor).over(every)
-    parts = floor + 1 + F.when(rank <= left, 1).otherwise(0)
+    left = F.lit(period) - F.col("n") * F.col("least") - F.sum(floor).over(every)
+    parts = floor + F.col("least") + F.when(rank <= left, 1).otherwise(0)
     return shared.select("source", "rows", F.when(F.col("n") > period, if_less).otherwise(parts).cast("int").alias("parts"))
 
 
@@ -105,8 +107,10 @@ def op6_pfair_mix(spark, sf_dir: str) -> DataFrame:
 #: The same in DuckDB.
 SQL = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n_rows, sqrt(count(*)) AS w FROM documents GROUP BY source),
-exact AS (SELECT source, n_rows, w / sum(w) OVER () * ({PERIOD} - count(*) OVER ()) AS e, count(*) OVER () AS n FROM counts),
-parts AS (SELECT source, n_rows, floor(e) + 1 + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, source NULLS FIRST) <= {PERIOD} - n - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS p FROM exact),
+shares AS (SELECT source, n_rows, w / sum(w) OVER () AS share, count(*) OVER () AS n FROM counts),
+least AS (SELECT *, CASE WHEN min(share) OVER () * {PERIOD} < 1 THEN 1 ELSE 0 END AS one FROM shares),
+exact AS (SELECT *, share * ({PERIOD} - n * one) AS e FROM least),
+parts AS (SELECT source, n_rows, floor(e) + one + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, source NULLS FIRST) <= {PERIOD} - n * one - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS p FROM exact),
 src AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(n_rows ORDER BY source NULLS FIRST) AS r, list(p::BIGINT ORDER BY source NULLS FIRST) AS p FROM parts),
 edf AS (
   SELECT 0::BIGINT AS t, list_transform(s, lambda x: 0::BIGINT) AS k, NULL::BIGINT AS pick, NULL::BIGINT AS kth, NULL::BIGINT[] AS before FROM src

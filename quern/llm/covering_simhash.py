@@ -249,7 +249,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     """(key, node, group_id, copies): rows whose texts are linked by shingle similarity have the same group_id, its smallest key.
 
     Candidates are texts with a word fingerprint within four bits, found by covering hashing, so the only pairs missed
-    are those whose fingerprints all differ by more; each candidate's similarity is estimated from sketches. Equal
+    are those whose fingerprints all differ by more; each candidate's similarity is exact up to SKETCH
+    shingles and estimated from sketches beyond, where pairs that fall short by less than SLACK are linked too. Equal
     texts are one node (xxhash64 of the text; null is empty). Every row comes back; `copies` counts rows of equal key and text.
     """
 
@@ -269,7 +270,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [resemblance(x.as_buffer(), y.as_buffer()) >= similarity - SLACK for x, y in zip(b.column(2), b.column(3), strict=True)]
+            near = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                whole = max(len(x), len(y)) < 4 * SKETCH
+                near.append(resemblance(x, y) >= similarity - (0 if whole else SLACK))
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = found.join(met.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(met.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import table
 
 #: Labelled rows that training takes at most, chosen by the hash of doc_id.
-TRAIN_ROWS = 9_000
+TRAIN_ROWS = 8_000
 #: Size of embeddings, filters of each width, widths, training texts that a bucket needs, letters of a prefix.
 DIM, FILTERS, WIDTHS, SEEN, PREFIX = 8, 8, (1, 2, 3), 5, 4
 #: Words at a time, so that a text of any length takes bounded memory; words that a task remembers.
@@ -86,23 +86,29 @@ class Model:
     def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
         """The maxima of the filters over each text; pieces of long texts overlap by the widest filter."""
         gap, out = max(WIDTHS) - 1, np.full((len(docs), len(self.out)), -np.inf, np.float32)
-        queue, owners, held = [], [], 0
+        queue, owners, tails, held = [], [], [], 0
 
         def flush() -> None:
             nonlocal held
             if queue:
                 starts = np.concatenate(([0], np.cumsum([len(q) for q in queue])[:-1]))
-                best = np.maximum.reduceat(self.responses(np.concatenate(queue)), starts, axis=0)
+                got = self.responses(np.concatenate(queue))
+                for end in tails:
+                    got[end - gap : end] = -np.inf  # the next piece has these positions
+                best = np.maximum.reduceat(got, starts, axis=0)
                 np.maximum.at(out, owners, best)
-            queue.clear(), owners.clear()
+            queue.clear(), owners.clear(), tails.clear()
             held = 0
 
         pad = np.zeros((gap, 2), np.int32)
         for d, ids in enumerate(docs):
             for k in range(0, max(1, len(ids)), PIECE):
-                queue.append(np.concatenate((ids[k : k + PIECE + gap], pad)))
+                last = k + PIECE >= len(ids)
+                queue.append(np.concatenate((ids[k : k + PIECE], pad)) if last else ids[k : k + PIECE + gap])
                 owners.append(d)
                 held += len(queue[-1])
+                if not last:
+                    tails.append(held)
                 if held > PIECE:
                     flush()
         flush()
@@ -135,18 +141,15 @@ def language(words: list[str]) -> str:
     return best if counts[best] else ""
 
 
-def _rows(texts: list[set[int]], y: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
-    """Rows for the buckets seen in enough texts, and each one's log-odds between the classes."""
-    ones, all_ = {}, {}
-    for s, t in zip(texts, y.tolist(), strict=True):
-        for b in s:
-            all_[b] = all_.get(b, 0) + 1
-            if t:
-                ones[b] = ones.get(b, 0) + 1
-    kept, n1, n0 = sorted(b for b, n in all_.items() if n >= SEEN), y.sum(), len(y) - y.sum()
-    a = np.array([ones.get(b, 0) for b in kept], float)
-    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((np.array([all_[b] for b in kept]) - a + 0.5) / (n0 + 1))
-    return {b: k + 1 for k, b in enumerate(kept)}, np.concatenate(([0.0], odds))
+def _rows(buckets: list[np.ndarray], y: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
+    """Rows for the buckets seen in enough texts, and each one's log-odds between the classes. buckets: each text's, without repeats."""
+    flat, owner = np.concatenate(buckets), np.repeat(y, [len(b) for b in buckets])
+    names, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    ones = np.bincount(at, weights=owner, minlength=len(names))
+    kept = np.flatnonzero(counts >= SEEN)
+    a, n, n1, n0 = ones[kept], counts[kept], y.sum(), len(y) - y.sum()
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((n - a + 0.5) / (n0 + 1))
+    return {b: k + 1 for k, b in enumerate(names[kept].tolist())}, np.concatenate(([0.0], odds))
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
@@ -164,12 +167,17 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 4, batch: in
     if not len(y) or y.min() == y.max():
         model.limit = 0.0 if not len(y) or y.max() == 0 else -8.0
         return model
-    parts = [words_of(t) for t in texts]
+    # words are read from a text when they are needed: lists of all texts' words would fill the driver
     tuned = rng.random(len(y)) < 0.25
     fit = np.flatnonzero(~tuned) if 0 < y[~tuned].sum() < (~tuned).sum() else np.arange(len(y))
-    sets = [({_bucket(w) for w in set(parts[i])}, {_bucket("^" + w[:PREFIX]) for w in set(parts[i])}) for i in fit]
-    model.word_rows, word_odds = _rows([s[0] for s in sets], y[fit])
-    model.prefix_rows, prefix_odds = _rows([s[1] for s in sets], y[fit])
+    word_buckets, prefix_buckets = [], []
+    for i in fit:
+        own = set(words_of(texts[i]))
+        word_buckets.append(np.unique(np.array([_bucket(w) for w in own], np.int64)))
+        prefix_buckets.append(np.unique(np.array([_bucket("^" + p) for p in {w[:PREFIX] for w in own}], np.int64)))
+    model.word_rows, word_odds = _rows(word_buckets, y[fit])
+    model.prefix_rows, prefix_odds = _rows(prefix_buckets, y[fit])
+    del word_buckets, prefix_buckets
     for name, odds in (("words", word_odds), ("prefixes", prefix_odds)):
         rows = rng.normal(0, 0.02, (len(odds), DIM)).astype(np.float32)
         rows[:, 0] += np.clip(odds, -4, 8) / 4
@@ -180,7 +188,14 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 4, batch: in
         c[0, 0, :] += 0.5
     model.out[:] = 4.0 / len(model.out)
     known: dict[str, tuple[int, int]] = {}
-    ids = [model.ids(p, known) for p in parts]
+    ids, spoken = [], []
+    for t in texts:
+        words = words_of(t)
+        if len(known) > 50_000:
+            known.clear()
+        ids.append(model.ids(words, known))
+        spoken.append(language(words))
+    known.clear()
     gap, pad = max(WIDTHS) - 1, np.zeros((max(WIDTHS) - 1, 2), np.int32)
     heavy = np.where(y == 1, min(8.0, (len(y) - y.sum()) / y.sum()), 1.0)
     weights = [model.words, model.prefixes, *model.filters, model.bias, model.out]
@@ -224,7 +239,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 4, batch: in
     check = np.flatnonzero(tuned) if 0 < y[tuned].sum() < tuned.sum() else fit
     z = model.raw([ids[i] for i in check])
     model.limit = _threshold(z, y[check])
-    spoken = np.array([language(parts[i]) for i in check])
+    spoken = np.array(spoken)[check]
     for name in FUNCTION_WORDS:
         mine = spoken == name
         if y[check][mine].sum() >= 20 and (1 - y[check][mine]).sum() >= 20:
@@ -238,13 +253,15 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "
     This bound is the sample that training takes; ids without a text, texts without a label and null labels are left
     out, and of a repeated id the greatest label and text count.
     """
-    order = F.xxhash64(F.lit("train"), "doc_id")
+    drawn = F.xxhash64(F.lit("train"), "doc_id")
     ids = labels.where(F.col(target).isNotNull() & usable).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    picked = ids.orderBy(order, "doc_id").limit(rows)
+    picked = ids.orderBy(drawn, "doc_id").limit(rows)
     # at most `rows` rows of two numbers: a bounded broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).toArrow().to_pydict()
-    ranked = sorted(zip(got["doc_id"], got["text"], got["y"], strict=True), key=lambda r: zlib.crc32(str(r[0]).encode()))
-    return [r[1] for r in ranked], [r[2] for r in ranked]
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).toArrow()
+    ids = got.column("doc_id").to_pylist()
+    order = pa.array(sorted(range(len(ids)), key=lambda k: zlib.crc32(str(ids[k]).encode())), pa.int64())
+    got = got.take(order)
+    return got.column("text").to_pylist(), got.column("y").to_pylist()
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:

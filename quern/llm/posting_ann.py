@@ -25,7 +25,7 @@ from quern.llm.common import table, written
 #: Vectors that the clustering reads at most, chosen by the hash of their id; centroids at most, else the root of their number.
 SAMPLE, CENTROIDS = 40_000, 4096
 #: Sampled vectors that tell a query how large a score it needs at least: what they leave out can't be among its nearest.
-PILOTS = 2048
+PILOTS = 8192
 #: Replicas: lists of a vector at most, and the ratio of squared distances within which it is replicated.
 REPLICAS, CLOSURE = 2, 1.15
 #: Search: lists that are read at least, the share of lists that is read at most, and the ratio of squared distances within which they are read.

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import bound
+
 #: Longest clause that is kept whole, window, step and shortest chunk of the legal chunker, in characters.
 CLAUSE, WINDOW, STEP, SHORTEST = 512, 512, 462, 20
 #: Words of a packed chunk, and of an oversize chunk's windows with what they share.
@@ -46,7 +48,7 @@ def paragraphs(text: Column, separator: str = r"\n\s*\n") -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences after . ! ? or at line ends, trimmed, none empty."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+", -1), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+", -1), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def windows(text: Column, size: int = WINDOW, step: int = STEP) -> Column:
@@ -105,26 +107,27 @@ def plain_chunks(text: Column) -> Column:
 
 def markdown_sections(text: Column) -> Column:
     """Sections (header, body): each begins at a heading line; lines before the first are a section without header. Headings in fences aren't."""
-    start = F.struct(F.lit(False).alias("fence"), F.array().cast("array<struct<header:string,body:string>>").alias("out"))
+    start = F.struct(F.lit(False).alias("fence"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("heads"))
 
     def step(acc: Column, line: Column) -> Column:
-        mark = line.rlike(r"^\s*```")
-        head = ~acc["fence"] & line.rlike(r"^#{1,6}\s+\S")
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        grown = F.struct(last["header"].alias("header"), F.concat(last["body"], F.lit("\n"), line).alias("body"))
-        title = F.struct(F.regexp_replace(line, r"^#{1,6}\s+", "").alias("header"), line.alias("body"))
-        lead = F.struct(F.lit(None).cast("string").alias("header"), line.alias("body"))
-        out = F.when(head, F.array_append(acc["out"], title)).when(F.size(acc["out"]) == 0, F.array(lead)).otherwise(F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(grown)))
-        return F.struct((acc["fence"] != mark).alias("fence"), out.alias("out"))
+        head = ~acc["fence"] & line.rlike(r"^#{1,6}\s+\S") & (acc["i"] > 0)
+        return F.struct((acc["fence"] != line.rlike(r"^\s*```")).alias("fence"), (acc["i"] + 1).alias("i"), F.when(head, F.array_append(acc["heads"], acc["i"])).otherwise(acc["heads"]).alias("heads"))
+
+    def cut(lines: Column) -> Column:
+        def section(heads: Column) -> Column:
+            body = lambda at, k: F.array_join(F.slice(lines, at + 1, F.coalesce(F.get(heads, k + 1), F.size(lines)) - at), "\n")
+            title = lambda at: F.when(F.get(lines, at).rlike(r"^#{1,6}\s+\S"), F.regexp_replace(F.get(lines, at), r"^#{1,6}\s+", ""))
+            return F.transform(heads, lambda at, k: F.struct(title(at).alias("header"), F.regexp_replace(body(at, k), r"^\s+|\s+$", "").alias("body")))
+
+        return bound(F.aggregate(lines, start, step)["heads"], section)
 
-    trimmed = F.transform(F.aggregate(F.split(text, "\n", -1), start, step)["out"], lambda s: F.struct(s["header"].alias("header"), F.regexp_replace(s["body"], r"^\s+|\s+$", "").alias("body")))
-    return F.filter(trimmed, lambda s: s["body"] != "")
+    return F.filter(bound(F.split(text, "\n", -1), cut), lambda s: s["body"] != "")
 
 
 def sentence_chunks(text: Column, most: int = 100) -> Column:
     """Sentences packed to `most` words with spaces; a longer sentence is cut at , ; : first."""
     whole = sentences(text)
-    pieces = F.flatten(F.transform(whole, lambda s: F.when(F.size(F.split(s, r"\s+")) > most, F.filter(F.transform(F.split(s, r"(?<=[,;:])\s+"), F.trim), lambda p: p != "")).otherwise(F.array(s))))
+    pieces = F.flatten(F.transform(whole, lambda s: F.when(F.size(F.split(s, r"\s+")) > most, F.filter(F.transform(F.split(s, r"(?<=[,;:])\s+"), lambda x: F.trim(x)), lambda p: p != "")).otherwise(F.array(s))))
     return packed(pieces, most, " ")
 
 

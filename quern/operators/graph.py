@@ -74,8 +74,8 @@ def query(edges: DataFrame, starts: DataFrame, hops: int, limit: int) -> DataFra
 
 
 def accumulated(edges: DataFrame) -> DataFrame:
-    """a, b, weight, relation of undirected edges (src, dst, relation, ord): 1 and a half more for each repeat; the first relation wins."""
-    return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg((F.lit(1.0) + 0.5 * (F.count(F.lit(1)) - 1)).alias("weight"), F.min_by("relation", "ord").alias("relation"))
+    """a, b, weight, relation of undirected edges (src, dst, relation, ord): 1 and a half more for each repeat; the first relation wins, of equal places the smaller by name."""
+    return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg((F.lit(1.0) + 0.5 * (F.count(F.lit(1)) - 1)).alias("weight"), F.min_by("relation", F.struct("ord", "relation")).alias("relation"))
 
 
 def cooccurrence(links: DataFrame, least: int = 1) -> DataFrame:

@@ -558,7 +558,7 @@ def graph_cooccurrence(spark, sf):
 
 
 @query("""WITH e AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_returnflag AS relation, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
-SELECT least(src, dst) AS a, greatest(src, dst) AS b, (1.0 + 0.5 * (count(*) - 1))::DOUBLE AS weight, arg_min(relation, ord) AS relation FROM e GROUP BY 1, 2""")
+SELECT least(src, dst) AS a, greatest(src, dst) AS b, (1.0 + 0.5 * (count(*) - 1))::DOUBLE AS weight, arg_min(relation, {'o': ord, 'r': relation}) AS relation FROM e GROUP BY 1, 2""")
 def graph_edge_weights(spark, sf):
     li, o, c, s = (read(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
     e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scoring, text, vectors
 from quern.operators import bm25, chunks, evaluate, fusion, graph, ingest, joins, tree
-from quern.session import read
+from quern.session import read, spread
 from quern.sources import readers, sinks
 from quern.streaming import events as streams
 
@@ -144,7 +144,7 @@ def chunk_sentences_packed(spark, sf):
 
 @query(f"WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents) SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t")
 def text_legal_tokens(spark, sf):
-    t = read(spark, sf, "documents").select("doc_id", text.legal_tokens(F.col("text")).alias("t"))
+    t = spread(read(spark, sf, "documents")).select("doc_id", text.legal_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -155,13 +155,13 @@ keywords AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n
 
 @query(f"WITH {_KEYWORDS} SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY r), '') AS keywords FROM documents d LEFT JOIN keywords k USING (doc_id) GROUP BY d.doc_id")
 def text_frequency_keywords(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.array_join(text.frequency_keywords(F.col("text")), ",").alias("keywords"))
+    return spread(read(spark, sf, "documents")).select("doc_id", F.array_join(text.frequency_keywords(F.col("text")), ",").alias("keywords"))
 
 
 @query(rf"""WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents)
 SELECT doc_id, round(greatest(0.0, 1.0::DOUBLE - CASE WHEN len(w) < 20 THEN 0.3 ELSE 0 END - CASE WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / greatest(length(text), 1) < 0.5 THEN 0.2 ELSE 0 END - CASE WHEN len(w) > 0 AND len(list_distinct(w)) / len(w) < 0.3 THEN 0.3 ELSE 0 END), 6)::DOUBLE AS quality FROM w""")
 def text_quality(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.round(text.quality(F.col("text")), 6).alias("quality"))
+    return spread(read(spark, sf, "documents")).select("doc_id", F.round(text.quality(F.col("text")), 6).alias("quality"))
 
 
 _INTENT = _rule("q", text.INTENTS, "factual")
@@ -212,7 +212,7 @@ def text_ngram_overlap(spark, sf):
 
 
 def _index(spark, sf) -> bm25.Index:
-    return bm25.build(read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), text.legal_tokens(F.col("text")).alias("tokens")))
+    return bm25.build(spread(read(spark, sf, "documents")).select(F.col("doc_id").alias("node_id"), text.legal_tokens(F.col("text")).alias("tokens")))
 
 
 def _bm25(spark, sf, k: int) -> DataFrame:
@@ -343,11 +343,10 @@ def _qrels(spark, sf) -> DataFrame:
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     w = F.split("item", r"\s+")
     b = b.withColumn("first", F.array_join(F.slice(w, 1, 6), " "))
-    d = read(spark, sf, "documents").select("doc_id", "text")
-    dw = F.split("text", r"\s+")
+    d = spread(read(spark, sf, "documents")).select("doc_id", "text")
     # a passage may begin inside a word or a word may go on after it, so the six words are met without the first and the last
     inner = b.withColumn("key", F.array_join(F.slice(w, 2, 4), " "))
-    grams = d.select("doc_id", "text", dw.alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.array("w"), lambda a: F.when(F.size(a) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - 3, F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(4)), " "))))))).alias("key"))
+    grams = d.select("doc_id", "text", F.split("text", r"\s+").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.array("w"), lambda a: F.when(F.size(a) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - 3, F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(4)), " "))))))).alias("key"))
     return grams.join(inner, "key").where(F.contains("text", "item")).select("qid", "doc_id").distinct()
 
 
@@ -392,14 +391,14 @@ def sink_submission(spark, sf):
 j AS (SELECT a.doc_id AS id, b.doc_id AS other, len(list_intersect(a.s, b.s)) AS i, a.n + b.n AS n FROM e a JOIN e b ON a.doc_id <> b.doc_id AND a.n >= 0.75 * b.n AND b.n >= 0.75 * a.n)
 SELECT id, other, round(i / (n - i), 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY round(i / (n - i), 6) DESC, other) AS rank FROM j WHERE i / (n - i) >= 0.75 QUALIFY rank <= 5""")
 def join_set_similarity(spark, sf):
-    return joins.set_similarity(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("items")))
+    return joins.set_similarity(spread(read(spark, sf, "documents")).select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("items")))
 
 
 @query(rf"""WITH {_KEYWORDS}, q AS (SELECT conv_id * 1000 + turn AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)}))) AS k FROM conversations),
 a AS (SELECT query_id, len(k) AS n, unnest(k) AS w FROM q)
 SELECT query_id, doc_id AS node_id, count(*) AS hits, round(count(*) / any_value(n), 6) AS score FROM a JOIN keywords USING (w) GROUP BY query_id, doc_id""")
 def join_keyword_matches(spark, sf):
-    index = read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), F.explode(text.frequency_keywords(F.col("text"))).alias("keyword"))
+    index = spread(read(spark, sf, "documents")).select(F.col("doc_id").alias("node_id"), F.explode(text.frequency_keywords(F.col("text"))).alias("keyword"))
     asked = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.query_keywords(F.col("text")).alias("keywords"))
     return joins.keyword_matches(index, asked)
 
@@ -659,7 +658,7 @@ def context_last_turns(spark, sf):
 
 
 def _streamed(spark, sf, plan, mode: str) -> DataFrame:
-    from quern.streaming.store import shared_folder
+    from quern.store import shared_folder
 
     folder = shared_folder(spark)
     schema = read(spark, sf, "events").schema

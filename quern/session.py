@@ -22,3 +22,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def read(spark: SparkSession, sf_dir: str, name: str):
     """The Parquet table `name` of a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """A table of fewer files than there are cores, dealt over all cores before costly work on its rows; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

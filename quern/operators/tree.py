@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quern.functions.vectors import cosine
 
 
+#: Members whose texts make a summary.
+SHOWN = 10
+
+
 def centroids(members: DataFrame) -> DataFrame:
     """cluster, v, size of members (cluster, node_id, v): the mean vector, component by component."""
     parts = members.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -85,3 +89,62 @@ def soft_clusters(nodes: DataFrame, k: int, threshold: float = 0.1, dims: int =
     p = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(small).transform(small).select("node_id", vector_to_array("probability").alias("p"))
     each = p.select("node_id", F.array_max("p").alias("most"), F.posexplode("p").alias("cluster", "p"))
     return each.where((F.col("p") > threshold) | (F.col("p") == F.col("most"))).select("node_id", "cluster", F.round("p", 6).alias("p"))
+
+
+def insert(new: DataFrame, parents: DataFrame, least: float = 0.25) -> DataFrame:
+    """node_id, parent, is_new of new (node_id, v) under parents (parent, v): the most similar parent, else one of its own.
+
+    All new nodes meet the parents as they stood before, so the result doesn't depend on their order. New parents are
+    numbered after the greatest there is, by node_id.
+    """
+    met = best_parents(new, parents, least)
+    top = parents.agg(F.coalesce(F.max("parent"), F.lit(-1)).alias("top"))
+    lone = met.where("parent is null").select("node_id", F.xxhash64("node_id").alias("h"))
+    # numbered by blocks of the id's hash, so that many new parents aren't gathered in one task
+    block = lone.withColumn("b", F.pmod("h", F.lit(64)))
+    ahead = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    base = block.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0)))  # at most 64 rows
+    within = F.row_number().over(Window.partitionBy("b").orderBy("node_id"))
+    numbered = block.withColumn("k", within).join(base.select("b", "base"), "b").join(F.broadcast(top)).select("node_id", (F.col("top") + F.col("base") + F.col("k")).alias("parent"), F.lit(True).alias("is_new"))
+    return met.where("parent is not null").select("node_id", "parent", F.lit(False).alias("is_new")).unionByName(numbered)
+
+
+def merge(nodes: DataFrame) -> DataFrame:
+    """tree_id, old_index, new_index of nodes (tree_id, index): trees one after the other by name, each in the order of its index."""
+    sizes = nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.orderBy("tree_id").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("tree_id", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))  # one row a tree
+    within = F.row_number().over(Window.partitionBy("tree_id").orderBy("index"))
+    return nodes.withColumn("k", within).join(base, "tree_id").select("tree_id", F.col("index").alias("old_index"), (F.col("base") + F.col("k") - 1).alias("new_index"))
+
+
+def build(leaves: DataFrame, summarise, embed, target: int = 75, layers: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a tree over leaves (node_id, text, v): layers of k-means clusters with summaries, until at most `target` nodes.
+
+    summarise and embed are ports. Each layer is written before the next is built. A cluster's summary is made from its
+    `SHOWN` members nearest to the centroid.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from quern.store import materialised
+
+    nodes = layer = materialised(leaves.select("node_id", "text", F.col("v").cast("array<double>").alias("v"), F.lit(0).alias("layer")))
+    edges = None
+    for depth in range(1, layers + 1):
+        n = layer.count()
+        if n <= target or n <= 2:
+            break
+        k = max(2, int(n**0.5))
+        x = layer.select("node_id", "text", "v", array_to_vector("v").alias("features"))
+        labelled = materialised(KMeans(k=k, seed=seed, predictionCol="cluster").fit(x).transform(x).select("node_id", "text", "v", "cluster"))
+        near = nearest_members(labelled, centroids(labelled), SHOWN).join(labelled.select("node_id", "text"), "node_id")
+        joined = near.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]), "\n\n").alias("t"))
+        name = F.concat(F.lit(f"L{depth}_"), F.col("cluster").cast("string"))
+        layer = materialised(joined.select(name.alias("node_id"), summarise(F.col("t")).alias("text")).select("node_id", "text", embed(F.col("text")).alias("v"), F.lit(depth).alias("layer")))
+        more = labelled.select(name.alias("parent"), F.col("node_id").cast("string").alias("child"))
+        nodes = nodes.withColumn("node_id", F.col("node_id").cast("string")).unionByName(layer)
+        edges = more if edges is None else edges.unionByName(more)
+    if edges is None:
+        edges = nodes.sparkSession.createDataFrame([], "parent string, child string")
+    return nodes.withColumn("node_id", F.col("node_id").cast("string")), edges

@@ -8,10 +8,12 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import scoring, text, vectors
+from quern.functions import extract, scoring, text, vectors
 from quern.operators import bm25, chunks, evaluate, fusion, graph, ingest, joins, tree
+from quern.plans import ports, strategies
 from quern.session import read, spread
 from quern.sources import readers, sinks
+from quern.store import shared_folder
 from quern.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -633,17 +635,10 @@ def tree_soft_clusters(spark, sf):
 # routing and context
 
 
-_ROUTES = {"procedural": "hyde,hybrid,adaptive_depth,bm25_hybrid", "relational": "hyde,hybrid,query_decomposition,bm25_hybrid", "troubleshooting": "hyde,incident,bm25_hybrid"}
-_ROUTE_REST = "hyde,multi_query,hybrid,query_decomposition,bm25_hybrid"
-
-
-@query(f"SELECT conv_id, turn, unnest(string_split(CASE WHEN intent = 'troubleshooting' AND urgency > 0.7 THEN 'incident' {' '.join(f"WHEN intent = '{k}' THEN '{v}'" for k, v in _ROUTES.items())} ELSE '{_ROUTE_REST}' END, ',')) AS strategy FROM (SELECT conv_id, turn, {_INTENT} AS intent, {_URGENCY} AS urgency FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations))")
+@query(f"SELECT conv_id, turn, unnest(string_split(CASE WHEN intent = 'troubleshooting' AND urgency > 0.7 THEN 'incident' {' '.join(f"WHEN intent = '{k}' THEN '{','.join(v)}'" for k, v in strategies.ROUTES.items())} ELSE '{','.join(strategies.OTHER_ROUTE)}' END, ',')) AS strategy FROM (SELECT conv_id, turn, {_INTENT} AS intent, {_URGENCY} AS urgency FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations))")
 def route_strategies(spark, sf):
-    q = F.col("text")
-    route = F.when((text.intent(q) == "troubleshooting") & (text.urgency(q) > 0.7), "incident")
-    for name, list_ in _ROUTES.items():
-        route = route.when(text.intent(q) == name, list_)
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.split(route.otherwise(_ROUTE_REST), ",")).alias("strategy"))
+    c = read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), "text")
+    return strategies.routed(c).select("query_id.conv_id", "query_id.turn", "strategy")
 
 
 @query("SELECT conv_id, turn, md5(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), chr(10))) AS context_md5 FROM conversations")
@@ -658,8 +653,6 @@ def context_last_turns(spark, sf):
 
 
 def _streamed(spark, sf, plan, mode: str) -> DataFrame:
-    from quern.store import shared_folder
-
     folder = shared_folder(spark)
     schema = read(spark, sf, "events").schema
     # a folder or a file: the stream reads what the pattern matches
@@ -676,3 +669,149 @@ def stream_usage_counters(spark, sf):
 @query("SELECT event_id, event_type FROM events")
 def stream_without_repeats(spark, sf):
     return _streamed(spark, sf, lambda e: streams.without_repeats(e, "event_id", "ts").select("event_id", "event_type"), "append")
+
+
+@query(rf"""WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents)
+SELECT doc_id, round(greatest(0.0, 1.0::DOUBLE - CASE WHEN len(w) < 20 THEN 0.3 ELSE 0 END - CASE WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / greatest(length(text), 1) < 0.5 THEN 0.2 ELSE 0 END - CASE WHEN len(w) > 0 AND len(list_distinct(w)) / len(w) < 0.3 THEN 0.3 ELSE 0 END), 6)::DOUBLE AS quality FROM w""")
+def stream_analysis(spark, sf):
+    folder = shared_folder(spark)
+    rows = streams.stream(spark, f"{sf}/documents.parque[t]", read(spark, sf, "documents").schema)
+    streams.run_once(rows.select("doc_id", F.round(text.quality(F.col("text")), 6).alias("quality")), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+# extraction
+
+
+@query("SELECT conv_id AS doc_id, 'ARTICLE' AS type, 'Điều ' || (turn + 1) || '.' AS value FROM conversations UNION ALL SELECT conv_id, 'LEGAL_TERM', t FROM (SELECT conv_id, lower(string_agg('Điều ' || (turn + 1) || '. ' || text, ' ' ORDER BY turn)) AS x FROM conversations GROUP BY conv_id), (SELECT unnest([" + _listed(extract.LEGAL_TERMS) + "]) AS t) WHERE contains(x, t)")
+def extract_legal_entities(spark, sf):
+    return _legal_docs(spark, sf).select("doc_id", F.explode(extract.legal_entities(F.col("text"))).alias("e")).select("doc_id", "e.type", "e.value")
+
+
+@query()
+def extract_entities(spark, sf):
+    return spread(read(spark, sf, "pages")).select("page_id", F.explode(extract.entities(text.html_text(F.col("html")))).alias("e")).select("page_id", "e.type", "e.name")
+
+
+@query()
+def extract_metadata(spark, sf):
+    return spread(read(spark, sf, "pages")).select("page_id", extract.metadata(text.html_text(F.col("html"))).alias("m")).select("page_id", "m.document_type", "m.domain", "m.audience", F.size("m.dates").alias("n_dates"), "m.urgency", F.round("m.completeness", 6).alias("completeness"))
+
+
+# strategies
+
+
+def _asked(spark, sf) -> DataFrame:
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _keyword_search(spark, sf, k: int = 50):
+    """Search by BM25, scores as similarities."""
+    index = _index(spark, sf)
+
+    def search(queries: DataFrame) -> DataFrame:
+        tokens = queries.select("query_id", text.legal_tokens(F.col("text")).alias("tokens"))
+        return bm25.top(bm25.scores(index, tokens), k).select("query_id", "node_id", F.round(scoring.bm25_clamped(F.col("score")), 6).alias("score"))
+
+    return search
+
+
+_IMPORTANT = "imp AS (SELECT d.doc_id, d.source, coalesce(0.5 + 0.5 * l.quality, 0.5) AS importance FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _nodes(spark, sf) -> DataFrame:
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "source")
+    q = read(spark, sf, "labels").select(F.col("doc_id").alias("node_id"), "quality")
+    return d.join(q, "node_id", "left").select("node_id", "source", F.coalesce(0.5 + 0.5 * F.col("quality"), F.lit(0.5)).alias("importance"), F.lit(0).alias("layer"))
+
+
+@query(f"""WITH {_DENSE}, {_IMPORTANT}, s AS (SELECT query_id, node_id, round(0.7 * score + 0.3 * importance, 7) AS score FROM dense JOIN imp ON doc_id = node_id WHERE rank <= 50)
+SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 10""")
+def strategy_semantic(spark, sf):
+    met = _dense(spark, sf, 50).join(_nodes(spark, sf), "node_id").select("query_id", "node_id", F.round(scoring.combined_score(F.col("score"), F.col("importance")), 7).alias("score"))
+    return fusion.ranked(met, ["query_id"], [F.desc("score"), F.col("node_id")]).where("rank <= 10")
+
+
+_VARIANTS = rf"""variants2 AS (SELECT item_id AS qid, 0 AS v, text FROM benchmark UNION ALL SELECT item_id, 1, array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})), ' ') FROM benchmark),
+variants AS (SELECT * FROM variants2 UNION ALL SELECT qid, 2, CASE intent {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in strategies.REWORDED.items())} END || text FROM (SELECT item_id, {_INTENT} AS intent FROM (SELECT item_id, lower(text) AS q FROM benchmark)) JOIN variants2 ON qid = item_id AND v = 1 WHERE intent IN ({_listed(strategies.REWORDED)})),
+vasked AS (SELECT qid, v, term, count(*) AS qtf FROM (SELECT qid, v, unnest({_TOKENS}) AS term FROM variants) GROUP BY qid, v, term),
+vall AS (SELECT qid, v, doc_id AS node_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM vasked JOIN terms USING (term) JOIN postings USING (term), stats GROUP BY qid, v, doc_id),
+vtop AS (SELECT qid, v, node_id, round(least(1, score / 10), 6) AS s FROM vall WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid, v ORDER BY score DESC, node_id) <= 50)"""
+
+
+@query(f"WITH {_BM25}, {_VARIANTS} SELECT qid AS query_id, node_id, max(s) AS score FROM vtop GROUP BY qid, node_id")
+def strategy_multi_query(spark, sf):
+    # invented texts have no intent words, so the variants are the text and its keywords
+    return strategies.multi_query(_asked(spark, sf), _keyword_search(spark, sf))
+
+
+@query(f"WITH {_BM25}, {_VARIANTS} SELECT qid AS query_id, node_id, round(least(1.0, max(s) * (1 + 0.2 * (count(*) - 1))), 6) AS score FROM vtop GROUP BY qid, node_id")
+def strategy_decomposition(spark, sf):
+    got = strategies.decomposition(_asked(spark, sf), _keyword_search(spark, sf), strategies.variants(F.col("text")))
+    return got.withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_BM25}, {_VARIANTS}, h AS (SELECT qid, node_id, round(least(1.0, 0.9 * arg_min(s, v) + 0.1 * (count(*) - 1)), 6) AS score FROM vtop GROUP BY qid, node_id)
+SELECT qid AS query_id, node_id, score FROM h UNION ALL SELECT qid, node_id, s FROM vtop WHERE v = 0 AND (qid, node_id) NOT IN (SELECT (qid, node_id) FROM h)""")
+def strategy_hyde(spark, sf):
+    got = strategies.hyde(_asked(spark, sf), _keyword_search(spark, sf), strategies.variants(F.col("text")))
+    return got.select("query_id", "node_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_BM25}, {_KEYWORDS}, k AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})))) AS w FROM benchmark),
+g AS (SELECT DISTINCT query_id, doc_id AS node_id FROM k JOIN keywords USING (w)), u AS (SELECT query_id, node_id, 0.32 AS s FROM g UNION ALL SELECT query_id, node_id, 0.6 * round(least(1, score / 10), 6) FROM bm25 WHERE rank <= 50)
+SELECT query_id, node_id, round(sum(s), 6)::DOUBLE AS score FROM u GROUP BY query_id, node_id""")
+def strategy_hybrid_graph_tree(spark, sf):
+    asked = _asked(spark, sf)
+    index = spread(read(spark, sf, "documents")).select(F.col("doc_id").alias("node_id"), F.explode(text.frequency_keywords(F.col("text"))).alias("keyword"))
+    linked = joins.keyword_matches(index, asked.select("query_id", text.query_keywords(F.col("text")).alias("keywords")))
+    return strategies.hybrid(linked, _keyword_search(spark, sf)(asked))
+
+
+@query()
+def strategy_orchestrated(spark, sf):
+    search = _keyword_search(spark, sf, 30)
+    each = {"hyde": lambda q: strategies.hyde(q, search, strategies.variants(F.col("text"))), "multi_query": lambda q: strategies.multi_query(q, search), "query_decomposition": lambda q: strategies.decomposition(q, search, strategies.sub_queries(F.col("text"))), "bm25_hybrid": search}
+    return strategies.retrieve(_asked(spark, sf), each, _nodes(spark, sf))
+
+
+@query(rf"""WITH {_BM25}, h AS (SELECT b.query_id, b.rank, d.source, d.text, min(b.rank) OVER (PARTITION BY b.query_id, d.source) AS first FROM bm25 b JOIN documents d ON d.doc_id = b.node_id WHERE b.rank <= 10),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS n FROM h)
+SELECT query_id, md5(string_agg('[' || n || '] ' || source || chr(10) || regexp_replace(text, '[
+]+', ' ', 'g'), chr(10) || chr(10) ORDER BY rank)) AS context_md5, count(DISTINCT source)::BIGINT AS n_sources FROM n GROUP BY query_id""")
+def answer_context(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text", "source")
+    got = strategies.cited_context(_bm25(spark, sf, 10), d)
+    return got.select("query_id", F.md5("context").alias("context_md5"), F.size("citations").cast("long").alias("n_sources"))
+
+
+@query()
+def answer_questions(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text", "source")
+    context = strategies.cited_context(_bm25(spark, sf, 3), d)
+    model = ports.Ports()
+    return _asked(spark, sf).join(context, "query_id").select("query_id", model.answer(F.col("text"), F.col("context")).alias("answer"), F.size("citations").alias("n_sources"))
+
+
+# trees again
+
+
+@query(f"""WITH {_CENTERS}, s AS (SELECT vec_id AS node_id, centers.label AS parent, {_COS.format(a='v', b='c')} AS similarity FROM vec, centers), b AS (SELECT node_id, parent FROM s WHERE similarity >= 0.25 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY similarity DESC, parent) = 1)
+SELECT parent::BIGINT AS parent, count(*) AS n FROM b GROUP BY parent UNION ALL SELECT NULL, count(*) FROM vec WHERE vec_id NOT IN (SELECT node_id FROM b) HAVING count(*) > 0""")
+def tree_insert(spark, sf):
+    m = _members(spark, sf)
+    got = tree.insert(m.select("node_id", "v"), tree.centroids(m).select(F.col("cluster").cast("long").alias("parent"), "v"))
+    return got.groupBy(F.when(~F.col("is_new"), F.col("parent")).alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source AS tree_id, doc_id AS old_index, row_number() OVER (ORDER BY source, doc_id) - 1 AS new_index FROM documents")
+def tree_merge(spark, sf):
+    return tree.merge(read(spark, sf, "documents").select(F.col("source").alias("tree_id"), F.col("doc_id").alias("index")))
+
+
+@query()
+def tree_build(spark, sf):
+    model = ports.Ports()
+    leaves = read(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v")).join(read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text"), "node_id")
+    nodes, edges = tree.build(leaves, model.summarise, model.embed)
+    return nodes.join(edges.groupBy(F.col("parent").alias("node_id")).agg(F.count(F.lit(1)).alias("children")), "node_id", "left").select("node_id", "layer", F.coalesce("children", F.lit(0)).alias("children"))

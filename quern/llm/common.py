@@ -61,29 +61,28 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], out: str, block
 
     No group is gathered in one task: each is dealt into `blocks` hash blocks, numbered by themselves and shifted by the
     rows of the blocks before. Rows that agree in all of `order` share a block; nulls hash like a value of their own.
+    The caller picks an `out` that df doesn't have.
     """
     blocks = blocks or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return _numbered(df, groups, F.pmod(F.xxhash64(F.lit("block"), *order), F.lit(blocks)).cast("int"), [F.col(c) for c in order], out)
 
 
 def _numbered(df: DataFrame, groups: list[str], of_block: Column, order: list[Column], out: str) -> DataFrame:
-    block, before = fresh(df, "block", "before")
-    if out in df.columns:
-        raise ValueError(f"the column {out} exists")
+    block, before, *others = fresh(df, "block", "before", *(f"{g}_of" for g in groups), "block_of")
     dealt = df.withColumn(block, of_block)
     counts = dealt.groupBy(*groups, block).agg(F.count(F.lit(1)).alias(before))
     ahead = Window.partitionBy(*groups).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn(before, F.coalesce(F.sum(before).over(ahead), F.lit(0)))
     keys = [*groups, block]
-    renamed = shift.select(*(F.col(k).alias(f"{k}__") for k in keys), before)
+    renamed = shift.select(*(F.col(k).alias(o) for k, o in zip(keys, others, strict=True)), before)
     same = None
-    for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"{k}__"))
+    for k, o in zip(keys, others, strict=True):
+        test = F.col(k).eqNullSafe(F.col(o))
         same = test if same is None else same & test
     inside = Window.partitionBy(*keys).orderBy(*order)
     rows = dealt.withColumn(out, F.row_number().over(inside).cast("long") - 1)
     joined = rows.join(renamed, same, "left").withColumn(out, F.col(out) + F.col(before))
-    return joined.drop(block, before, *(f"{k}__" for k in keys))
+    return joined.drop(block, before, *others)
 
 
 def unit_draw(*parts: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, written
+from quern.llm.common import fresh, table, written
 from quern.llm.components import components
 
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
@@ -289,8 +289,9 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     groups = written(similar_groups(docs, words, similarity, key), "groups")
     chosen = groups.where(F.col(key).eqNullSafe(F.col("group_id")))
     # a key that stands with several texts of one group: one of them
-    one = chosen.groupBy("group_id").agg(F.min("node").alias("kept_node"), F.sum("copies").alias("rows")).select(F.col("group_id").alias("kept_key"), "kept_node", "rows")
-    kept = docs.join(one.select("kept_key", "kept_node"), F.col(key).cast("long").eqNullSafe(F.col("kept_key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("kept_node")), "left_semi")
+    k, n = fresh(docs, "kept_key", "kept_node")
+    one = chosen.groupBy("group_id").agg(F.min("node").alias(n), F.sum("copies").alias("rows")).withColumnRenamed("group_id", k)
+    kept = docs.join(one.select(k, n), F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(n)), "left_semi")
     return kept if one.where("rows > 1").isEmpty() else kept.dropDuplicates([key])
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import numbered_by, table
+from quern.llm.common import fresh, numbered_by, table
 
 #: Slots of a period, and rows of a block.
 PERIOD, BLOCK_ROWS = 1000, 16
@@ -73,13 +73,13 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, period:
     Every row is kept once. A source's rows are taken in the order of doc_id (null first; among equal ids in any order),
     `block_rows` to a block; its last block may be smaller. Slots of a source that has run out stay empty, and position
     numbers the rows that are there, from 0 without gaps; until the first source runs out, shares deviate by less than a
-    block. A null source is a source of its own. Columns named like the new ones must not exist.
+    block. A null source is a source of its own. The five new columns come last; one that docs have a namesake of gets
+    an underscore more.
     """
-    new = ("block", "release", "slot", "deadline", "position")
-    if clash := {c.lower() for c in docs.columns} & {*new, "kth", "tau", "row_in_source"}:
-        raise ValueError(f"columns {clash} exist")
+    new = fresh(docs, "block", "release", "slot", "deadline", "position")
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     plan = period_schedule(target_parts(counts, weights, period), period)
+    whole, docs = docs, docs.select(*(F.col(c).alias(f"in_{k}") for k, c in enumerate(docs.columns)), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"))
     plan = plan.select(F.col("source").alias("of"), F.col("kth").alias("kth_"), "tau", "before", "all_rows", "all_parts", "own_parts")
     rows = numbered_by(docs, ["source"], "doc_id", "row_in_source")
     block = F.floor(F.col("row_in_source") / block_rows)
@@ -90,12 +90,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, period:
     turn = F.floor(F.col("block") / F.col("p"))
     ahead = F.zip_with(F.zip_with("before", "all_parts", lambda b, q: b + q * turn), "all_rows", lambda k, n: F.least(n, k * block_rows))
     return met.select(
-        *docs.columns,
-        "block",
-        F.floor(F.col("block") * period / F.col("p")).alias("release"),
-        (turn * period + F.col("tau")).alias("slot"),
-        F.ceil((F.col("block") + 1) * period / F.col("p")).alias("deadline"),
-        (F.aggregate(ahead, F.lit(0).cast("long"), lambda a, x: a + x) + F.pmod(F.col("row_in_source"), F.lit(block_rows))).alias("position"),
+        *(F.col(f"in_{k}").alias(c) for k, c in enumerate(whole.columns)),
+        F.col("block").alias(new[0]),
+        F.floor(F.col("block") * period / F.col("p")).alias(new[1]),
+        (turn * period + F.col("tau")).alias(new[2]),
+        F.ceil((F.col("block") + 1) * period / F.col("p")).alias(new[3]),
+        (F.aggregate(ahead, F.lit(0).cast("long"), lambda a, x: a + x) + F.pmod(F.col("row_in_source"), F.lit(block_rows))).alias(new[4]),
     )
 
 

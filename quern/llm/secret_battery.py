@@ -156,12 +156,10 @@ def with_spans(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFra
     """docs with `secrets`: an array of (start, order, end, kind, text), by start, then by kind as listed.
 
     Kinds: assign, access, hex, and random for the battery's tokens. Starts and ends are in code points, ends exclusive.
-    A null text is empty; every row is kept; where no token is in the corpus the patterns' spans remain. The name
-    `secrets` must be free. The private character U+E000 is read as U+E001.
+    A null text is empty; every row is kept; where no token is in the corpus the patterns' spans remain. If docs have
+    a column `secrets`, the new one, which is the last, gets an underscore more. The private character U+E000 is read as U+E001.
     """
-    if "secrets" in docs.columns:
-        raise ValueError("the column secrets exists")
-    clean, p_assign, p_access, p_hex, p_token, tested = fresh(docs, "clean", "p_assign", "p_access", "p_hex", "p_token", "tested")
+    secrets, clean, p_assign, p_access, p_hex, p_token, tested = fresh(docs, "secrets", "clean", "p_assign", "p_access", "p_hex", "p_token", "tested")
     # each step is a projection of its own, so that what the next one reads more than once is computed once
     cleared = docs.withColumn(clean, F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(OTHER)))
     cut = cleared.withColumn(p_token, marked(F.col(clean), TOKEN))
@@ -178,7 +176,7 @@ def with_spans(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFra
     random = F.transform(F.filter(tested, lambda s: (s["bits"] >= MIN_BITS) & (s["stat"] < limit_of(s))), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("order"), s["end"].alias("end"), F.lit("random").alias("kind"), s["text"].alias("text")))
     all_cut = tests.withColumns({p_assign: marked_assign(F.col(clean)), p_access: marked(F.col(clean), ACCESS), p_hex: marked(F.col(clean), HEX)})
     spans = F.concat(spans_of(F.col(p_assign), "assign", 0, 3), spans_of(F.col(p_access), "access", 1), spans_of(F.col(p_hex), "hex", 2), random)
-    return all_cut.withColumn("secrets", F.array_sort(spans)).select(*docs.columns, "secrets")
+    return all_cut.withColumn(secrets, F.array_sort(spans)).select(*docs.columns, secrets)
 
 
 def joined(spans: Column) -> Column:

@@ -71,25 +71,17 @@ def shard_of(key: list[Column], tree: list[Leaf]) -> Column:
 def assign_shards(docs: DataFrame, tree: list[Leaf], key: str = "doc_id", shard: str = "shard") -> DataFrame:
     """docs with the shard that each row's key decides: a projection, no shuffle.
 
-    Every row is kept, repeated rows and null keys too (nulls share one shard); an empty table stays empty. The new
-    column's name must be free; other columns pass through.
+    Every row is kept, repeated rows and null keys too (nulls share one shard); an empty table stays empty. Other
+    columns pass through; if one has the new column's name, the new one gets an underscore more.
     """
-    if shard in docs.columns:
-        raise ValueError(f"the column {shard} exists")
-    return docs.withColumn(shard, shard_of([F.col(key).cast("string")], tree))
+    return docs.withColumn(fresh(docs, shard)[0], shard_of([F.col(key).cast("string")], tree))
 
 
 def op3_shard_tree(spark, sf_dir: str) -> DataFrame:
     """documents dealt to 8 shards by key, with what a ninth shard would take."""
-    docs = table(spark, sf_dir, "documents")
-    tree = balanced_tree(8)
-    size, crc, grown, slot = fresh(docs, "size", "text_crc32", "grown_shard", "slot")
-    rows = assign_shards(docs, tree).withColumns(
-        {
-            size: F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
-            crc: F.crc32(F.coalesce("text", F.lit(""))),
-            grown: shard_of([F.col("doc_id").cast("string")], grown_tree(tree)),
-        }
-    ).select("doc_id", F.col(size).alias("size"), F.col(crc).alias("text_crc32"), "shard", F.col(grown).alias("grown_shard"))
+    docs, tree = table(spark, sf_dir, "documents").select("doc_id", "text"), balanced_tree(8)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    grown = shard_of([F.col("doc_id").cast("string")], grown_tree(tree))
+    rows = assign_shards(docs, tree).select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "shard", grown.alias("grown_shard"))
     out = numbered(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

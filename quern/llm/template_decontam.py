@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, written
+from quern.llm.common import fresh, table, written
 
 #: Tokens of a window; share of an item's windows that a document must hold.
 WINDOW, COVERAGE = 5, 0.8
@@ -194,8 +194,9 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows that hold an item of the benchmark; their columns and all other rows stay as they are."""
-    found = contaminated(docs, items, **options).select(F.col("doc_id").alias("found_doc"), F.col("text_hash").alias("found_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("found_doc")) & (F.xxhash64("text") == F.col("found_hash"))
+    doc, key = fresh(docs, "found_doc", "found_hash")
+    found = contaminated(docs, items, **options).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(key)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
     return docs.join(found, same, "left_anti")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import fresh, table
 
 #: Labelled rows that training takes at most, chosen by the hash of doc_id.
 TRAIN_ROWS = 8_000
@@ -265,9 +265,11 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """docs with every whole text's score; null and empty texts are scored as texts without words. All rows are kept."""
-    if score in docs.columns:
-        raise ValueError(f"the column {score} exists")
+    """docs with every whole text's score; null and empty texts are scored as texts without words. All rows are kept.
+
+    If docs have a column named like the score, the new one, which is the last, gets an underscore more.
+    """
+    score = fresh(docs, score)[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by TRAIN_ROWS
     at = docs.columns.index("text")
 

@@ -66,8 +66,7 @@ def test_shards(docs, corpus, no_docs):
     assert len(got) == len(corpus)
     assert all(r["grown"] in (r["shard"], 8) for r in got)
     assert shard_tree.assign_shards(no_docs, tree).count() == 0
-    with pytest.raises(ValueError):
-        shard_tree.assign_shards(docs.withColumn("shard", F.lit(1)), tree)
+    assert shard_tree.assign_shards(docs.withColumn("shard", F.lit(1)), tree).columns[-1] == "shard_"
 
 
 def test_weights_move_only_what_changes(spark):
@@ -103,7 +102,7 @@ def test_toxicity_on_held_out_rows(spark, docs, corpus, no_docs):
     scored = {r["doc_id"]: r["score"] for r in toxicity_cnn.toxicity_scores(d, labels).collect()}
     out = [(scored[r[0]] >= 0.7, r[2] == 1) for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
     assert sum(a == b for a, b in out) / len(out) > 0.95
-    odd = toxicity_cnn.toxicity_scores(docs, labels).collect()
+    odd = toxicity_cnn.toxicity_scores(docs.withColumn("score", F.lit("clash")), labels).withColumn("score", F.col("score_")).collect()
     assert len(odd) == len(corpus) and all(0 <= r["score"] <= 1 for r in odd)
     for none in (labels.limit(0), labels.withColumn("toxic", F.lit(0))):
         assert all(r["score"] < 0.7 for r in toxicity_cnn.toxicity_scores(docs, none).collect())
@@ -245,8 +244,9 @@ def test_one_of_each_group_stays(docs, corpus):
             if not u or len(sets[i] & sets[j]) / len(u) >= 0.8:
                 a, b = roots[i], roots[j]
                 roots = [min(a, b) if x in (a, b) else x for x in roots]
-    got = covering_simhash.keep_one(docs)
-    assert got.columns == docs.columns
+    got = covering_simhash.keep_one(docs.withColumn("kept_key", F.lit(1)).withColumn("node", F.lit(2)))
+    assert got.columns == [*docs.columns, "kept_key", "node"]
+    got = got.drop("kept_key", "node")
     kept = got.collect()
     assert len(kept) == len(set(roots))
     assert len({roots[corpus.index(tuple(r))] for r in kept}) == len(kept)
@@ -290,6 +290,7 @@ def test_secrets_against_patterns(spark, docs, corpus, no_docs):
     rows = [*corpus, *((1000 + k, t, None, None, None) for k, t in enumerate(odd))]
     got = secret_battery.with_spans(spark.createDataFrame(rows, DOCS).withColumn("clean", F.lit(1)))
     assert got.columns == [*docs.columns, "clean", "secrets"]
+    assert secret_battery.with_spans(got).columns[-1] == "secrets_"
     found = defaultdict(list)
     for r in got.select("doc_id", "text", secret_battery.joined(F.filter("secrets", lambda s: s["order"] < 3)).alias("s")).collect():
         found[r["doc_id"], r["text"]].append(r["s"])
@@ -347,7 +348,7 @@ def test_decontamination(spark, no_docs):
     text[3] += " A train leaves Rome at 7 with 88 seats and reaches Madrid after 6 hours with 99 guests from Oslo on board now"
     text[4] += " " + " ".join(items[2][1].split()[:12])
     rows = [(k, t, None, None, None) for k, t in text.items()] + [(50, None, None, None, None), (51, "", None, None, None), (0, text[0], None, None, None), (None, items[3][1], None, None, None)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("hash", F.lit(1))
+    docs = spark.createDataFrame(rows, DOCS).withColumn("hash", F.lit(1)).withColumn("found_doc", F.lit(2))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for sieve in (1000, 0):
         got = {(r["doc_id"], r["item_id"]): r["kind"] for r in template_decontam.contaminated(docs, bench, sieve=sieve).collect()}
@@ -375,7 +376,9 @@ def test_mixture_keeps_to_its_weights(spark, docs, corpus, no_docs):
     assert n > 4 * min(supply.values()) / 4 / 0.5 * 0.3
     with pytest.raises(ValueError):
         pfair_mix.mix(docs, {"src0": 0.0})
-    assert pfair_mix.mix(docs).count() == len(corpus)
+    clash = pfair_mix.mix(docs.withColumn("position", F.lit("x")).withColumn("tau", F.lit("y")).withColumn("of", F.lit("z")))
+    assert clash.columns == [*docs.columns, "position", "tau", "of", "block", "release", "slot", "deadline", "position_"]
+    assert sorted(r["position_"] for r in clash.collect()) == list(range(len(corpus)))
     assert pfair_mix.mix(no_docs).count() == 0
 
 

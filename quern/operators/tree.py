@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,3 +150,70 @@ def build(leaves: DataFrame, summarise, embed, target: int = 75, layers: int = 5
     if edges is None:
         edges = nodes.sparkSession.createDataFrame([], "parent string, child string")
     return nodes.withColumn("node_id", F.col("node_id").cast("string")), edges
+
+
+def best_mixture(nodes: DataFrame, most: int, dims: int = 10, seed: int = 224) -> DataFrame:
+    """k, bic of Gaussian mixtures of 1 to `most` parts (at most as many as nodes) on principal components; the least bic is best."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    x = nodes.select(array_to_vector(F.col("v").cast("array<double>")).alias("raw"))
+    n = x.count()
+    small = PCA(k=dims, inputCol="raw", outputCol="features").fit(x).transform(x).select("features").persist()
+    rows = []
+    for k in range(1, min(most, n) + 1):
+        likelihood = GaussianMixture(k=max(2, k), seed=seed, maxIter=20).fit(small).summary.logLikelihood if k > 1 else _one_gaussian(small, n, dims)
+        free = k * (dims + dims * (dims + 1) / 2) + k - 1
+        rows.append((k, round(free * math.log(n) - 2 * likelihood, 3)))
+    small.unpersist()
+    return nodes.sparkSession.createDataFrame(rows, "k long, bic double")
+
+
+def _one_gaussian(points: DataFrame, n: int, dims: int) -> float:
+    """The log likelihood of one Gaussian with the points' mean and covariance."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    v = points.select(vector_to_array("features").alias("v"))
+    cells = [F.covar_pop(F.col("v")[i], F.col("v")[j]).alias(f"c{i}_{j}") for i in range(dims) for j in range(dims)]
+    cov = np.array(list(v.agg(*cells).first())).reshape(dims, dims)
+    return float(-0.5 * n * (dims * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + dims))
+
+
+def recluster(nodes: DataFrame, cluster, tokens: str = "tokens", most: int = 3500, rounds: int = 5) -> DataFrame:
+    """node_id, path: clusters that hold over `most` tokens are clustered again, up to `rounds` times.
+
+    cluster: a function from rows (node_id, v) to (node_id, cluster). Each round clusters the rows of all clusters that
+    are too large, one cluster after the other; a cluster that stays whole is kept.
+    """
+    from quern.store import materialised
+
+    rows = materialised(nodes.withColumn("path", F.lit("")))
+    done = set()
+    for _ in range(rounds):
+        sizes = rows.groupBy("path").agg(F.sum(tokens).alias("t"), F.count(F.lit(1)).alias("n"))
+        large = [r["path"] for r in sizes.where((F.col("t") > most) & (F.col("n") > 1)).collect() if r["path"] not in done]  # as many as there are clusters
+        if not large:
+            break
+        parts = rows.where(~F.col("path").isin(large))
+        for p in large:
+            own = rows.where(F.col("path") == p)
+            got = cluster(own.select("node_id", "v"))
+            if got.select("cluster").distinct().count() < 2:
+                done.add(p)
+            parts = parts.unionByName(own.join(got, "node_id").withColumn("path", F.concat("path", F.lit("/"), F.col("cluster").cast("string")) if p not in done else F.col("path")).drop("cluster"))
+        rows = materialised(parts)
+    return rows.select("node_id", "path")
+
+
+def without_layers_above(nodes: DataFrame, edges: DataFrame, layer: int) -> tuple[DataFrame, DataFrame]:
+    """A tree cut above a layer, ready for build() from there: its nodes, and the edges whose parent stays."""
+    kept = nodes.where(F.col("layer") <= layer)
+    return kept, edges.join(kept.select(F.col("node_id").alias("parent")), "parent", "left_semi")
+
+
+def sliced_children(edges: DataFrame, most: int = 300) -> DataFrame:
+    """edges (parent, child) with parents of over `most` children cut in several: adds `slice`."""
+    order = Window.partitionBy("parent").orderBy("child")
+    return edges.withColumn("slice", F.floor((F.row_number().over(order) - 1) / most).cast("int"))

@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import extract, scoring, text, vectors
-from quern.operators import bm25, chunks, evaluate, fusion, graph, ingest, joins, tree
+from quern.functions import extract, predicates, scoring, text, vectors
+from quern.operators import bm25, chunks, evaluate, fusion, graph, ingest, joins, keywords, tree, vector_index
 from quern.plans import ports, strategies
 from quern.session import read, spread
 from quern.sources import readers, sinks
@@ -815,3 +815,100 @@ def tree_build(spark, sf):
     leaves = read(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v")).join(read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text"), "node_id")
     nodes, edges = tree.build(leaves, model.summarise, model.embed)
     return nodes.join(edges.groupBy(F.col("parent").alias("node_id")).agg(F.count(F.lit(1)).alias("children")), "node_id", "left").select("node_id", "layer", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+# predicates and keywords
+
+
+_NODE = "n AS (SELECT doc_id AS node_id, text, source, CASE doc_id % 5 WHEN 0 THEN 'procedural' WHEN 1 THEN 'contextual' WHEN 2 THEN 'relational' WHEN 3 THEN 'policy' ELSE 'factual' END AS kind, CASE doc_id % 6 WHEN 0 THEN 'archived' WHEN 1 THEN 'deprecated' ELSE 'valid' END AS status, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 200) AS seen_at FROM documents)"
+
+
+def _typed_nodes(spark, sf) -> DataFrame:
+    """Documents as nodes with a type, a status and a time worked out from their id."""
+    i = F.col("doc_id")
+    kind = F.get(F.array(*map(F.lit, ("procedural", "contextual", "relational", "policy", "factual"))), (i % 5).cast("int"))
+    status = F.get(F.array(*map(F.lit, ("archived", "deprecated", "valid", "valid", "valid", "valid"))), (i % 6).cast("int"))
+    return read(spark, sf, "documents").select(i.alias("node_id"), "text", "source", kind.alias("kind"), status.alias("status"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((i % 200).cast("int"))).alias("at"))
+
+
+@query(f"WITH {_NODE} SELECT node_id, status NOT IN ('archived', 'deprecated') AND seen_at > TIMESTAMP '2024-03-01' AS active, floor((epoch(TIMESTAMP '2024-08-01') - epoch(seen_at)) / 86400) > CASE kind WHEN 'procedural' THEN 90 WHEN 'contextual' THEN 1 WHEN 'relational' THEN 30 WHEN 'policy' THEN 180 ELSE 60 END AS stale FROM n")
+def node_status(spark, sf):
+    n = _typed_nodes(spark, sf)
+    return n.select("node_id", predicates.active(F.col("status"), F.col("at"), F.lit("2024-03-01").cast("timestamp")).alias("active"), predicates.stale(F.col("at"), F.col("kind"), F.lit("2024-08-01").cast("timestamp")).alias("stale"))
+
+
+@query(f"WITH {_NODE}, {_KEYWORDS}, k AS (SELECT doc_id, list(w) AS k FROM keywords GROUP BY doc_id) SELECT node_id, len(list_intersect(coalesce(k, []), ['ation', 'ndre', 'ered', 'und', 'les'])) > 0 AS matches FROM n LEFT JOIN k ON doc_id = node_id")
+def node_keyword_matches(spark, sf):
+    wanted = F.array(*map(F.lit, ("ATION", "ndre", "Ered", "und", "les")))
+    return spread(read(spark, sf, "documents")).select(F.col("doc_id").alias("node_id"), F.coalesce(predicates.matches_keywords(text.frequency_keywords(F.col("text")), wanted), F.lit(False)).alias("matches"))
+
+
+@query("SELECT doc_id AS node_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 100")
+def node_sample(spark, sf):
+    return predicates.sampled(read(spark, sf, "documents").select(F.col("doc_id").alias("node_id")), "node_id", 100)
+
+
+@query(f"WITH {_NODE}, l AS (SELECT node_id, text, node_id % 4 AS layer FROM n) SELECT node_id, round(0.5 + 0.1 * layer / 3, 6)::DOUBLE AS explicit, round(0.5 + 0.1 * layer / 3 + 0.1 * least(1.0, length(text) / 500), 6)::DOUBLE AS authority FROM l")
+def node_built_importance(spark, sf):
+    b = predicates.built_importance(F.col("doc_id") % 4, F.lit(3), F.col("text"), F.lit(0))
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), b.alias("b")).select("node_id", F.round("b.explicit", 6).alias("explicit"), F.round("b.authority", 6).alias("authority"))
+
+
+@query(f"""WITH docs AS (SELECT conv_id * 1000 + turn AS node_id, {_TOKENS} AS t FROM conversations), grams AS (SELECT node_id, unnest(list_concat(list_concat(t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END), CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) ELSE [] END)) AS term FROM docs),
+tf AS (SELECT node_id, term, count(*) AS tf FROM grams GROUP BY node_id, term), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM docs)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT node_id, term, tf * idf AS w FROM tf JOIN idf USING (term)), s AS (SELECT node_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY node_id)), 6) AS score FROM w)
+SELECT node_id, term, score, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, term) AS rank FROM s QUALIFY rank <= 10""")
+def keywords_tfidf(spark, sf):
+    c = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node_id"), keywords.ngrams(text.legal_tokens(F.col("text"))).alias("terms"))
+    return keywords.tfidf(c)
+
+
+@query(f"""WITH {_KEYWORDS}, leaf AS (SELECT DISTINCT 'd' || doc_id AS node_id, w AS keyword FROM keywords), up AS (SELECT 's' || source AS node_id, keyword, count(*) AS n FROM leaf JOIN documents ON 'd' || doc_id = node_id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY 's' || source ORDER BY count(*) DESC, keyword) <= 10),
+root AS (SELECT 'root' AS node_id, keyword, count(*) AS n FROM up GROUP BY keyword QUALIFY row_number() OVER (ORDER BY count(*) DESC, keyword) <= 10)
+SELECT node_id, keyword, 1::BIGINT AS n FROM leaf UNION ALL SELECT * FROM up UNION ALL SELECT * FROM root""")
+def keywords_propagated(spark, sf):
+    d = spread(read(spark, sf, "documents"))
+    leaf = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    parent = F.concat(F.lit("s"), "source")
+    own = d.select(leaf.alias("node_id"), F.explode(text.frequency_keywords(F.col("text"))).alias("keyword"))
+    edges = d.select(parent.alias("parent"), leaf.alias("child")).union(d.select(F.lit("root"), parent).distinct())
+    return keywords.propagated(own, edges, 10, 2)
+
+
+# a legal graph and its retrieval
+
+
+@query(f"""WITH {_KEYWORDS}, links AS (SELECT doc_id, w FROM keywords), asked AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})))) AS entity FROM benchmark)
+SELECT query_id, 'd' || doc_id AS node_id, round(count(*) * 0.5, 6)::DOUBLE AS score FROM asked JOIN links ON w = entity GROUP BY query_id, doc_id""")
+def graph_retrieval(spark, sf):
+    d = spread(read(spark, sf, "documents")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), F.explode(text.frequency_keywords(F.col("text"))).alias("w"))
+    entity = F.concat(F.lit("e:"), "w")
+    # entity nodes stand under their value; documents are their neighbours
+    terms = d.select(F.col("w").alias("term"), entity.alias("node_id"), F.col("w").alias("value")).distinct()
+    asked = _asked(spark, sf).select("query_id", F.explode(F.array_distinct(text.query_keywords(F.col("text")))).alias("entity"))
+    return graph.retrieval_scores(terms, d.select(entity.alias("src"), F.col("node_id").alias("dst")), d.select("node_id").distinct(), asked)
+
+
+@query()
+def index_ivf(spark, sf):
+    index = vector_index.build(_vectors(spark, sf))
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("node_id")).join(_vectors(spark, sf), "node_id").select(F.col("node_id").alias("query_id"), "v")
+    return vector_index.search(index, asked, 20)
+
+
+@query()
+def tree_best_mixture(spark, sf):
+    return tree.best_mixture(_members(spark, sf).select("node_id", "v"), 6)
+
+
+# ingestion as one plan
+
+
+@query(rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n+'), lambda x: {_trimmed('x')}), lambda x: x <> '') AS p FROM documents), c AS (SELECT doc_id, i - 1 AS pos, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id, pos) = 1), w AS (SELECT *, {_WORDS} AS w FROM f),
+q AS (SELECT doc_id, pos, text, round(greatest(0.0, 1.0::DOUBLE - CASE WHEN len(w) < 20 THEN 0.3 ELSE 0 END - CASE WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / greatest(length(text), 1) < 0.5 THEN 0.2 ELSE 0 END - CASE WHEN len(w) > 0 AND len(list_distinct(w)) / len(w) < 0.3 THEN 0.3 ELSE 0 END), 6)::DOUBLE AS quality FROM w)
+SELECT doc_id, pos, substring(md5(text), 1, 8) AS chunk_hash, quality FROM q WHERE quality >= 0.6""")
+def ingest_chunks(spark, sf):
+    d = spread(read(spark, sf, "documents")).select("doc_id", "text")
+    got = ingest.process(d, lambda t: chunks.paragraphs(t, r"\n+"), least=0.6)
+    return got.select("doc_id", F.col("pos").cast("long").alias("pos"), F.substring(F.md5("text"), 1, 8).alias("chunk_hash"), F.round("quality", 6).alias("quality"))

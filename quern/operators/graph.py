@@ -102,3 +102,27 @@ def retrieval_scores(terms: DataFrame, edges: DataFrame, documents: DataFrame, q
 def stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """what, kind, n: counts of entities by type and of edges by relation."""
     return entities.groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("entity").alias("what"), "kind", "n").union(edges.groupBy(F.col("relation").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("what"), "kind", "n"))
+
+
+def legal(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of chunks (node_id, text): documents, their entities, and edges between them.
+
+    Edges: `contains` from a document to each entity, weight 1; the relations whose words a text has, between each
+    two of its entities, 1 and a half more for each repeat; `co_occurs` of weight 0.5 between entities that share a word
+    of over two letters, where no relation joins them. A text has few entities, so pairs within it are few.
+    """
+    from quern.functions.extract import legal_entities, legal_relations
+
+    each = chunks.select("node_id", F.posexplode(legal_entities(F.col("text"))).alias("ord", "e"), legal_relations(F.col("text")).alias("relations"))
+    name = F.concat(F.lit("entity_"), F.substring("e.value", 1, 30), F.lit("_"), F.col("e.type"))
+    found = each.select("node_id", "ord", name.alias("entity"), F.col("e.type").alias("type"), F.col("e.value").alias("value"), "relations")
+    entities = found.groupBy("entity").agg(F.min("type").alias("type"), F.min("value").alias("value"))
+    nodes = chunks.select(F.col("node_id").cast("string").alias("id"), F.lit("document").alias("kind"), F.substring("text", 1, 500).alias("value")).union(entities.select("entity", F.lit("entity"), "value"))
+    contains = found.select(F.col("node_id").cast("string").alias("a"), F.col("entity").alias("b"), F.lit("contains").alias("relation"), F.lit(1.0).alias("weight")).distinct()
+    a, b = found.alias("a"), found.alias("b")
+    near = a.join(b, (F.col("a.node_id") == F.col("b.node_id")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.entity").alias("src"), F.col("b.entity").alias("dst"), F.explode("a.relations").alias("relation"), F.col("a.node_id").alias("ord"))
+    related = accumulated(near).select("a", "b", "relation", "weight")
+    words = entities.select("entity", F.explode(F.array_distinct(F.split(F.lower("value"), r"[^\p{L}\p{N}_]+"))).alias("w")).where(F.length("w") > 2)
+    x, y = words.alias("x"), words.alias("y")
+    shared = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.entity") < F.col("y.entity"))).select(F.col("x.entity").alias("a"), F.col("y.entity").alias("b"), F.lit("co_occurs").alias("relation"), F.lit(0.5).alias("weight")).distinct()
+    return nodes, contains.union(related).union(shared.join(related.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "relation", "weight"))

@@ -912,3 +912,38 @@ def ingest_chunks(spark, sf):
     d = spread(read(spark, sf, "documents")).select("doc_id", "text")
     got = ingest.process(d, lambda t: chunks.paragraphs(t, r"\n+"), least=0.6)
     return got.select("doc_id", F.col("pos").cast("long").alias("pos"), F.substring(F.md5("text"), 1, 8).alias("chunk_hash"), F.round("quality", 6).alias("quality"))
+
+
+# the legal graph, semantic chunks, stateful streams
+
+
+_LEGAL_IDS = "ent AS (SELECT conv_id::VARCHAR AS doc, 'entity_Điều ' || (turn + 1) || '._ARTICLE' AS e FROM conversations UNION SELECT conv_id::VARCHAR, 'entity_' || substring(t, 1, 30) || '_LEGAL_TERM' FROM (SELECT conv_id, lower(string_agg('Điều ' || (turn + 1) || '. ' || text, ' ' ORDER BY turn)) AS x FROM conversations GROUP BY conv_id), (SELECT unnest([" + _listed(extract.LEGAL_TERMS) + "]) AS t) WHERE contains(x, t))"
+
+
+@query(f"WITH {_LEGAL_IDS}, arts AS (SELECT DISTINCT e FROM ent WHERE e LIKE '%ARTICLE') SELECT doc AS a, e AS b, 'contains' AS relation, 1.0::DOUBLE AS weight FROM ent UNION ALL SELECT x.e, y.e, 'co_occurs', 0.5 FROM arts x JOIN arts y ON x.e < y.e")
+def graph_legal_edges(spark, sf):
+    # articles share the word "điều"; the invented texts have no relation words
+    return graph.legal(_legal_docs(spark, sf).select(F.col("doc_id").alias("node_id"), "text"))[1]
+
+
+@query()
+def chunk_semantic_cuts(spark, sf):
+    units = spread(read(spark, sf, "documents")).select("doc_id", F.posexplode(chunks.sentences(F.col("text"))).alias("pos", "t"))
+    sized = units.select("doc_id", "pos", F.size(text.words(F.col("t"))).alias("tokens"), ports.hashed_embedding(F.col("t")).alias("v"))
+    return chunks.semantic_cuts(sized).select("doc_id", "pos", "tokens", "cut")
+
+
+@query("SELECT user_id AS node_id, round(sum(value), 6) AS boost FROM (SELECT user_id, value, ts, max(ts) OVER (PARTITION BY user_id) AS newest FROM events) WHERE epoch(ts) > epoch(newest) - 86400 GROUP BY user_id")
+def stream_lasting_boosts(spark, sf):
+    def plan(rows: DataFrame) -> DataFrame:
+        return streams.lasting_boosts(rows.withWatermark("ts", "60 days").select(F.col("user_id").alias("node_id"), F.col("value").alias("boost"), "ts"))
+
+    return _streamed(spark, sf, plan, "update").groupBy("node_id").agg(F.max_by("boost", "batch").alias("boost"))
+
+
+@query("SELECT doc_id % 3 AS tree_id, count(*) AS nodes, max(doc_id % 4)::BIGINT AS layers FROM documents GROUP BY 1")
+def source_trees(spark, sf):
+    path = shared_folder(spark)
+    d = read(spark, sf, "documents").select((F.col("doc_id") % 3).alias("tree_id"), F.col("doc_id").alias("node_id"), "text", (F.col("doc_id") % 4).alias("layer"))
+    sinks.save_tree(d, path)
+    return sinks.list_trees(spark, path).select(F.col("tree_id").cast("long").alias("tree_id"), "nodes", F.col("layers").cast("long").alias("layers"))

@@ -145,3 +145,30 @@ def cited_context(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     whole = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
     cites = F.array_sort(F.array_distinct(F.transform(F.filter("r", lambda x: x["n"].isNotNull()), lambda x: F.struct(x["n"].alias("n"), x["source"].alias("source")))))
     return whole.select("query_id", F.array_join(F.transform("r", lambda x: x["p"]), "\n\n").alias("context"), cites.alias("citations"))
+
+
+#: Least similarity of runbooks and incidents, scores of services and of what they depend on, and how many of these.
+RUNBOOK, INCIDENT, SERVICE, DEPENDENCY, DEPENDENCIES = 0.4, 0.5, 0.7, 0.5, 3
+
+
+def incident_aware(queries: DataFrame, runbooks: DataFrame, incidents: DataFrame, services: DataFrame, dependencies: DataFrame, tree: DataFrame, fallback: DataFrame) -> DataFrame:
+    """query_id, node_id, score, strategy for queries (query_id, text).
+
+    Troubleshooting queries take runbooks and resolved incidents (query_id, node_id, score) that are similar enough,
+    the services they name (query_id, node_id), three of what those depend on (node_id, depends_on), and tree
+    candidates, the first branch winning; other queries take `fallback` candidates.
+    """
+    trouble = queries.where(text.intent(F.col("text")) == "troubleshooting").select("query_id")
+    named = services.select("query_id", "node_id").distinct()
+    deps = named.join(dependencies, "node_id").select("query_id", F.col("depends_on").alias("node_id")).distinct()
+    few = fusion.ranked(deps, ["query_id"], [F.col("node_id")]).where(F.col("rank") <= DEPENDENCIES)
+    branches = [
+        runbooks.where(F.col("score") > RUNBOOK).select("query_id", "node_id", "score", F.lit("runbook").alias("strategy")),
+        incidents.where(F.col("score") > INCIDENT).select("query_id", "node_id", "score", F.lit("incident").alias("strategy")),
+        named.select("query_id", "node_id", F.lit(SERVICE).alias("score"), F.lit("service").alias("strategy")),
+        few.select("query_id", "node_id", F.lit(DEPENDENCY).alias("score"), F.lit("dependency").alias("strategy")),
+        tree.select("query_id", "node_id", "score", F.lit("tree").alias("strategy")),
+    ]
+    met = fusion.union_first([b.join(trouble, "query_id", "left_semi") for b in branches], ["query_id", "node_id"])
+    rest = fallback.join(trouble, "query_id", "left_anti").select("query_id", "node_id", "score", F.lit("hybrid").alias("strategy"))
+    return met.select("query_id", "node_id", "score", "strategy").unionByName(rest)

@@ -24,3 +24,27 @@ def append_pending(todo: DataFrame, done_path: str, key: str, compute) -> None:
 def save_tree(nodes: DataFrame, path: str) -> None:
     """Nodes by tree and layer, so that one tree or layer is read by itself."""
     nodes.write.mode("overwrite").partitionBy("tree_id", "layer").parquet(path)
+
+
+def load_tree(spark, path: str, tree_id: str | None = None, layer: int | None = None) -> DataFrame:
+    """A tree, or all of a forest; tree and layer are partitions, so others' files aren't read."""
+    rows = spark.read.parquet(path)
+    if tree_id is not None:
+        rows = rows.where(F.col("tree_id") == tree_id)
+    return rows if layer is None else rows.where(F.col("layer") == layer)
+
+
+def list_trees(spark, path: str) -> DataFrame:
+    """tree_id, nodes, layers of a forest."""
+    return spark.read.parquet(path).groupBy("tree_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("layer").alias("layers"))
+
+
+def typed_nodes(nodes: DataFrame, boost: float = 0.1) -> DataFrame:
+    """Nodes (tree_id, node_id, text, layer) with knowledge type, content hash and the importance that their layer gives."""
+    from pyspark.sql import Window
+
+    from quern.functions import text
+
+    deepest = F.max("layer").over(Window.partitionBy("tree_id"))
+    up = F.when(deepest > 0, boost * F.col("layer") / deepest).otherwise(0.0)
+    return nodes.select("*", text.knowledge_type(F.col("text"), F.col("layer")).alias("kind"), text.content_hash(F.col("text")).alias("content_hash"), (0.5 + up).alias("importance"))

@@ -28,9 +28,47 @@ def windowed(events: DataFrame, time: str, width: str = "1 day", late: str = "2
 
 
 def run_once(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Writes what is there to a Parquet folder and ends; the checkpoint remembers what was read."""
+    """Writes what is there to a Parquet folder and ends; the checkpoint remembers what was read.
+
+    Complete results replace one another; updates are appended with their `batch`, and the last of a key holds.
+    """
     if mode == "append":
         df.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
         return
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(sink)).trigger(availableNow=True).start()
-    q.awaitTermination()
+
+    def write(rows: DataFrame, batch: int) -> None:
+        if mode == "complete":
+            rows.write.mode("overwrite").parquet(sink)
+        else:
+            rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(sink)
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+def lasting_boosts(events: DataFrame, hours: float = 24.0) -> DataFrame:
+    """node_id, boost of events (node_id, boost, ts) with a watermark on ts: the sum of a node's boosts of the last hours.
+
+    A node's state holds its boosts that still last, and goes when the last of them has.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"node_id": [key[0]], "boost": [0.0]})
+            return
+        times, sizes = state.get if state.exists else ([], [])
+        for b in batches:
+            times, sizes = times + [t.timestamp() for t in b["ts"]], sizes + b["boost"].tolist()
+        newest = max(times)
+        kept = [(t, s) for t, s in zip(times, sizes, strict=True) if t > newest - hours * 3600]
+        state.update(([t for t, _ in kept], [s for _, s in kept]))
+        ends = int((max(t for t, _ in kept) + hours * 3600) * 1000)
+        if ends > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(ends)
+        yield pd.DataFrame({"node_id": [key[0]], "boost": [round(sum(s for _, s in kept), 6)]})
+
+    return events.groupBy("node_id").applyInPandasWithState(run, "node_id long, boost double", "times array<double>, sizes array<double>", "update", GroupStateTimeout.EventTimeTimeout)

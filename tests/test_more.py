@@ -145,3 +145,49 @@ def test_ingestion_plan(spark):
     nodes = spark.createDataFrame([(1, "draft"), (2, "draft"), (3, "draft")], "node_id long, status string")
     events = spark.createDataFrame([(1, "stale", 0.0, 1), (1, "validate", 0.9, 2), (2, "validate", 0.5, 1)], "node_id long, event string, confidence double, at int")
     assert {r["node_id"]: r["status"] for r in ingest.lifecycle(nodes, events).collect()} == {1: "validated", 2: "pending", 3: "draft"}
+
+
+def pages(start, limit):
+    return [(str(k), f"t{k}", "x", "2024-01-01") for k in range(start, min(start + limit, 23))]
+
+
+def test_paged_source(spark):
+    from quern.sources.paged import PagedSource
+
+    reader = PagedSource({"fetch": "test_more:pages", "limit": "5", "pages": "9", "run": "2"}).reader(None)
+    got = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[0] for r in got] == [str(k) for k in range(23)]
+
+
+def test_trees_on_disk(spark, tmp_path):
+    from quern.sources import sinks
+
+    nodes = spark.createDataFrame([("a", 1, "must do", 0), ("a", 2, "steps", 1), ("b", 1, "x", 0)], "tree_id string, node_id long, text string, layer int")
+    sinks.save_tree(nodes, str(tmp_path))
+    assert sinks.load_tree(spark, str(tmp_path), "a", 1).count() == 1
+    assert {tuple(r) for r in sinks.list_trees(spark, str(tmp_path)).collect()} == {("a", 2, 1), ("b", 1, 0)}
+    got = {(r["tree_id"], r["node_id"]): (r["kind"], r["importance"]) for r in sinks.typed_nodes(nodes).collect()}
+    assert got == {("a", 1): ("policy", 0.5), ("a", 2): ("procedural", 0.6), ("b", 1): ("factual", 0.5)}
+
+
+def test_legal_graph(spark):
+    from quern.operators import graph
+
+    chunks = spark.createDataFrame([(1, "Điều 1. sửa đổi Điều 2."), (2, "Điều 1. sửa đổi Điều 2."), (3, "none")], "node_id long, text string")
+    nodes, edges = graph.legal(chunks)
+    assert nodes.count() == 5
+    got = {(r["a"], r["b"], r["relation"]): r["weight"] for r in edges.collect()}
+    assert got["entity_Điều 1._ARTICLE", "entity_Điều 2._ARTICLE", "AMENDS"] == 1.5 and sum(k[2] == "contains" for k in got) == 4 and not any(k[2] == "co_occurs" for k in got)
+
+
+def test_incident_aware(spark):
+    q = spark.createDataFrame([(1, "error in auth"), (2, "plain")], "query_id long, text string")
+    hit = lambda *rows: spark.createDataFrame(list(rows), "query_id long, node_id long, score double")
+    got = strategies.incident_aware(q, hit((1, 10, 0.5), (1, 11, 0.3)), hit((1, 10, 0.9)), hit((1, 20, 1.0)), spark.createDataFrame([(20, 30 + k) for k in range(5)], "node_id long, depends_on long"), hit((1, 11, 0.2)), hit((1, 99, 0.9), (2, 98, 0.8)))
+    assert {(r["query_id"], r["node_id"]): (r["score"], r["strategy"]) for r in got.collect()} == {(1, 10): (0.5, "runbook"), (1, 20): (0.7, "service"), (1, 30): (0.5, "dependency"), (1, 31): (0.5, "dependency"), (1, 32): (0.5, "dependency"), (1, 11): (0.2, "tree"), (2, 98): (0.8, "hybrid")}
+
+
+def test_keyword_candidates(spark):
+    rows = spark.createDataFrame([(1, "Auth API", "tfidf", 5, True), (1, "auth api", "entity", 1, False), (1, "thing", "tfidf", 1, False)], "node_id long, keyword string, origin string, tf int, in_title boolean")
+    best = keywords.scored_candidates(rows).where("rank = 1").first()
+    assert best["keyword"] == "Auth API" and best["score"] == pytest.approx(0.3 * 2 / 3 + 0.25 + 0.15 + 0.2 + 0.1, abs=1e-6)

@@ -758,7 +758,7 @@ def strategy_hyde(spark, sf):
     return got.select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_BM25}, {_KEYWORDS}, k AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})))) AS w FROM benchmark),
+@query(rf"""WITH {_BM25}, {_KEYWORDS}, k AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})))) AS w FROM benchmark),
 g AS (SELECT DISTINCT query_id, doc_id AS node_id FROM k JOIN keywords USING (w)), u AS (SELECT query_id, node_id, 0.32 AS s FROM g UNION ALL SELECT query_id, node_id, 0.6 * round(least(1, score / 10), 6) FROM bm25 WHERE rank <= 50)
 SELECT query_id, node_id, round(sum(s), 6)::DOUBLE AS score FROM u GROUP BY query_id, node_id""")
 def strategy_hybrid_graph_tree(spark, sf):
@@ -878,7 +878,7 @@ def keywords_propagated(spark, sf):
 # a legal graph and its retrieval
 
 
-@query(f"""WITH {_KEYWORDS}, links AS (SELECT doc_id, w FROM keywords), asked AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})))) AS entity FROM benchmark)
+@query(rf"""WITH {_KEYWORDS}, links AS (SELECT doc_id, w FROM keywords), asked AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})))) AS entity FROM benchmark)
 SELECT query_id, 'd' || doc_id AS node_id, round(count(*) * 0.5, 6)::DOUBLE AS score FROM asked JOIN links ON w = entity GROUP BY query_id, doc_id""")
 def graph_retrieval(spark, sf):
     d = spread(read(spark, sf, "documents")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), F.explode(text.frequency_keywords(F.col("text"))).alias("w"))

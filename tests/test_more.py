@@ -191,3 +191,20 @@ def test_keyword_candidates(spark):
     rows = spark.createDataFrame([(1, "Auth API", "tfidf", 5, True), (1, "auth api", "entity", 1, False), (1, "thing", "tfidf", 1, False)], "node_id long, keyword string, origin string, tf int, in_title boolean")
     best = keywords.scored_candidates(rows).where("rank = 1").first()
     assert best["keyword"] == "Auth API" and best["score"] == pytest.approx(0.3 * 2 / 3 + 0.25 + 0.15 + 0.2 + 0.1, abs=1e-6)
+
+
+def test_ingestion_run(spark):
+    from quern.operators import chunks
+    from quern.plans import ingestion
+
+    words = [f"word{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:38], "other", "more"])), (3, "auth-service calls user-db for " + " ".join(f"new{k}" for k in range(30))), (4, None)], "doc_id long, text string")
+    stored = spark.createDataFrame([(7, " ".join(words), 1), (8, "unrelated text", 1)], "node_id long, text string, version int")
+    got = ingestion.run(docs, stored, chunks.paragraphs)
+    assert sorted(r["decision"] for r in got.decisions.collect()) == ["REPLACE", "SKIP"]
+    rows = {r["node_id"]: (r["text"], r["version"]) for r in got.stored.collect()}
+    assert len(rows) == 3 and rows[7][1] == 2 and rows[7][0].endswith("other more") and rows[8] == ("unrelated text", 1)
+    assert {r["id"] for r in got.entities.collect()} == {"service:auth-service", "service:user-db"}
+    assert {(r["src"], r["relation"], r["dst"]) for r in got.relationships.collect()} == {("auth-service", "calls", "user-db")}
+    log = ingestion.observed(spark.createDataFrame([(1, 0.6), (1, 0.2), (2, 0.1)], "query_id long, score double"), F.lit("2024-01-01").cast("timestamp"))
+    assert {r["query_id"]: r["success"] for r in log.collect()} == {1: True, 2: False}

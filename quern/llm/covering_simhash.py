@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, table, written
+from quern.llm.common import fresh, table, tidied, written
 from quern.llm.components import components
 
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, key: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], names=[key, "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), "text")
-    return rows.mapInArrow(run, f"{key} long, fp long")
+    return rows.mapInArrow(tidied(run), f"{key} long, fp long")
 
 
 def masks(radius: int, level: int = 0, bits: int = 64) -> list[int]:
@@ -162,7 +162,7 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
         dealt = rows.select("path", tables.alias("t"), "node", "fp").select((F.col("path") * 512 + F.col("t")).alias("path"), "node", "fp")
         key = F.col("fp").bitwiseAND(_mask_of(radius, level))
         limit = bucket if level < 5 else 1 << 62
-        met = dealt.repartition(n, F.col("path"), key).sortWithinPartitions(F.col("path"), key, "fp").select("path", key.alias("key"), "node", "fp").mapInArrow(_link(radius, limit), "kind int, a long, b long, path long")
+        met = dealt.repartition(n, F.col("path"), key).sortWithinPartitions(F.col("path"), key, "fp").select("path", key.alias("key"), "node", "fp").mapInArrow(tidied(_link(radius, limit)), "kind int, a long, b long, path long")
         got = written(met, f"level{level}")
         out.append(got.where("kind = 0").select("a", "b"))
         if got.where("kind = 1").isEmpty():
@@ -212,7 +212,7 @@ def word_prints(text: str | None, known: dict[bytes, bytes], prints: int = WORD_
     from xxhash import xxh3_64_digest
 
     parts = (text or "").encode().lower().split()
-    if len(known) > 300_000:
+    if len(known) > 150_000:
         known.clear()
     ones, weight = np.zeros(64 * prints, np.float64), 0.0
     for k in range(0, len(parts), PIECE):
@@ -262,7 +262,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.tolist(), pa.list_(pa.int64())), pa.array([sketch(t, words) for t in texts], pa.binary())], names=[key, "node", "prints", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    signed = written(rows.mapInArrow(run, f"{key} long, node long, prints array<long>, sketch binary"), "signatures")
+    signed = written(rows.mapInArrow(tidied(run), f"{key} long, node long, prints array<long>, sketch binary"), "signatures")
     nodes = signed.groupBy("node").agg(F.min(F.struct(key, "prints")).alias("x")).select("node", F.col(f"x.{key}").alias("least"), "x.prints")
     found = links(nodes.select("node", F.posexplode("prints").alias("kind", "fp")), 4, bucket).distinct()
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -277,7 +277,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = found.join(met.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(met.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")
-    roots = components(both.mapInArrow(compare, "a long, b long"))
+    roots = components(both.mapInArrow(tidied(compare), "a long, b long"))
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
     named = rooted.join(names, "root").select("node", "group_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, written
+from quern.llm.common import table, tidied, written
 
 #: Vectors that the clustering reads at most, chosen by the hash of their id; centroids at most, else the root of their number.
 SAMPLE, CENTROIDS = 40_000, 4096
@@ -238,7 +238,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 got = [(qid[r], ids[v], float((q[r] * x[v]).sum())) for r in range(len(q)) for v in best[r] if ids[v] != qid[r]]
                 yield pa.RecordBatch.from_arrays([pa.array([g[n] for g in got], t) for n, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", key, "score"])
 
-    posts = written(classes.mapInArrow(placed, "list long, id long, ids array<long>, v array<double>"), "postings")
+    posts = written(classes.mapInArrow(tidied(placed), "list long, id long, ids array<long>, v array<double>"), "postings")
     sizes = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n"))  # at most CENTROIDS rows
     blocks = {r["list"]: -(-r["n"] // BLOCK) for r in sizes.collect()}
     many = {c: b for c, b in blocks.items() if b > 1}
@@ -247,7 +247,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         held = F.coalesce(F.create_map(*(F.lit(x) for c, b in many.items() for x in (c, b)))[F.col("list")], F.lit(1))
     dealt = posts.withColumn("block", F.pmod(F.xxhash64("id"), held).cast("int"))
     questions = rows.where("asks").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    asked = questions.mapInArrow(probed, "list long, qid long, q array<double>, floor double").withColumn("block", F.explode(F.sequence(F.lit(0), held - 1)))
+    asked = questions.mapInArrow(tidied(probed), "list long, qid long, q array<double>, floor double").withColumn("block", F.explode(F.sequence(F.lit(0), held - 1)))
 
     def answer(left: Iterator, right: Iterator) -> Iterator:
         import pandas as pd
@@ -286,7 +286,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                     yield f.groupby("query_id", sort=False).head(k)
 
     found = dealt.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(_arrow(answer, key), f"query_id long, {key} long, score double")
-    once = found.union(questions.mapInArrow(piloted, f"query_id long, {key} long, score double")).groupBy("query_id", key).agg(F.max("score").alias("score"))
+    once = found.union(questions.mapInArrow(tidied(piloted), f"query_id long, {key} long, score double")).groupBy("query_id", key).agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", key, "score")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, written
+from quern.llm.common import table, tidied, written
 
 #: A subtree is template if it stands on at least so many pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.3
@@ -223,7 +223,7 @@ def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
                 hosts, hashes = zip(*counts, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(hashes, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "hash", "pages"])
 
-    counted = written(pages.select("url", "html").mapInArrow(run, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages), "subtrees")
+    counted = written(pages.select("url", "html").mapInArrow(tidied(run), "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages), "subtrees")
     all_ = counted.where("hash = 0").select("host", F.col("pages").alias("of"))
     return counted.where("hash != 0").join(all_, "host").where(F.col("pages") >= min_share * F.col("of")).select("host", "hash")
 
@@ -263,10 +263,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             for host, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 known.setdefault(host, []).append(h)
         shared = spark.sparkContext.broadcast(known)
-        return rows.mapInArrow(run(shared), schema)
+        return rows.mapInArrow(tidied(run(shared)), schema)
     by_host = template.groupBy("host").agg(F.collect_set("hash").alias("template"))  # a host's templates are few: each stands on a share of its pages
     host = F.udf(host_of, "string")
-    return rows.withColumn("host", host("url")).join(by_host, "host", "left").select("page_id", "url", "html", F.coalesce("template", F.array().cast("array<long>")).alias("template")).mapInArrow(run(None), schema)
+    return rows.withColumn("host", host("url")).join(by_host, "host", "left").select("page_id", "url", "html", F.coalesce("template", F.array().cast("array<long>")).alias("template")).mapInArrow(tidied(run(None)), schema)
 
 
 def op7_site_templates(spark, sf_dir: str) -> DataFrame:

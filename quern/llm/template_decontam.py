@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, table, written
+from quern.llm.common import fresh, table, tidied, written
 
 #: Tokens of a window; share of an item's windows that a document must hold.
 WINDOW, COVERAGE = 5, 0.8
 #: Windows of the benchmark up to which documents' windows are sieved before the join; beyond it all are joined.
 SIEVE = 2_000_000
 #: Characters of texts that are worked on at a time, and tokens that a task remembers.
-PIECE, TOKENS_KEPT = 1 << 20, 400_000
+PIECE, TOKENS_KEPT = 1 << 20, 200_000
 #: Units, as words or signs, which are placeholders beside a number.
 UNITS = frozenset("% $ € £ ° mm cm m km mg g kg t ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees meter meters metre metres kilometer kilometers kilogram kilograms gram grams liter liters litre litres".split())
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£°.!?\n]")
@@ -136,7 +136,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["hash", "item_id", "at", "size", "of", "slots"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(run, "hash long, item_id long, at int, size int, of int, slots array<string>").distinct()
+    return rows.mapInArrow(tidied(run), "hash long, item_id long, at int, size int, of int, slots array<string>").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, sieve: int = SIEVE) -> DataFrame:
@@ -181,7 +181,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
                 start = stop
 
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    hits = rows.mapInArrow(run, "doc_id long, text_hash long, hash long, pos int, found array<string>").join(bench, "hash")
+    hits = rows.mapInArrow(tidied(run), "doc_id long, text_hash long, hash long, pos int, found array<string>").join(bench, "hash")
     # one alignment of an item in a document: windows at the same distance, whose slots must agree one to one
     pairs = F.zip_with("slots", "found", lambda a, b: F.struct(F.regexp_replace(a, "^\\d+:", "").alias("a"), F.regexp_replace(b, "^\\d+:", "").alias("b")))
     alignment = hits.where(F.size("slots") == F.size("found")).groupBy("doc_id", "text_hash", "item_id", "of", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))

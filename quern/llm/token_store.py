@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_dir, table, written
+from quern.llm.common import KEPT, shared_dir, table, tidied, written
 
 END_ID = 1
 #: Ids per sequence, and per record batch of sequences.
@@ -92,15 +92,17 @@ class WordMemory:
         return True
 
 
-_MEMORY: dict[tuple[str, str], WordMemory] = {}
+#: The name under which workers keep what they have learnt.
+KEEP = "tokens"
 
 
 def _memory(path: str, dtype: np.dtype) -> WordMemory:
     """The worker's memory, kept from task to task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, dtype.str) not in _MEMORY:
-        _MEMORY[path, dtype.str] = WordMemory(path, dtype)
-    return _MEMORY[path, dtype.str]
+    known = KEPT.setdefault(KEEP, {})
+    if (path, dtype.str) not in known:
+        known[path, dtype.str] = WordMemory(path, dtype)
+    return known[path, dtype.str]
 
 
 def _filesystem(uri: str):
@@ -190,7 +192,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *by)
     names = [f"order{k}" for k in range(len(by))]
     dealt = rows.repartitionByRange(parts, *names).sortWithinPartitions(*names, "text").select("doc_id", "text")
-    return written(dealt.mapInArrow(write, "shard int, name string, n_docs long, n_tokens long"), "manifest")
+    return written(dealt.mapInArrow(tidied(write, KEEP), "shard int, name string, n_docs long, n_tokens long"), "manifest")
 
 
 def _fill(store: _Sequences, batch: pa.RecordBatch, memory: WordMemory, end: bytes, ids: list, starts: list, at: int) -> int:
@@ -248,7 +250,7 @@ def read_tokens(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame
                     yield pa.RecordBatch.from_arrays([d.column(0), pa.array(starts + base_), d.column(2), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = base.select("name", "base").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, table
+from quern.llm.common import fresh, table, tidied
 
 #: Labelled rows that training takes at most, chosen by the hash of doc_id.
 TRAIN_ROWS = 8_000
 #: Size of embeddings, filters of each width, widths, training texts that a bucket needs, letters of a prefix.
 DIM, FILTERS, WIDTHS, SEEN, PREFIX = 8, 8, (1, 2, 3), 5, 4
 #: Words at a time, so that a text of any length takes bounded memory; words that a task remembers.
-PIECE, WORDS_KEPT = 1 << 16, 400_000
+PIECE, WORDS_KEPT = 1 << 16, 200_000
 PASS = 0.7
 #: Frequent function words by language, to guess a text's language.
 FUNCTION_WORDS = {
@@ -282,7 +282,7 @@ def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score, DoubleType()))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields]).add(score, DoubleType()))
 
 
 def held_out() -> Column:

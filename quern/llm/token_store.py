@@ -25,7 +25,7 @@ END_ID = 1
 #: Ids per sequence, and per record batch of sequences.
 LENGTH, BATCH = 2048, 64
 #: Words whose ids are remembered by a task; the memory is emptied when it is full.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 700_000
 
 
 class WordMemory:
@@ -250,7 +250,7 @@ def read_tokens(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame
                     yield pa.RecordBatch.from_arrays([d.column(0), pa.array(starts + base_), d.column(2), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = base.select("name", "base").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
-    return spread.mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidied(read, KEEP), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

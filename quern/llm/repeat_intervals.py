@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_dir, table, written
+from quern.llm.common import shared_dir, table, tidied, written
 from quern.llm.winnow import Winnower
 
 LENGTH, ANCHOR = 200, 64
@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             r = picks.runs(texts)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(r.anchor)), b.column(0).take(pa.array(r.text)), b.column(1).take(pa.array(r.text))], names=["a", "k1", "k2"])
 
-    seen = rows.select("k1", "k2", "text").mapInArrow(anchors, "a long, k1 long, k2 long")
+    seen = rows.select("k1", "k2", "text").mapInArrow(tidied(anchors), "a long, k1 long, k2 long")
     twice = written(seen.select("a").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "anchors")
     wanted = seen.join(twice, "a", "left_semi").groupBy("k1", "k2").agg(F.collect_set("a").alias("anchors"))
 
@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 names=["k1", "k2", "doc_id", "n_bytes", "sha256", "text", "runs"],
             )
 
-    met = rows.join(wanted, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "anchors").mapInArrow(runs, "k1 long, k2 long, doc_id long, n_bytes long, sha256 string, text binary, runs array<struct<a:long,u:long,at:long,first:long,stop:long>>")
+    met = rows.join(wanted, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "anchors").mapInArrow(tidied(runs), "k1 long, k2 long, doc_id long, n_bytes long, sha256 string, text binary, runs array<struct<a:long,u:long,at:long,first:long,stop:long>>")
     # written by the key, so that joins by it don't move the texts again
     name = f"quern_{uuid.uuid4().hex}"
     met.write.bucketBy(n, "k1", "k2").option("path", f"{shared_dir(spark)}/texts").saveAsTable(name)
@@ -258,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     found = []
     while True:
         solve, schema = _extents(length, bucket)
-        got = written(cut.repartition(n, "g").sortWithinPartitions("g").mapInArrow(solve, schema), "extents")
+        got = written(cut.repartition(n, "g").sortWithinPartitions("g").mapInArrow(tidied(solve), schema), "extents")
         found.append(got.where("not deferred").select("a", "u", "lo", "hi"))
         if got.where("deferred").isEmpty():
             break
@@ -268,7 +268,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         extents = extents.union(x)
     extents = extents.groupBy("a", "u").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     size = F.col("rep.stop") - F.col("rep.first")
-    kept = kinds.join(extents, ["a", "u"], "left").where("n > 1 or hi is not null").select("a", "u", F.when(F.col("n") > 1, F.lit(0)).otherwise(F.col("lo")).alias("lo"), F.when(F.col("n") > 1, size).otherwise(F.col("hi")).alias("hi"))
+    # written, so that the join below is between two exchanges, of which a large partition of one common run can be split
+    kept = written(kinds.join(extents, ["a", "u"], "left").where("n > 1 or hi is not null").select("a", "u", F.when(F.col("n") > 1, F.lit(0)).otherwise(F.col("lo")).alias("lo"), F.when(F.col("n") > 1, size).otherwise(F.col("hi")).alias("hi")), "kept")
     spans = occ.join(kept, ["a", "u"]).select("k1", "k2", F.struct((F.col("first") + F.col("lo")).alias("from"), (F.col("first") + F.col("hi")).alias("to")).alias("s")).groupBy("k1", "k2").agg(F.collect_list("s").alias("spans"))
     return texts.drop("runs"), spans
 
@@ -301,7 +302,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     both = texts.join(spans, ["k1", "k2"], "left").select("doc_id", "n_bytes", "sha256", "text", "spans")
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.mapInArrow(tidied(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op5_repeat_intervals(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from quern.llm.components import components
 PIECE = 1 << 16
 #: Fingerprints of one bucket that are compared with each other; larger buckets are split by a further set of masks.
 BUCKET = 4096
+#: Closest members that each is linked to, besides the forest, where links are tested further.
+NEAREST = 12
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -72,21 +74,38 @@ def masks(radius: int, level: int = 0, bits: int = 64) -> list[int]:
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect all members within the radius, one for each member after the first of its component."""
-    left, out = np.arange(len(fps)), []
+    """Links that connect all members within the radius: the least spanning forest by differing bits, of equals the first.
+
+    A member is joined by its closest link to those that are joined already, so what similar members have in common
+    isn't left to links between less similar ones.
+    """
+    out, left = [], np.arange(len(fps))
+    gap, of = np.full(len(fps), 65, np.uint8), np.zeros(len(fps), np.int64)
+    at = 0
     while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            at = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
-            if near.any():
-                found, left = left[near].tolist(), left[~near]
-                out += [(at, f) for f in found]
-                front += found
+        left = left[left != at]
+        d = np.bitwise_count(fps[left] ^ fps[at])
+        closer = d < gap[left]
+        gap[left[closer]], of[left[closer]] = d[closer], at
+        at = int(left[np.argmin(gap[left])])
+        if gap[at] <= radius:
+            out.append((int(of[at]), at))
+    return out
+
+
+def _nearest(fps: np.ndarray, radius: int, most: int) -> set[tuple[int, int]]:
+    """Each member's `most` closest within the radius: as many links as members, times a constant."""
+    out = set()
+    for k in range(0, len(fps), 256):
+        d = np.bitwise_count(fps[k : k + 256, None] ^ fps[None])
+        d[np.arange(len(d)), np.arange(k, k + len(d))] = 65
+        best = np.argsort(d, axis=1, kind="stable")[:, :most]
+        row, col = np.nonzero(np.take_along_axis(d, best, 1) <= radius)
+        out |= {(min(i, j), max(i, j)) for i, j in zip((row + k).tolist(), best[row, col].tolist(), strict=True)}
     return out
 
 
-def _link(radius: int, bucket: int):
+def _link(radius: int, bucket: int, across: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (path, key): links of the partition's forest, and the rows of buckets that are too large."""
         parent: dict[int, int] = {}
@@ -133,9 +152,12 @@ def _link(radius: int, bucket: int):
                 yield send(1, node[lo:hi], fp[lo:hi], path[lo:hi])
             else:
                 nodes = node[lo:hi]
-                for i, j in _forest(fp[lo:hi].view(np.uint64), radius):
+                prints = fp[lo:hi].view(np.uint64)
+                for i, j in _forest(prints, radius) if across else sorted({*_forest(prints, radius), *_nearest(prints, radius, NEAREST)}):
                     a, b = int(nodes[i]), int(nodes[j])
-                    if (x := root(a)) != (y := root(b)):
+                    if not across:
+                        found.append((a, b))
+                    elif (x := root(a)) != (y := root(b)):
                         parent[max(x, y)] = min(x, y)
                         found.append((a, b))
         if found:
@@ -145,12 +167,14 @@ def _link(radius: int, bucket: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET, across: bool = True) -> DataFrame:
     """(a, b): links between nodes (node, fp[, kind]) that connect what all pairs within `radius` differing bits connect.
 
     Fingerprints of different `kind` don't meet. Give each fingerprint of a kind once, or as few times as can be. In a
     bucket of up to `bucket` rows every pair is compared; a larger one is dealt again by masks that fix further bits,
     until it is small or all bits are fixed, so no pair is lost and no task compares more than bucket^2 pairs at a time.
+    With `across`, a task sends no link between nodes that its other buckets connect. Without it, for links that are
+    tested further, each bucket's links depend on that bucket alone, and each member is linked to its NEAREST closest too.
     """
     kind = F.col("kind").cast("long") if "kind" in nodes.columns else F.lit(0).cast("long")
     rows = nodes.where(F.col("fp").isNotNull()).select(kind.alias("path"), "node", "fp")
@@ -162,7 +186,7 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
         dealt = rows.select("path", tables.alias("t"), "node", "fp").select((F.col("path") * 512 + F.col("t")).alias("path"), "node", "fp")
         key = F.col("fp").bitwiseAND(_mask_of(radius, level))
         limit = bucket if level < 5 else 1 << 62
-        met = dealt.repartition(n, F.col("path"), key).sortWithinPartitions(F.col("path"), key, "fp").select("path", key.alias("key"), "node", "fp").mapInArrow(tidied(_link(radius, limit)), "kind int, a long, b long, path long")
+        met = dealt.repartition(n, F.col("path"), key).sortWithinPartitions(F.col("path"), key, "fp", "node").select("path", key.alias("key"), "node", "fp").mapInArrow(tidied(_link(radius, limit, across)), "kind int, a long, b long, path long")
         got = written(met, f"level{level}")
         out.append(got.where("kind = 0").select("a", "b"))
         if got.where("kind = 1").isEmpty():
@@ -264,7 +288,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     rows = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
     signed = written(rows.mapInArrow(tidied(run), f"{key} long, node long, prints array<long>, sketch binary"), "signatures")
     nodes = signed.groupBy("node").agg(F.min(F.struct(key, "prints")).alias("x")).select("node", F.col(f"x.{key}").alias("least"), "x.prints")
-    found = links(nodes.select("node", F.posexplode("prints").alias("kind", "fp")), 4, bucket).distinct()
+    found = links(nodes.select("node", F.posexplode("prints").alias("kind", "fp")), 4, bucket, across=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     met = written(signed.select("node", key, "sketch").join(ends, "node", "left_semi").join(nodes.select("node", F.col("least").alias("rep")), "node").where(F.col(key).eqNullSafe(F.col("rep"))).select("node", "sketch").dropDuplicates(["node"]), "sketches")
 

@@ -33,7 +33,9 @@ CONTAINERS = frozenset("div section aside header footer nav ul ol dl table form
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 SCOPES = frozenset("table ul ol dl div section article main body td th".split())
 #: Words in class, id or role that mark what isn't main text.
-MARKED = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion comment comments disqus reply replies respond nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended pagination pager widget complementary contentinfo search login signup toolbar skip hidden".split())
+MARKED = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion comment comments discussion disqus feedback responses reply replies respond nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended pagination pager widget complementary contentinfo search login signup toolbar skip hidden".split())
+#: Of these, words that an article's own parts have too.
+OWN = frozenset("header masthead".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -140,7 +142,8 @@ def _unwanted(x: Element) -> bool:
         return True
     if x.name == "header":
         return not _within(x, ("article", "main"))
-    return bool(x.words & MARKED) and x.name not in ("html", "body", "article", "main")
+    found = x.words & MARKED
+    return bool(found) and x.name not in ("html", "body", "article", "main") and not (found <= OWN and _within(x, ("article", "main")))
 
 
 def _within(x: Element, names: tuple[str, ...]) -> bool:

@@ -320,6 +320,7 @@ def test_main_text(spark):
         ("<main><p>Main</p><aside>no</aside><p hidden>no</p></main><p>outside</p>", "Main"),
         ("<article><p>Same words</p></article>", "Same words"),
         ("<article><p>Same words</p></article>", "Same words"),
+        ("<article><div class='article-header'><h2>Own</h2></div><div id=discussion>no</div><p>x</p></article>", "Own\n\nx"),
         ("", ""),
     ]
     rows = [(k, f"http://h.example/{k}", PAGE.replace("{h}", str(k)).replace("{body}", b)) for k, (b, _) in enumerate(bodies)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, table, tidied, written
+from quern.llm.common import fresh, spread, table, tidied, written
 from quern.llm.components import components
 
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
@@ -321,5 +321,5 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str
 
 def op8_covering_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    got = near_duplicates(table(spark, sf_dir, "documents"))
+    got = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_dir, table, tidied, written
+from quern.llm.common import shared_dir, spread, table, tidied, written
 from quern.llm.winnow import Winnower
 
 LENGTH, ANCHOR = 200, 64
@@ -307,4 +307,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 def op5_repeat_intervals(spark, sf_dir: str) -> DataFrame:
     """What each document loses to strings of 200 bytes that start anywhere else too."""
-    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return without_repeats(spread(table(spark, sf_dir, "documents"))).drop("kept")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, table
+from quern.llm.common import fresh, spread, table
 
 #: The patterns of the query's contract, and what they must reach in characters.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -186,7 +186,7 @@ def joined(spans: Column) -> Column:
 
 def op10_secret_battery(spark, sf_dir: str) -> DataFrame:
     """The spans of each document's secrets."""
-    got = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    got = with_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "secrets")
     base = F.filter("secrets", lambda s: s["order"] < 3)
 
     def count(order: int) -> Column:

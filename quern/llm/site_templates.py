@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, tidied, written
+from quern.llm.common import spread, table, tidied, written
 
 #: A subtree is template if it stands on at least so many pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.3
@@ -274,4 +274,4 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
 def op7_site_templates(spark, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(spread(table(spark, sf_dir, "pages")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, table, tidied, written
+from quern.llm.common import fresh, spread, table, tidied, written
 
 #: Tokens of a window; share of an item's windows that a document must hold.
 WINDOW, COVERAGE = 5, 0.8
@@ -202,4 +202,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def op1_template_decontam(spark, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark items."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+    return contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).drop("text_hash")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, table, tidied
+from quern.llm.common import fresh, spread, table, tidied
 
 #: Labelled rows that training takes at most, chosen by the hash of doc_id.
 TRAIN_ROWS = 8_000
@@ -297,6 +297,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
 def op4_toxicity_cnn(spark, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     got = toxicity_scores(docs, table(spark, sf_dir, "labels"))
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PASS).cast("int").alias("predicted"))

@@ -199,89 +199,203 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-#: Fingerprints of words that similar texts are sought by, the smallest shingle hashes that are kept of a text to compare
-#: it, and what their estimate may fall short of the similarity: its standard deviation at 0.8.
-WORD_PRINTS, SKETCH, SLACK = 4, 128, 0.035
+#: Members up to which a bucket's pairs are all tested at once; of a larger one first those with PIVOTS of its members.
+SMALL, PIVOTS = 16, 3
+#: Texts that frequent shingles are counted in, and the most that are told to all tasks. Which they are decides only the cost.
+COUNTED_TEXTS, FREQUENT = 20_000, 200_000
 
 
-def word_prints(text: str | None, known: dict[bytes, bytes], prints: int = WORD_PRINTS) -> np.ndarray:
-    """64-bit SimHashes of a text's words, each by hashes of its own; a word weighs the square of its length beyond two letters.
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
+    found = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
-    A text whose words change by a few in a hundred changes few bits, while its shingles change five times as much.
-    """
-    from xxhash import xxh3_64_digest
 
-    parts = (text or "").encode().lower().split()
-    if len(known) > 150_000:
-        known.clear()
-    ones, weight = np.zeros(64 * prints, np.float64), 0.0
-    for k in range(0, len(parts), PIECE):
-        some = parts[k : k + PIECE]
-        for w in set(some):
-            if w not in known:
-                known[w] = b"".join(xxh3_64_digest(w, seed) for seed in range(prints))
-        bits = np.unpackbits(np.frombuffer(b"".join([known[w] for w in some]), np.uint8).reshape(len(some), -1), axis=1)
-        heavy = np.array([len(w) for w in some], np.float32)
-        heavy = np.maximum(heavy - 2, 0.3) ** 2
-        ones += heavy @ bits.astype(np.float32)
-        weight += float(heavy.sum())
-    return np.packbits(ones * 2 > weight).view(">u8").astype(np.uint64)
-
-
-def sketch(text: str | None, words: int = 5, size: int = SKETCH) -> bytes:
-    """The smallest hashes of a text's different shingles, 32 bits of each; of a text with no more shingles than that, all."""
-    low = np.zeros(0, np.uint64)
-    for h in shingle_hashes(text, words):
-        low = np.unique(np.concatenate((low, h)))[:size]
-    return (low >> np.uint64(32)).astype("<u4").tobytes()
-
-
-def resemblance(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """The Jaccard similarity of two texts' shingles, from their sketches; exact where these hold all shingles."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    least = np.unique(np.concatenate((x, y)))
-    if len(x) == size or len(y) == size:
-        least = least[:size]
-    return 1.0 if not len(least) else float(np.isin(least, x).astype(int) @ np.isin(least, y).astype(int)) / len(least)
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
-    """(key, node, group_id, copies): rows whose texts are linked by shingle similarity have the same group_id, its smallest key.
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The hashes of a set of which any set of that Jaccard similarity has one in its own prefix: the first in an order that is the same for all sets.
 
-    Candidates are texts with a word fingerprint within four bits, found by covering hashing, so the only pairs missed
-    are those whose fingerprints all differ by more; each candidate's similarity is exact up to SKETCH
-    shingles and estimated from sketches beyond, where pairs that fall short by less than SLACK are linked too. Equal
-    texts are one node (xxhash64 of the text; null is empty). Every row comes back; `copies` counts rows of equal key and text.
+    Sets of similarity t share at least t of the larger, so of each at most n - ceil(t n) are missing in the other, and
+    one more than that can't all be. Frequent hashes come last, others by value. A set without hashes has the prefix 0.
     """
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        often = frequent[at] == hashes
+        hashes = np.concatenate((hashes[~often], hashes[often]))
+    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets; 1 of two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _frequent(rows: DataFrame, words: int, texts: int = COUNTED_TEXTS, most: int = FREQUENT) -> np.ndarray:
+    """Shingle hashes that stand in three or more of about `texts` texts, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
         for b in batches:
-            texts = b.column(2).to_pylist()
-            prints = np.array([word_prints(t, known) for t in texts], np.uint64).reshape(-1, WORD_PRINTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.tolist(), pa.list_(pa.int64())), pa.array([sketch(t, words) for t in texts], pa.binary())], names=[key, "node", "prints", "sketch"])
+            sets = [shingle_set(t, words) for t in b.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    share = max(1, rows.count() // texts)
+    some = rows.where(F.pmod("node", F.lit(share)) == 0).select("text")
+    counted = some.mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    got = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow().column(0).to_numpy()
+    return np.sort(got.astype(np.int64).view(np.uint64))
+
+
+def _pairs(similarity: float, first: bool):
+    """Pairs of buckets' members that can be similar, from rows (token, node, n, rest, root) sorted by token.
+
+    n is the size of a member's set and rest what of it the token and those after it hold, in the order of prefixes. At the first
+    hash that two sets share, they have no more in common than the smaller rest. `first`: all pairs of small buckets, of larger
+    ones those with a few members; otherwise all pairs of larger buckets whose members have different roots.
+    """
+
+    def able(n, rest, i, js):
+        most, least = np.maximum(n[js], n[i]), np.minimum(n[js], n[i])
+        return (least >= similarity * most - 1e-6) & (np.minimum(rest[js], rest[i]) >= similarity / (1 + similarity) * (n[js] + n[i]) - 1e-6)
+
+    def bucket(node, n, rest, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m = len(node)
+        if first:
+            at = range(m - 1) if m <= SMALL else range(PIVOTS)
+            for i in at:
+                js = np.arange(i + 1, m)
+                yield i, js[able(n, rest, i, js)]
+            if m > SMALL:
+                for i in range(PIVOTS, m - 1):
+                    js = np.arange(i + 1, i + 2)
+                    yield i, js[able(n, rest, i, js)]
+        elif m > SMALL:
+            names, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
+            if len(names) > 1:
+                inside = which == np.argmax(sizes)  # members of the largest group are compared with the others only
+                for i in np.flatnonzero(~inside).tolist():
+                    js = np.flatnonzero((which != which[i]) & (inside | (np.arange(m) > i)))
+                    yield i, js[able(n, rest, i, js)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # the pieces of the last bucket so far
+
+        def done(cols, edges) -> Iterator[pa.RecordBatch]:
+            out, many = [], 0
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                node = cols[1][lo:hi]
+                for i, js in bucket(*(c[lo:hi] for c in cols[1:])):
+                    if len(js):
+                        out.append(np.stack((np.minimum(node[js], node[i]), np.maximum(node[js], node[i]))))
+                        many += len(js)
+                    if many > 100_000:
+                        yield send(out)
+                        out, many = [], 0
+            if out:
+                yield send(out)
+
+        def send(out) -> pa.RecordBatch:
+            both = np.unique(np.concatenate(out, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            if held and held[0][0][0] == cols[0][-1]:
+                held.append(cols)
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, cols, strict=True)]
+            edges = np.concatenate(([0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1))
+            yield from done(cols, edges)  # all but the last bucket, which the next batch may go on with
+            held = [[c[edges[-1] :] for c in cols]]
+        if held:
+            yield from done([np.concatenate(x) for x in zip(*held, strict=True)], np.array([0, sum(len(h[0]) for h in held)]))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """(key, node, group_id, copies): rows whose texts are linked by shingle similarity have the same group_id, its smallest key.
+
+    Texts are linked if the Jaccard similarity of all their shingle hashes is `similarity` or more. Every such pair shares a hash
+    of its prefixes and so meets in that hash's bucket; it is tested there unless links that passed the test connect it
+    already, so the groups are those of all pairs, whatever the partitioning. Equal texts are one node (xxhash64 of the
+    text; null is empty). Every row comes back; `copies` counts rows of equal key and text.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    signed = written(rows.mapInArrow(tidied(run), f"{key} long, node long, prints array<long>, sketch binary"), "signatures")
-    nodes = signed.groupBy("node").agg(F.min(F.struct(key, "prints")).alias("x")).select("node", F.col(f"x.{key}").alias("least"), "x.prints")
-    found = links(nodes.select("node", F.posexplode("prints").alias("kind", "fp")), 4, bucket).distinct()
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    met = written(signed.select("node", key, "sketch").join(ends, "node", "left_semi").join(nodes.select("node", F.col("least").alias("rep")), "node").where(F.col(key).eqNullSafe(F.col("rep"))).select("node", "sketch").dropDuplicates(["node"]), "sketches")
+    frequent = spark.sparkContext.broadcast(_frequent(rows, words))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, first = [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_set(t, words)
+                sizes.append(len(h))
+                first.append(prefix(h, similarity, frequent.value).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[key, "node", "n", "first"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by token, those whose token stands in two rows or more."""
+        last = None  # the row before, which the next one decides about
         for b in batches:
-            near = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                whole = max(len(x), len(y)) < 4 * SKETCH
-                near.append(resemblance(x, y) >= similarity - (0 if whole else SLACK))
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    both = found.join(met.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(met.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")
-    roots = components(both.mapInArrow(tidied(compare), "a long, b long"))
-    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("group_id"))
-    named = rooted.join(names, "root").select("node", "group_id")
-    return signed.groupBy(key, "node").agg(F.count(F.lit(1)).alias("copies")).join(named, "node").select(key, "node", "group_id", "copies")
+            t = pa.Table.from_batches([b] if last is None else [last[0], b]).combine_chunks()
+            if not t.num_rows:
+                continue
+            token = t.column(0).to_numpy()
+            same = token[1:] == token[:-1]
+            keep = np.concatenate(([last is not None and last[1]], same)) | np.concatenate((same, [False]))
+            last = (t.slice(t.num_rows - 1).to_batches()[0], bool(keep[-1]))
+            yield from t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
+        if last is not None and last[1]:
+            yield last[0]
+
+    signed = written(rows.mapInArrow(tidied(run), f"{key} long, node long, n int, first array<long>"), "signatures")
+    nodes = signed.groupBy("node").agg(F.min(key).alias("least"))
+    once = signed.dropDuplicates(["node"]) if signed.count() > nodes.count() else signed
+    postings = once.select("node", "n", F.posexplode("first").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+    met = written(postings.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(tidied(shared), "token long, node long, n int, rest int"), "buckets")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar."""
+        pairs = written(pairs.distinct(), "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-9 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+        whole = written(rows.select("node", "text").join(ends, "node", "left_semi").mapInArrow(tidied(sets), "node long, hashes binary").dropDuplicates(["node"]), "sets")
+        both = pairs.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("s")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("t")), "b").select("a", "b", "s", "t")
+        return written(both.mapInArrow(tidied(compare), "a long, b long"), "similar")
+
+    def pairs_of(members: DataFrame, first: bool) -> DataFrame:
+        sorted_ = members.repartition(n, "token").sortWithinPartitions("token", "node").select("token", "node", "n", "rest", "root")
+        return sorted_.mapInArrow(tidied(_pairs(similarity, first)), "a long, b long")
+
+    found = similar(pairs_of(met.withColumn("root", F.col("node")), True))
+    roots = components(found)
+    # what is left: buckets with many members that the links so far don't connect
+    large = met.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SMALL).select("token")
+    rooted = met.join(large, "token", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = similar(pairs_of(rooted, False))
+    if not more.isEmpty():
+        roots = components(found.union(more))
+    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    names = named.groupBy("root").agg(F.min("least").alias("group_id"))
+    groups = named.join(names, "root").select("node", "group_id")
+    return signed.groupBy(key, "node").agg(F.count(F.lit(1)).alias("copies")).join(groups, "node").select(key, "node", "group_id", "copies")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:

@@ -252,6 +252,44 @@ def test_one_of_each_group_stays(docs, corpus):
     assert len({roots[corpus.index(tuple(r))] for r in kept}) == len(kept)
 
 
+def _shingled(t):
+    parts = t.lower().split()
+    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))}
+
+
+def _similar(a, b):
+    a, b = _shingled(a), _shingled(b)
+    return len(a & b) / len(a | b)
+
+
+def _groups(spark, texts):
+    """Keys of texts by the group they are in, from Spark and by brute force."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["group_id"] for r in covering_simhash.similar_groups(rows).collect()}
+    want = list(range(len(texts)))
+    sets = [_shingled(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    return got, dict(enumerate(want))
+
+
+def test_every_candidate_of_a_hot_group_is_tested(spark):
+    """Texts of one template, most pairs of which fall just short while some are similar: one group is as right as all."""
+    rng = random.Random(31)
+    base = prose(rng, 120).split()
+    texts = []
+    for _ in range(70):
+        words = list(base)
+        for k in rng.sample(range(0, 120, 6), rng.randint(1, 6)):
+            words[k] = prose(rng, 1)
+        texts.append(" ".join(words))
+    got, want = _groups(spark, texts)
+    assert got == want and 1 < len(set(want.values())) < 70
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 8)) * rng.uniform(0.2, 3, (700, 1))

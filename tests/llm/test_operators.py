@@ -290,6 +290,29 @@ def test_every_candidate_of_a_hot_group_is_tested(spark):
     assert got == want and 1 < len(set(want.values())) < 70
 
 
+def test_candidates_by_kind_of_edit(spark):
+    """No pair of 0.8 is missed, whichever words were edited."""
+    rng = random.Random(32)
+    texts, pairs = [], []
+    for kind in ("longest", "random", "dropped", "appended"):
+        for size in (55, 400):
+            for _ in range(12):
+                words = prose(rng, size).split()
+                edited = list(words)
+                while True:
+                    trial = list(edited)
+                    k = {"longest": max(range(len(trial)), key=lambda k: (trial[k] in words, len(trial[k]))), "random": rng.randrange(len(trial)), "dropped": rng.randrange(len(trial)), "appended": len(trial)}[kind]
+                    trial[k : k + 1] = [] if kind == "dropped" else ["zz" + "".join(rng.sample("abdefgiklmnoprstuvwxyz", 9))]
+                    if _similar(" ".join(words), " ".join(trial)) < 0.8:
+                        break
+                    edited = trial
+                pairs.append((kind, len(texts)))
+                texts += [" ".join(words), " ".join(edited)]
+    got, want = _groups(spark, texts)
+    assert got == want
+    assert Counter(kind for kind, k in pairs if got[k + 1] == k) == Counter(kind for kind, _ in pairs)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 8)) * rng.uniform(0.2, 3, (700, 1))

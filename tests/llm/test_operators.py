@@ -313,6 +313,22 @@ def test_candidates_by_kind_of_edit(spark):
     assert Counter(kind for kind, k in pairs if got[k + 1] == k) == Counter(kind for kind, _ in pairs)
 
 
+def test_similarity_of_long_texts_is_exact(spark):
+    """Texts of many shingles just below 0.8 stay apart, those at it or just above are linked."""
+    rng = random.Random(33)
+    texts, linked = [], []
+    for k in range(30):
+        words = prose(rng, 904).split()  # about 900 shingles; m edits far apart leave 900 - 5 m of them
+        edited = list(words)
+        for at in range((19, 21, 23)[k % 3]):
+            edited[10 + 38 * at] = f"edited{k}x{at}"
+        texts += [" ".join(words), " ".join(edited)]
+        linked.append(_similar(*texts[-2:]) >= 0.8)
+    got, want = _groups(spark, texts)
+    assert got == want and 0 < sum(linked) < 30
+    assert [got[2 * k + 1] == 2 * k for k in range(30)] == linked
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 8)) * rng.uniform(0.2, 3, (700, 1))

@@ -1,9 +1,9 @@
 """Main text of web pages, with each site's templates removed.
 
 A page is read into a tree of elements. Every element that holds others or text has a hash of its subtree: name, class,
-role and id, its text with digits made equal, and its children's hashes. Spark counts on how many pages of a host each hash
-stands, and subtrees that recur on many of them are the site's template and are deleted. Within the article proper
-only containers can be template, never its paragraphs. Menus, headers, footers, sidebars, notices, adverts, forms and
+role and id, its text with digits made equal, and its children's hashes. Spark counts on how many different pages of a host
+each hash stands, copies of a page being one, and subtrees that recur on many of them are the site's template and are deleted.
+Nothing within the article proper is template. Menus, headers, footers, sidebars, notices, adverts, forms and
 comments that a page marks as such go in any case, also on hosts with one page.
 """
 
@@ -29,8 +29,8 @@ RAW = frozenset("script style noscript template textarea title iframe svg math x
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg math object canvas dialog menu title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("div section aside header footer nav ul ol dl table form figure".split())
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("table ul ol dl div section article main body td th".split())
 #: Words in class, id or role that mark what isn't main text.
 MARKED = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion comment comments discussion disqus feedback responses reply replies respond nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended pagination pager widget complementary contentinfo search login signup toolbar skip hidden".split())
@@ -120,7 +120,7 @@ def _walk(root: Element) -> Iterator[Element]:
 
 
 def hash_subtrees(root: Element) -> list[Element]:
-    """Hashes all subtrees; returns those that can be template: elements with some text, an article's paragraphs left out."""
+    """Hashes all subtrees; returns those that can be template: blocks outside articles and main elements that hold none of these."""
     from xxhash import xxh64_intdigest
 
     order = list(_walk(root))
@@ -129,11 +129,14 @@ def hash_subtrees(root: Element) -> list[Element]:
         for c in x.children:
             parts.append(str(c.hash) if type(c) is Element else _DIGITS.sub("0", _SPACE.sub(" ", c).strip()))
         x.hash = xxh64_intdigest("\x00".join(parts))
-    out, inside = [], {id(root): False}
+    inside, kept = {id(root): False}, set()  # kept: what stands in an article, or around it
     for x in order[1:]:
-        within = inside[id(x)] = inside[id(x.parent)] or x.name in ("article", "main")
-        if x.name in BLOCKS and x.name not in ("html", "body", "article", "main") and (not within or x.name in CONTAINERS):
-            out.append(x)
+        inside[id(x)] = inside[id(x.parent)] or x.name in ("article", "main")
+        if x.name in ("article", "main"):
+            kept |= {id(y) for y in _up(x)}
+        elif inside[id(x)]:
+            kept.add(id(x))
+    out = [x for x in order[1:] if x.name in BLOCKS and x.name not in ("html", "body") and id(x) not in kept]
     return out
 
 
@@ -190,6 +193,15 @@ def main_text(root: Element, template: frozenset[int] | set[int] = frozenset())
     return "\n\n".join(t for t in text if t)
 
 
+def _has_body(root: Element, template) -> bool:
+    """Whether some text outside headings is left of a page without the template."""
+    heads = {id(x): x.name for x in _walk(root) if x.name in HEADINGS}
+    for x in _walk(root):
+        if any(type(c) is str and not c.isspace() for c in x.children) and not any(id(y) in heads or _unwanted(y) or y.hash in template for y in _up(x)):
+            return True
+    return False
+
+
 def _up(x: Element | None) -> Iterator[Element]:
     while x is not None:
         yield x
@@ -209,24 +221,28 @@ def _signed(h: int) -> int:
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of subtrees that stand on many pages of their host. A subtree counts once a page; a null URL is the host ''.
+    """(host, hash) of subtrees that stand on many pages of their host. A null URL is the host ''.
 
-    Counts are partial aggregations, so a host with a third of all pages costs one row for each different subtree and task.
+    Pages of a host with the same main text, digits made equal, are one page: a subtree counts once for all of them.
+    Counts are partial aggregations of different pages, so no task gathers a host.
     """
+    from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes, counts = [], [], {}
+            counts: set[tuple[str, int, int]] = set()
             for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 host = host_of(url)
-                own = {_signed(x.hash) for x in hash_subtrees(parse(page or ""))} | {0}  # 0 counts the pages
-                for h in own:
-                    counts[host, h] = counts.get((host, h), 0) + 1
+                root = parse(page or "")
+                own = {_signed(x.hash) for x in hash_subtrees(root)} | {0}  # 0 counts the pages
+                content = _signed(xxh64_intdigest(_DIGITS.sub("0", main_text(root))))
+                counts |= {(host, h, content) for h in own}
             if counts:
-                hosts, hashes = zip(*counts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(hashes, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "hash", "pages"])
+                hosts, hashes, contents = zip(*counts, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "hash", "content"])
 
-    counted = written(pages.select("url", "html").mapInArrow(tidied(run), "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages), "subtrees")
+    different = pages.select("url", "html").mapInArrow(tidied(run), "host string, hash long, content long").distinct()
+    counted = written(different.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages), "subtrees")
     all_ = counted.where("hash = 0").select("host", F.col("pages").alias("of"))
     return counted.where("hash != 0").join(all_, "host").where(F.col("pages") >= min_share * F.col("of")).select("host", "hash")
 
@@ -255,7 +271,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                         able = {id(x) for x in hash_subtrees(root)}
                         for x in _walk(root):
                             x.hash = _signed(x.hash) if id(x) in able else None
-                    out.append(main_text(root, set(there) if there else frozenset()))
+                    # a page of which nothing would be left but headings isn't a template
+                    text = main_text(root, set(there) if there else frozenset())
+                    if there and not _has_body(root, there):
+                        text = main_text(root)
+                    out.append(text)
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
         return texts

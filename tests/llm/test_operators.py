@@ -415,6 +415,23 @@ def test_main_text(spark):
     assert site_templates.extract(pages.limit(0)).count() == 0
 
 
+def test_content_that_recurs_is_no_template(spark):
+    """Copies of an article under several URLs, tables in articles, and pages without article keep their text; shared boxes go."""
+    box = "<div><p>Buy at our shop today</p></div>"
+    bodies = [f"<article><div><p>One article in {k} copies</p></div></article>" for k in range(4)]  # ?page=0, 1, ...
+    bodies += [f"<article><h1>Title {c}</h1><table><tr><td>Height<td>{k}</table></article>" for k, c in enumerate("abcd")]
+    rows = [(k, f"http://a.example/{k}", b) for k, b in enumerate(bodies)]
+    rows += [(10 + k, f"http://b.example/?ref={k}", f"<h1>Same</h1><div><p>The whole text, without article</p></div>{box}") for k in range(4)]
+    rows += [(14 + k, f"http://b.example/{k}", f"<div><p>Text {c}</p></div>{box}") for k, c in enumerate("abcdef")]
+    rows += [(30 + k, f"http://c.example/{k}", f"<h1>Title {c}</h1><div><p>Copied</p></div>") for k, c in enumerate("abcd")]
+    got = {r["page_id"]: r["text"] for r in site_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(4)] == [f"One article in {k} copies" for k in range(4)]
+    assert [got[4 + k] for k in range(4)] == [f"Title {c}\n\nHeight\n\n{k}" for k, c in enumerate("abcd")]
+    assert [got[10 + k] for k in range(4)] == ["Same\n\nThe whole text, without article"] * 4
+    assert [got[14 + k] for k in range(6)] == [f"Text {c}" for c in "abcdef"]
+    assert [got[30 + k] for k in range(4)] == [f"Title {c}\n\nCopied" for c in "abcd"]
+
+
 def test_decontamination(spark, no_docs):
     rng = random.Random(6)
     items = [(k, prose(rng, 30)) for k in range(6)]

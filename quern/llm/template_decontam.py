@@ -68,7 +68,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """The template tokens of some texts: `typed` has placeholders for numbers, names and units, `plain` leaves names as words."""
+    """The template tokens of some texts: `typed` has placeholders for numbers, names and units, `plain` leaves names as words.
+
+    A capitalised word that begins a sentence may be a name or not: `typed` leaves it as a word, `full` makes it a name too.
+    """
 
     def __init__(self, texts: list[str | None], tokens: Tokens):
         if len(tokens) > TOKENS_KEPT:
@@ -82,13 +85,15 @@ class Templates:
             raw += found
         at = np.array(list(map(tokens.__getitem__, raw)), dtype=np.int64)
         kinds = np.frombuffer(tokens.kinds, np.int8)[at]
-        kinds[1:][(kinds[1:] == _NAME) & (kinds[:-1] == _STOP)] = _PLAIN
+        begins = np.zeros(len(kinds), bool)
+        begins[1:] = (kinds[1:] == _NAME) & (kinds[:-1] == _STOP)
+        kinds[begins] = _PLAIN
         beside = np.zeros(len(kinds), bool)
         beside[1:] |= kinds[:-1] == _NUMBER
         beside[:-1] |= (kinds[1:] == _NUMBER) & (kinds[:-1] == _SIGN)
         kinds[((kinds == _UNIT) | (kinds == _SIGN)) & beside] = _MEASURE
         keep = np.flatnonzero((kinds != _STOP) & (kinds != _SIGN))
-        kinds, holders = kinds[keep], _holders()
+        kinds, begins, holders = kinds[keep], begins[keep], _holders()
         self.raw, self.keep, self.text = raw, keep, np.repeat(np.arange(len(texts)), sizes)[keep]
         self.start = np.searchsorted(self.text, np.arange(len(texts) + 1))
         self.plain = np.frombuffer(tokens.hashes, np.uint64)[at[keep]]
@@ -96,24 +101,27 @@ class Templates:
         self.plain[kinds == _MEASURE] = holders[3]
         self.typed = self.plain.copy()
         self.typed[kinds == _NAME] = holders[2]
+        self.full = self.typed.copy()
+        self.full[begins] = holders[2]
         self.slot = (kinds == _NUMBER) | (kinds == _NAME) | (kinds == _MEASURE)
+        self.full_slot = self.slot | begins
 
-    def windows(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(hashes, places) of windows of n tokens, plain ones and, where a name makes them differ, typed ones."""
+    def windows(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(hashes, places, whether full) of windows of n tokens, plain ones and, where a name makes them differ, typed and full ones."""
         count = len(self.plain) - n + 1
         if count <= 0:
             return
         within = self.text[n - 1 :] == self.text[:count]
-        differ = np.concatenate(([0], np.cumsum(self.typed != self.plain)))
-        for tokens, at in ((self.plain, np.flatnonzero(within)), (self.typed, np.flatnonzero(within & (differ[n:] > differ[:-n])))):
+        names, begun = (np.concatenate(([0], np.cumsum(x != y))) for x, y in ((self.typed, self.plain), (self.full, self.typed)))
+        for tokens, at in ((self.plain, np.flatnonzero(within)), (self.typed, np.flatnonzero(within & (names[n:] > names[:-n]))), (self.full, np.flatnonzero(within & (begun[n:] > begun[:-n])))):
             h = np.zeros(len(at), np.uint64)
             for j in range(n):
                 h = _mixed(h + tokens[at + j]) * np.uint64(0xD6E8FEB86659FD93)
-            yield h ^ np.uint64(n), at
+            yield h ^ np.uint64(n), at, tokens is self.full
 
-    def slots(self, at: int, n: int) -> list[str]:
+    def slots(self, at: int, n: int, full: bool) -> list[str]:
         """The values of a window's slots, each with its place in the window."""
-        return [f"{j}:{self.raw[self.keep[at + j]].lower()}" for j in np.flatnonzero(self.slot[at : at + n]).tolist()]
+        return [f"{j}:{self.raw[self.keep[at + j]].lower()}" for j in np.flatnonzero((self.full_slot if full else self.slot)[at : at + n]).tolist()]
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -121,7 +129,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(hash, item_id, at, size, of, slots): the windows of all items; an item of fewer tokens is one window, one without tokens none."""
+    """(hash, item_id, at, size, of, slots, full): the windows of all items; an item of fewer tokens is one window, one without tokens none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -130,13 +138,13 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = Templates([text], tokens)
                 n = min(window, len(t.plain))
-                for h, at in t.windows(n) if n else ():
-                    out += [(int(x), item, p, n, len(t.plain) - n + 1, t.slots(p, n)) for x, p in zip(_signed(h).tolist(), at.tolist(), strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["hash", "item_id", "at", "size", "of", "slots"])
+                for h, at, full in t.windows(n) if n else ():
+                    out += [(int(x), item, p, n, len(t.plain) - n + 1, t.slots(p, n, full), full) for x, p in zip(_signed(h).tolist(), at.tolist(), strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["hash", "item_id", "at", "size", "of", "slots", "full"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(tidied(run), "hash long, item_id long, at int, size int, of int, slots array<string>").distinct()
+    return rows.mapInArrow(tidied(run), "hash long, item_id long, at int, size int, of int, slots array<string>, full boolean").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, sieve: int = SIEVE) -> DataFrame:
@@ -167,7 +175,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
                     stop += 1
                 t, out = Templates(texts[start:stop], tokens), []
                 for n in sizes:
-                    for h, at in t.windows(n):
+                    for h, at, full in t.windows(n):
                         h = _signed(h)
                         if known is not None:
                             maybe = np.flatnonzero(table_[h & ((1 << 22) - 1)])
@@ -175,18 +183,27 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
                             maybe = maybe[known.value[place] == h[maybe]]
                             h, at = h[maybe], at[maybe]
                         whose = t.text[at]
-                        out += [(docs_[start + d], keys[start + d], x, p - f, t.slots(p, n)) for d, x, p, f in zip(whose.tolist(), h.tolist(), at.tolist(), t.start[whose].tolist(), strict=True)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t_) for c, t_ in enumerate(kinds)], names=["doc_id", "text_hash", "hash", "pos", "found"])
+                        out += [(docs_[start + d], keys[start + d], x, p - f, t.slots(p, n, full), full) for d, x, p, f in zip(whose.tolist(), h.tolist(), at.tolist(), t.start[whose].tolist(), strict=True)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t_) for c, t_ in enumerate(kinds)], names=["doc_id", "text_hash", "hash", "pos", "found", "begins"])
                 start = stop
 
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    hits = rows.mapInArrow(tidied(run), "doc_id long, text_hash long, hash long, pos int, found array<string>").join(bench, "hash")
-    # one alignment of an item in a document: windows at the same distance, whose slots must agree one to one
+    hits = rows.mapInArrow(tidied(run), "doc_id long, text_hash long, hash long, pos int, found array<string>, begins boolean").join(bench, "hash")
+    # one alignment of an item in a document: windows at the same distance, whose slots must agree one to one; if they don't with
+    # the words that begin sentences as names, then they may without
     pairs = F.zip_with("slots", "found", lambda a, b: F.struct(F.regexp_replace(a, "^\\d+:", "").alias("a"), F.regexp_replace(b, "^\\d+:", "").alias("b")))
-    alignment = hits.where(F.size("slots") == F.size("found")).groupBy("doc_id", "text_hash", "item_id", "of", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    agrees = (F.size("pairs") == F.size(F.array_distinct("pairs.a"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.b")))
-    whole = alignment.where(agrees).groupBy("doc_id", "text_hash", "item_id", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    sure = ~(F.col("full") | F.col("begins"))
+    sets = [F.collect_set(F.when(which, x)).alias(name) for name, which, x in (("all_places", F.lit(True), F.col("at")), ("all_pairs", F.lit(True), pairs), ("sure_places", sure, F.col("at")), ("sure_pairs", sure, pairs))]
+    alignment = hits.where(F.size("slots") == F.size("found")).groupBy("doc_id", "text_hash", "item_id", "of", (F.col("pos") - F.col("at")).alias("shift")).agg(*sets)
+    alignment = alignment.withColumns({name: F.array_distinct(F.flatten(name)) for name in ("all_pairs", "sure_pairs")})
+
+    def agrees(name: str):
+        return (F.size(name) == F.size(F.array_distinct(f"{name}.a"))) & (F.size(name) == F.size(F.array_distinct(f"{name}.b")))
+
+    chosen = alignment.withColumn("with_all", agrees("all_pairs")).where(F.col("with_all") | agrees("sure_pairs"))
+    chosen = chosen.select("doc_id", "text_hash", "item_id", "of", *(F.when(F.col("with_all"), F.col(f"all_{x}")).otherwise(F.col(f"sure_{x}")).alias(x) for x in ("places", "pairs")))
+    whole = chosen.groupBy("doc_id", "text_hash", "item_id", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     share = F.col("covered") / F.col("of")
     changed = F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))
     return whole.where(share >= coverage).select("doc_id", "text_hash", "item_id", "covered", "of", share.alias("coverage"), F.size("pairs").alias("n_slots"), changed.alias("n_changed"), F.when(changed == 0, "exact").otherwise("reparameterised").alias("kind"))

@@ -432,6 +432,17 @@ def test_content_that_recurs_is_no_template(spark):
     assert [got[30 + k] for k in range(4)] == [f"Title {c}\n\nCopied" for c in "abcd"]
 
 
+def test_names_that_begin_sentences_are_placeholders(spark):
+    item = "Alice bought red apples and green pears from the old market today. Robert sold yellow lemons and sour limes near the new bridge yesterday. Martha kept brown onions"
+    changed = item.replace("Alice", "Norma").replace("Robert", "Victor").replace("Martha", "Sandra")
+    mixed = item.replace("Alice", "Norma").replace("Robert", "Norma").replace("Martha", "Norma")
+    rows = [(0, "Before it. " + changed + " and more", None, None, None), (1, "Before it. " + mixed, None, None, None), (2, item.lower(), None, None, None)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["kind"] for r in template_decontam.contaminated(docs, bench).collect()}
+    assert got == {0: "reparameterised", 2: "exact"}
+    assert [r["doc_id"] for r in template_decontam.decontaminate(docs, bench).collect()] == [1]
+
+
 def test_decontamination(spark, no_docs):
     rng = random.Random(6)
     items = [(k, prose(rng, 30)) for k in range(6)]

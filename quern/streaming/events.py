@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def stream(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
-    """New Parquet files of a folder or path pattern, at most `files` a trigger."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def stream(spark: SparkSession, path: str, schema: StructType, files: int | None = 100) -> DataFrame:
+    """New Parquet files of a folder or path pattern, at most `files` a trigger; None: all that are there."""
+    rows = spark.readStream.schema(schema)
+    return (rows if files is None else rows.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def usage_counters(events: DataFrame) -> DataFrame:

@@ -208,3 +208,14 @@ def test_ingestion_run(spark):
     assert {(r["src"], r["relation"], r["dst"]) for r in got.relationships.collect()} == {("auth-service", "calls", "user-db")}
     log = ingestion.observed(spark.createDataFrame([(1, 0.6), (1, 0.2), (2, 0.1)], "query_id long, score double"), F.lit("2024-01-01").cast("timestamp"))
     assert {r["query_id"]: r["success"] for r in log.collect()} == {1: True, 2: False}
+
+
+def test_stream_of_many_files_keeps_old_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quern.plans.queries import QUERIES
+
+    rows = spark.range(210).selectExpr("id AS event_id", "'view' AS event_type", "timestamp'2024-12-01' - make_interval(0, 0, 0, cast(id AS int)) AS ts", "1.0D AS value")
+    rows.repartitionByRange(105, F.desc("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) > 100
+    assert QUERIES["stream_without_repeats"](spark, str(tmp_path)).count() == 210

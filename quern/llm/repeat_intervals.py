@@ -11,6 +11,7 @@ the right by enough bytes are occurrences of a maximal repeat, and each of them
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -55,10 +56,10 @@ def _common(x: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nd
     return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1]), np.minimum(n[a], n[b]))
 
 
-def _sorted(x: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """The order of the rows of x by group and bytes."""
-    head = group.astype(">u4").view(np.uint8).reshape(-1, 4)
-    both = np.ascontiguousarray(np.concatenate((head, x), axis=1))
+def _sorted(x: np.ndarray, n: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of the rows of x by group, bytes and length n; the length tells zero bytes of a text from those that fill its row."""
+    head, tail = (c.astype(">u4").view(np.uint8).reshape(-1, 4) for c in (group, n))
+    both = np.ascontiguousarray(np.concatenate((head, x, tail), axis=1))
     return np.argsort(both.view(f"S{both.shape[1]}").ravel(), kind="stable")
 
 
@@ -76,11 +77,11 @@ def bucket_repeats(texts: list[bytes], at: np.ndarray, k: np.ndarray, group: np.
         raw = np.frombuffer(t, np.uint8)
         left[i, : ln[i]] = raw[: at[i]][::-1]
         right[i, : rn[i]] = raw[at[i] + k[i] :]
-    order = _sorted(right, group)
+    order = _sorted(right, rn, group)
     lcp = _common(right, rn, order[:-1], order[1:])
     lcp[group[order[:-1]] != group[order[1:]]] = -1
     rank = np.empty(len(texts), np.int64)
-    rank[_sorted(left, group)] = np.arange(len(texts))
+    rank[_sorted(left, ln, group)] = np.arange(len(texts))
     pairs: list[tuple[int, int, int]] = []
     for first, last, depth in lcp_intervals(lcp.tolist()):
         if last - first == 1:
@@ -157,9 +158,12 @@ def _extents(length: int, bucket: int, pieces: int = 4):
                     start, seen = len(held), set()
                 if row[5] == length:  # the anchor is the whole window: all members are repeated, whatever their number
                     if len(held) > start:
-                        out += [(False, *r[:3], None, 0, 0, r[4], r[4] + r[5]) for r in ((held[start], row) if len(held) == start + 1 and not over else (row,))]
-                        over = True
-                    held.append(row) if len(held) == start else None
+                        out += [(False, *r[:3], None, 0, 0, r[4], r[4] + r[5]) for r in ((row,) if over else (held[start], row))]
+                        if not over:  # the buckets before are whole
+                            yield from solve(held[:start])
+                            held, start, over = held[start:], 0, True
+                    else:
+                        held.append(row)
                     continue
                 if row[1:3] in seen:
                     continue
@@ -170,17 +174,12 @@ def _extents(length: int, bucket: int, pieces: int = 4):
                 elif len(held) - start > bucket:
                     for r in held[start:]:
                         out += dealt(r)
-                    keep, over, seen = held[-1:], True, set()
                     yield from solve(held[:start])
-                    held, start = keep, 0
-                elif over is False and len(seen) > bucket:
-                    seen = set()
+                    held, start, over, seen = held[-1:], 0, True, set()
             for n in range(0, len(out), 4096):
                 yield send(out[n : n + 4096])
         if not over:
             yield from solve(held)
-        elif start:
-            yield from solve(held[:start])
 
     return run, ", ".join(f"{c} {t}" for c, t in zip(columns, ("boolean", "long", "long", "long", "binary", "int", "int", "int", "int"), strict=True))
 
@@ -201,6 +200,13 @@ def _batched(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
             yield b.slice(start), texts
 
 
+def _forget(spark, name: str) -> None:
+    """Takes a table out of the catalog when the driver ends, as its files go too."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -249,6 +255,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     # written by the key, so that joins by it don't move the texts again
     name = f"quern_{uuid.uuid4().hex}"
     met.write.bucketBy(n, "k1", "k2").option("path", f"{shared_dir(spark)}/texts").saveAsTable(name)
+    atexit.register(_forget, spark, name)
     texts = spark.table(name)
     occ = texts.where("runs is not null").select("k1", "k2", F.explode("runs").alias("r")).select("k1", "k2", "r.*")
     kinds = written(occ.groupBy("a", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "first", "stop")).alias("rep")), "runs")

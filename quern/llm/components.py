@@ -25,9 +25,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while (state := _state(now)) != was:
         was = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        least = written(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "minima")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_least = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(small_least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "links")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()

@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     classes = fps.groupBy("fp").agg(F.min(key).alias("least"))
     roots = components(links(classes.select(F.col("fp").alias("node"), "fp"), radius, bucket))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join is between two exchanges, of which a large component's partition can be split
+    names = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
@@ -320,7 +321,7 @@ def _pairs(similarity: float, first: bool):
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """(key, node, group_id, copies): rows whose texts are linked by shingle similarity have the same group_id, its smallest key.
+    """(key, node, root, group_id, copies): rows whose texts are linked by shingle similarity have the same root, and group_id, their smallest key.
 
     Texts are linked if the Jaccard similarity of all their shingle hashes is `similarity` or more. Every such pair shares a hash
     of its prefixes and so meets in that hash's bucket; it is tested there unless links that passed the test connect it
@@ -393,20 +394,27 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     if not more.isEmpty():
         roots = components(found.union(more))
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("group_id"))
-    groups = named.join(names, "root").select("node", "group_id")
-    return signed.groupBy(key, "node").agg(F.count(F.lit(1)).alias("copies")).join(groups, "node").select(key, "node", "group_id", "copies")
+    names = written(named.groupBy("root").agg(F.min("least").alias("group_id")), "names")
+    groups = named.join(names, "root").select("node", "root", "group_id")
+    return signed.groupBy(key, "node").agg(F.count(F.lit(1)).alias("copies")).join(groups, "node").select(key, "node", "root", "group_id", "copies")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of near duplicates, that of the smallest key; of repeated rows one. Columns stay as they are."""
+    """docs with one row of each group of near duplicates; columns stay as they are.
+
+    Groups are told apart by their texts, not by keys: rows of one key, or without one, whose texts aren't similar all stay. Of a
+    group the row with the smallest key stays (null last; of several texts with that key the one with the least hash), of
+    rows equal in key and text one. Equal hashes of 64 bits are taken for equal texts.
+    """
     groups = written(similar_groups(docs, words, similarity, key), "groups")
-    chosen = groups.where(F.col(key).eqNullSafe(F.col("group_id")))
-    # a key that stands with several texts of one group: one of them
-    k, n = fresh(docs, "kept_key", "kept_node")
-    one = chosen.groupBy("group_id").agg(F.min("node").alias(n), F.sum("copies").alias("rows")).withColumnRenamed("group_id", k)
-    kept = docs.join(one.select(k, n), F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(n)), "left_semi")
-    return kept if one.where("rows > 1").isEmpty() else kept.dropDuplicates([key])
+    k, n, rows, h = fresh(docs, "kept_key", "kept_node", "kept_rows", "kept_hash")
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), key, "node", "copies"))
+    one = written(groups.groupBy("root").agg(first.alias("x")).select(F.col(f"x.{key}").alias(k), F.col("x.node").alias(n), F.col("x.copies").alias(rows)), "kept")
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.join(one.select(k, n), F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.col(h) == F.col(n)), "left_semi")
+    if not one.where(F.col(rows) > 1).isEmpty():
+        kept = kept.dropDuplicates([key, h])
+    return kept.drop(h)
 
 
 def op8_covering_simhash(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Vectors are dealt to the nearest of many centroids. A vector near a border is re
 centroids whose distance is within a ratio of the nearest one's, so a query has to read few lists. Centroids come from
 hierarchical balanced clustering of a bounded sample and are searched by a graph in memory: greedy search from entry
 points over each centroid's nearest neighbours. A query reads the lists whose centroids are within a ratio of its
-nearest one's distance. Lists are cut into blocks of bounded size, and each block answers its queries by itself.
+nearest one's distance. Lists and their queries are cut into blocks of bounded size, and each pair of blocks is answered
+by itself. All that a query gets comes from its lists; with `exact` it reads every list.
 
 The largest inner product is sought: vectors get one more component that makes all norms equal, so that the nearest by
 distance is the largest by inner product. Scores are inner products of the original vectors in double precision.
@@ -23,17 +24,17 @@ from pyspark.sql import functions as F
 from quern.llm.common import table, tidied, written
 
 #: Vectors that the clustering reads at most, chosen by the hash of their id; centroids at most, else the root of their number.
-SAMPLE, CENTROIDS = 40_000, 4096
-#: Sampled vectors that tell a query how large a score it needs at least: what they leave out can't be among its nearest.
+SAMPLE, CENTROIDS = 100_000, 16_384
+#: Sampled vectors that tell, with the lists they are in, how large a score a query's lists give it at least: less needn't be sent on.
 PILOTS = 8192
 #: Replicas: lists of a vector at most, and the ratio of squared distances within which it is replicated.
 REPLICAS, CLOSURE = 2, 1.15
 #: Search: lists that are read at least, the share of lists that is read at most, and the ratio of squared distances within which they are read.
-MIN_LISTS, MAX_SHARE, PRUNE = 16, 0.34, 1.6
+MIN_LISTS, MAX_SHARE, PRUNE = 32, 0.34, 1.6
 #: The graph's degree, and how many candidates its search keeps beyond those it returns.
 DEGREE, BEAM = 24, 64
-#: Vectors in a block of a list.
-BLOCK = 4096
+#: Vectors, and queries, in a block of a list.
+BLOCK, QUERY_BLOCK = 4096, 8192
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -130,40 +131,56 @@ class Graph:
 
 @dataclass
 class Index:
-    """What searching needs: the graph over the centroids, and the norm to which vectors are completed."""
+    """What searching needs: the graph over the centroids, the norm to which vectors are completed, and some vectors with their lists."""
 
     graph: Graph
     norm: float
-    pilot_ids: np.ndarray
     pilots: np.ndarray
-
-    def floors(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the score that its k nearest reach at least, the query's own vector left out, and the pilots that reach it."""
-        m = min(len(self.pilots), k + 1)
-        scores = q @ self.pilots.T
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :m]
-        least = np.take_along_axis(scores, best, 1)[:, -1] - 1e-9
-        return (least if m > k else np.full(len(q), -np.inf)), best
+    pilot_lists: np.ndarray
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.norm**2 - (x * x).sum(1), 0))
         return np.concatenate((x, rest[:, None]), axis=1)
 
-    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs of vectors and the lists that hold them."""
+    def _closest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that vectors may be in, and which of them hold them."""
         found, d = self.graph.search(self.lifted(x), REPLICAS, BEAM // 2)
-        keep = np.zeros(found.shape, bool)
+        keep = d <= CLOSURE * d[:, :1] + 1e-12
         keep[:, 0] = True
-        for j in range(1, found.shape[1]):
-            keep[:, j] = (d[:, j] <= CLOSURE * d[:, 0] + 1e-12) & (keep.sum(1) < REPLICAS)
+        return found, keep
+
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs of vectors and the lists that hold them."""
+        found, keep = self._closest(x)
         row, col = np.nonzero(keep)
         return row, found[row, col]
 
-    def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs of queries and the lists to read."""
-        found, d = self.graph.search(np.concatenate((q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None] * self.norm, np.zeros((len(q), 1))), axis=1), max(MIN_LISTS, int(MAX_SHARE * len(self.graph.points))))
-        row, col = np.nonzero((d <= PRUNE * d[:, :1] + 1e-12) | (np.arange(found.shape[1]) < MIN_LISTS))
-        return row, found[row, col]
+    def probes(self, q: np.ndarray, sizes: np.ndarray, k: int, exact: bool = False) -> np.ndarray:
+        """Which lists each query reads, as a matrix; lists of `sizes` entries that can't give k neighbours send a query to all lists."""
+        n = len(self.graph.points)
+        most, out = max(MIN_LISTS, int(MAX_SHARE * n)), np.zeros((len(q), n), bool)
+        if exact or most >= n:
+            out[:] = True
+            return out
+        aimed = np.concatenate((q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None] * self.norm, np.zeros((len(q), 1))), axis=1)
+        left, width = np.arange(len(q)), MIN_LISTS
+        while len(left):
+            found, d = self.graph.search(aimed[left], width)
+            near = (d <= PRUNE * d[:, :1] + 1e-12) | (np.arange(found.shape[1]) < MIN_LISTS)
+            done = (d[:, -1] > PRUNE * d[:, 0]) | (width >= most)
+            row, col = np.nonzero(near & np.isfinite(d) & done[:, None])
+            out[left[row], found[row, col]] = True
+            left, width = left[~done], min(2 * width, most)
+        out[out @ sizes < REPLICAS * (k + 1)] = True
+        return out
+
+    def floors(self, q: np.ndarray, read: np.ndarray, k: int) -> np.ndarray:
+        """The score that each query's k nearest in the lists it reads reach at least, the query's own vector left out."""
+        if len(self.pilots) <= k:
+            return np.full(len(q), -np.inf)
+        scores = q @ self.pilots.T
+        scores[~read[:, self.pilot_lists].any(axis=2)] = -np.inf
+        return np.partition(scores, -k - 1, axis=1)[:, -k - 1] - 1e-9
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -184,32 +201,36 @@ def build(vectors: DataFrame, sample: int = SAMPLE) -> Index | None:
     if not stats["n"]:
         return None
     picked = vectors if stats["n"] <= sample else vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40)) < int(sample / stats["n"] * (1 << 40)))
-    rows = picked.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample).select("id", "v").toArrow()
-    x = _matrix(rows.column(1).combine_chunks())
-    index = Index(None, float(np.sqrt(stats["norm"])), rows.column(0).to_numpy()[:PILOTS], x[:PILOTS])
+    rows = picked.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample).select("v").toArrow()
+    x = _matrix(rows.column(0).combine_chunks())
+    index = Index(None, float(np.sqrt(stats["norm"])), x[:PILOTS].copy(), np.zeros((0, REPLICAS), np.int64))
     lists = int(min(CENTROIDS, max(1, 0.9 * stats["n"] ** 0.5)))
     index.graph = Graph.of(balanced_centroids(index.lifted(x), lists))
+    if len(index.pilots):
+        found, keep = index._closest(index.pilots)
+        index.pilot_lists = np.where(keep, found, found[:, :1])
     return index
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, exact: bool = False) -> DataFrame:
     """query_id, rank, the neighbour's key and score: for each query row the k largest inner products found with other rows.
 
     Ties go to the smaller key. Vectors that are null, empty, zero or hold null or non-finite components take no part;
-    all others must be of one length. Equal vectors are indexed once with their k + 1 smallest keys, as no query's
-    answer can hold others: that loses nothing, and groups of equal vectors of any size cost k + 1 rows. Queries get as
-    many rows as there are candidates, up to k. Rows of a null key take no part; other columns are ignored.
+    all others must be of one length. Repeated rows of a key and vector are one. Equal vectors are indexed once with
+    their k + 1 smallest keys, as no query's answer can hold others: that loses nothing, and groups of equal vectors of
+    any size cost k + 1 rows. Queries get as many rows as there are candidates, up to k. Rows of a null key take no
+    part; other columns are ignored. With `exact` every list is read and the answer is that of brute force.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    classes = written(rows.select("id", "v").withColumn("r", first).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "v"), "classes")
+    once = rows.select("id", "v").distinct()
+    classes = written(once.withColumn("r", first).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "v"), "classes")
     out = f"query_id long, rank int, {key} long, score double"
     index = build(classes.select("id", "v"), sample)
     if index is None:
         return spark.createDataFrame([], out)
-    shared = spark.sparkContext.broadcast(index)  # at most CENTROIDS points and their graph
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(index)  # at most CENTROIDS points and their graph, and PILOTS vectors
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,36 +239,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)], names=["list", "id", "ids", "v"])
 
+    posts = written(classes.mapInArrow(tidied(placed), "list long, id long, ids array<long>, v array<double>"), "postings")
+    counted = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # at most CENTROIDS rows
+    sizes = np.zeros(len(index.graph.points), np.int64)
+    sizes[[r["list"] for r in counted]] = [r["n"] for r in counted]
+
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for j in range(0, b.num_rows, 256):
                 part = b.slice(j, 256)
                 q = _matrix(part.column(1))
-                row, lists = shared.value.probes(q)
-                take = pa.array(row)
-                floor = pa.array(shared.value.floors(q, k)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), part.column(0).take(take), part.column(1).take(take), floor.take(take)], names=["list", "qid", "q", "floor"])
+                read = shared.value.probes(q, sizes, k, exact)
+                ends = np.concatenate(([0], read.sum(axis=1).cumsum()))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(read)[1], pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared.value.floors(q, read, k)), lists], names=["qid", "q", "floor", "lists"])
 
-    def piloted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value.pilot_ids, shared.value.pilots
-        for b in batches:
-            for j in range(0, b.num_rows, 256):
-                part = b.slice(j, 256)
-                q, qid = _matrix(part.column(1)), part.column(0).to_numpy()
-                best = shared.value.floors(q, k)[1]
-                got = [(qid[r], ids[v], float((q[r] * x[v]).sum())) for r in range(len(q)) for v in best[r] if ids[v] != qid[r]]
-                yield pa.RecordBatch.from_arrays([pa.array([g[n] for g in got], t) for n, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", key, "score"])
+    questions = rows.where("asks").select(F.col("id").alias("qid"), F.col("v").alias("q")).distinct()
+    asked = written(questions.mapInArrow(tidied(probed), "qid long, q array<double>, floor double, lists array<long>"), "questions").select(F.explode("lists").alias("list"), "qid", "q", "floor")
+    # how many blocks a list's vectors and its queries make: at most CENTROIDS rows
+    turns = {r["list"]: -(-r["n"] // QUERY_BLOCK) for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut = F.broadcast(spark.createDataFrame([(r["list"], -(-r["n"] // BLOCK), turns[r["list"]]) for r in counted if r["list"] in turns], "list long, blocks int, turns int"))
 
-    posts = written(classes.mapInArrow(tidied(placed), "list long, id long, ids array<long>, v array<double>"), "postings")
-    sizes = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n"))  # at most CENTROIDS rows
-    blocks = {r["list"]: -(-r["n"] // BLOCK) for r in sizes.collect()}
-    many = {c: b for c, b in blocks.items() if b > 1}
-    held = F.lit(1)
-    if many:
-        held = F.coalesce(F.create_map(*(F.lit(x) for c, b in many.items() for x in (c, b)))[F.col("list")], F.lit(1))
-    dealt = posts.withColumn("block", F.pmod(F.xxhash64("id"), held).cast("int"))
-    questions = rows.where("asks").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    asked = questions.mapInArrow(tidied(probed), "list long, qid long, q array<double>, floor double").withColumn("block", F.explode(F.sequence(F.lit(0), held - 1)))
+    def all_of(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    dealt = posts.join(cut, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), all_of("turns").alias("turn"), "id", "ids", "v")
+    asked = asked.join(cut, "list").select("list", all_of("blocks").alias("block"), F.pmod(F.xxhash64("qid"), F.col("turns")).cast("int").alias("turn"), "qid", "q", "floor")
 
     def answer(left: Iterator, right: Iterator) -> Iterator:
         import pandas as pd
@@ -285,9 +302,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                     f = pd.DataFrame({"query_id": a, key: c, "score": s}).sort_values(["query_id", "score", key], ascending=[True, False, True])
                     yield f.groupby("query_id", sort=False).head(k)
 
-    found = dealt.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(_arrow(answer, key), f"query_id long, {key} long, score double")
-    once = found.union(questions.mapInArrow(tidied(piloted), f"query_id long, {key} long, score double")).groupBy("query_id", key).agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+    met = ["list", "block", "turn"]
+    found = dealt.groupBy(*met).cogroup(asked.groupBy(*met)).applyInArrow(_arrow(answer, key), f"query_id long, {key} long, score double")
+    best = found.groupBy("query_id", key).agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", key, "score")
 
 

@@ -92,21 +92,48 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, groups: list[str], order: list[str], out: str, blocks: int | None = None) -> DataFrame:
-    """Adds `out`: 0-based row numbers within each combination of `groups`, gapless, in the order of the hash of `order`.
+#: Rows that a block of numbered rows is meant to hold; how many ranges, squared, a column is cut into at most.
+BLOCK_OF, SIDE = 50_000, 64
 
-    No group is gathered in one task: each is dealt into `blocks` hash blocks, numbered by themselves and shifted by the
-    rows of the blocks before. Rows that agree in all of `order` share a block; nulls hash like a value of their own.
-    The caller picks an `out` that df doesn't have.
+
+def numbered(df: DataFrame, groups: list[str], out: str, blocks: int | None = None) -> DataFrame:
+    """Adds `out`: 0-based row numbers within each combination of `groups`, gapless, in the order of the rows' hash.
+
+    No group is gathered in one task: each is dealt into hash blocks, whose number follows the rows', numbered by themselves
+    and shifted by the rows of the blocks before. Rows that agree in all columns are counted first and are one row until
+    they get their numbers. Nulls are values like others. The caller picks an `out` that df doesn't have.
     """
-    blocks = blocks or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return _numbered(df, groups, F.pmod(F.xxhash64(F.lit("block"), *order), F.lit(blocks)).cast("int"), [F.col(c) for c in order], out)
+    blocks = blocks or max(16, -(-df.count() // BLOCK_OF))
+    whole = F.xxhash64(F.lit("block"), *df.columns)
+    return in_blocks(df, groups, F.pmod(whole, F.lit(blocks)), [], out)
 
 
-def _numbered(df: DataFrame, groups: list[str], of_block: Column, order: list[Column], out: str) -> DataFrame:
-    block, before, *others = fresh(df, "block", "before", *(f"{g}_of" for g in groups), "block_of")
-    dealt = df.withColumn(block, of_block)
-    counts = dealt.groupBy(*groups, block).agg(F.count(F.lit(1)).alias(before))
+def numbered_by(df: DataFrame, groups: list[str], number: str, out: str, side: int | None = None) -> DataFrame:
+    """Like numbered(), in the order of the column `number`, null first, with blocks that are ranges between its quantiles.
+
+    Quantiles are those of the whole table, so far values make no block larger. Rows of one value are one block: they are
+    as many as differ in other columns.
+    """
+    side = side or min(SIDE, max(4, int((df.count() / BLOCK_OF) ** 0.5) + 1))
+    shares = [k / side**2 for k in range(1, side**2)]
+    ends = df.agg(F.percentile_approx(number, shares, 20 * side**2)).first()[0] or []
+    ends = sorted(set(ends))
+    if not ends:
+        return in_blocks(df, groups, F.lit(0).cast("long"), [F.asc_nulls_first(number)], out)
+    ranges = [ends[k : k + side] for k in range(0, len(ends), side)]
+    # first the range of bounds, then the place in it
+    coarse = F.size(F.filter(F.array(*(F.lit(r[-1]) for r in ranges)), lambda e: e < F.col(number)))
+    fine = F.element_at(F.array(*(F.array(*map(F.lit, r)) for r in [*ranges, [ranges[-1][-1]]])), coarse + 1)
+    block = coarse * side + F.size(F.filter(fine, lambda e: e < F.col(number)))
+    return in_blocks(df, groups, F.coalesce(F.when(F.col(number).isNotNull(), block), F.lit(-1)).cast("long"), [F.asc_nulls_first(number)], out)
+
+
+def in_blocks(df: DataFrame, groups: list[str], of_block: Column, order: list[Column], out: str, repeats: bool = True) -> DataFrame:
+    """Adds `out`: row numbers in the order of (block, order) within each group. repeats: whether rows can agree in all columns."""
+    block, before, times, nth, *others = fresh(df, "block", "before", "times", "nth", *(f"{g}_of" for g in groups), "block_of")
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(times)) if repeats else df.withColumn(times, F.lit(1).cast("long"))
+    dealt = counted.withColumn(block, of_block)
+    counts = dealt.groupBy(*groups, block).agg(F.sum(times).alias(before))
     ahead = Window.partitionBy(*groups).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn(before, F.coalesce(F.sum(before).over(ahead), F.lit(0)))
     keys = [*groups, block]
@@ -115,24 +142,15 @@ def _numbered(df: DataFrame, groups: list[str], of_block: Column, order: list[Co
     for k, o in zip(keys, others, strict=True):
         test = F.col(k).eqNullSafe(F.col(o))
         same = test if same is None else same & test
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    rows = dealt.withColumn(out, F.row_number().over(inside).cast("long") - 1)
+    inside = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*df.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn(out, F.coalesce(F.sum(times).over(inside), F.lit(0)))
     joined = rows.join(renamed, same, "left").withColumn(out, F.col(out) + F.col(before))
-    return joined.drop(block, before, *others)
+    if repeats:  # in pieces, so that no array holds all copies of a row
+        pieces = joined.withColumn(nth, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(1 << 16).cast("long"))))
+        joined = pieces.withColumn(nth, F.explode(F.sequence(F.col(nth), F.least(F.col(nth) + (1 << 16), F.col(times)) - 1))).withColumn(out, F.col(out) + F.col(nth)).drop(nth)
+    return joined.select(*df.columns, out)
 
 
 def unit_draw(*parts: Column) -> Column:
     """A uniform draw in (0, 1), decided by the hash of the parts."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
-
-
-def numbered_by(df: DataFrame, groups: list[str], number: str, out: str, blocks: int | None = None) -> DataFrame:
-    """Adds `out`: 0-based row numbers within each combination of `groups`, gapless, in the order of the whole column `number`.
-
-    Like numbered(), with blocks that are equal ranges of `number` over the whole table; null comes first.
-    """
-    blocks = blocks or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ends = df.agg(F.min(number).alias("lo"), F.max(number).alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) // blocks))
-    return _numbered(df, groups, F.coalesce(F.floor((F.col(number) - lo) / width), F.lit(-1)).cast("int"), [F.asc_nulls_first(number)], out)

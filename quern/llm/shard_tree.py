@@ -83,5 +83,5 @@ def op3_shard_tree(spark, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     grown = shard_of([F.col("doc_id").cast("string")], grown_tree(tree))
     rows = assign_shards(docs, tree).select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "shard", grown.alias("grown_shard"))
-    out = numbered(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot")
+    out = numbered(rows, ["shard"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -20,17 +20,24 @@ def key(row):
 
 
 def test_numbered_is_gapless_by_group(docs):
-    got = common.numbered(docs.select("doc_id", "source"), ["source"], ["doc_id"], "n", blocks=5).collect()
+    got = common.numbered(docs.select("doc_id", "source"), ["source"], "n", blocks=5).collect()
     groups = defaultdict(list)
     for r in got:
         groups[r["source"]].append(r["n"])
     assert len(got) == docs.count()
     assert all(sorted(v) == list(range(len(v))) for v in groups.values())
-    by_id = common.numbered_by(docs.select("doc_id", "source"), ["source"], "doc_id", "n", blocks=7).collect()
+
+
+@pytest.mark.parametrize("side", [1, 3, None])
+def test_numbered_by_a_column_with_far_values(spark, side):
+    rng = random.Random(12)
+    rows = [(k, rng.choice("ab")) for k in range(300)] + [(1 << 60, "a"), (-(1 << 60), "b"), (7, "a"), (7, "a")] + [(None, "a")] * 150 + [(None, None)]
+    got = common.numbered_by(spark.createDataFrame(rows, "doc_id long, source string").repartition(5), ["source"], "doc_id", "n", side).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
     last = defaultdict(list)
-    for r in sorted(by_id, key=lambda r: r["n"]):
-        last[r["source"]].append(-1 if r["doc_id"] is None else r["doc_id"])
-    assert all(v == sorted(v) for v in last.values())
+    for r in sorted(got, key=lambda r: r["n"]):
+        last[r["source"]].append((r["n"], -(1 << 62) if r["doc_id"] is None else r["doc_id"]))
+    assert all([n for n, _ in v] == list(range(len(v))) and [x for _, x in v] == sorted(x for _, x in v) for v in last.values())
 
 
 def test_tokens_round_trip(spark, docs, corpus, no_docs):
@@ -463,40 +470,3 @@ def test_decontamination(spark, no_docs):
     assert left.columns == docs.columns
     assert Counter(r["doc_id"] for r in left.collect()) == Counter([3, 4, 5, 6, 7, 50, 51])
     assert template_decontam.contaminated(no_docs, bench).count() == template_decontam.contaminated(docs, bench.limit(0)).count() == 0
-
-
-def test_mixture_keeps_to_its_weights(spark, docs, corpus, no_docs):
-    rows = [(k, "abc"[k % 3] if k % 7 else None) for k in range(3000)]
-    d = spark.createDataFrame(rows, "doc_id long, source string")
-    weights = {"a": 0.5, "b": 0.2, "c": 0.2, None: 0.1}
-    got = pfair_mix.mix(d, weights, period=100, block_rows=4).orderBy("position").collect()
-    assert [r["position"] for r in got] == list(range(3000))
-    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
-    slots = sorted({(r["slot"], r["source"]) for r in got}, key=lambda s: s[0])
-    seen, supply = Counter(), Counter(r[1] for r in rows)
-    for n, (slot, source) in enumerate(slots):
-        if slot != n:
-            break  # the first source has run out
-        seen[source] += 1
-        assert all(abs(seen[s] - w * (n + 1)) < 1.2 for s, w in weights.items())
-    assert n > 4 * min(supply.values()) / 4 / 0.5 * 0.3
-    with pytest.raises(ValueError):
-        pfair_mix.mix(docs, {"src0": 0.0})
-    clash = pfair_mix.mix(docs.withColumn("position", F.lit("x")).withColumn("tau", F.lit("y")).withColumn("of", F.lit("z")))
-    assert clash.columns == [*docs.columns, "position", "tau", "of", "block", "release", "slot", "deadline", "position_"]
-    assert sorted(r["position_"] for r in clash.collect()) == list(range(len(corpus)))
-    assert pfair_mix.mix(no_docs).count() == 0
-
-
-def test_mixture_against_a_loop(spark):
-    d = spark.createDataFrame([(k, "xyz"[min(k % 5, 2)]) for k in range(400)], "doc_id long, source string")
-    period, rows = 20, 3
-    plan = {r["source"]: r["parts"] for r in pfair_mix.target_parts(d.groupBy("source").agg(F.count(F.lit(1)).alias("rows")), None, period).collect()}
-    assert sum(plan.values()) == period
-    got = {(r["source"], r["block"]): r["slot"] for r in pfair_mix.mix(d, None, period, rows).collect()}
-    done, names = dict.fromkeys(plan, 0), sorted(plan)
-    for t in range(3 * period):
-        open_ = [(-(-(done[s] + 1) * period // plan[s]), s) for s in names if done[s] * period // plan[s] <= t]
-        s = min(open_)[1]
-        assert got.get((s, done[s]), t) == t
-        done[s] += 1

@@ -44,8 +44,12 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> Iterator[np.
 
 def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
     """The 64-bit fingerprint: a bit is 1 if it is set in over half of the shingle hashes; zero for a text without words."""
+    return _print_of(shingle_hashes(text, words, seed))
+
+
+def _print_of(pieces) -> int:
     n, ones = 0, np.zeros(64, dtype=np.int64)
-    for h in shingle_hashes(text, words, seed):
+    for h in pieces:
         n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
@@ -200,8 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-#: Members up to which a bucket's pairs are all tested at once; of a larger one first those with PIVOTS of its members.
-SMALL, PIVOTS = 16, 3
+#: Bits of a set's parity map, and members of a block: a bucket of more is compared block by block.
+MAP_BITS, MEMBERS = 1024, 2048
 #: Texts that frequent shingles are counted in, and the most that are told to all tasks. Which they are decides only the cost.
 COUNTED_TEXTS, FREQUENT = 20_000, 200_000
 
@@ -249,84 +253,83 @@ def _frequent(rows: DataFrame, words: int, texts: int = COUNTED_TEXTS, most: int
     return np.sort(got.astype(np.int64).view(np.uint64))
 
 
-def _pairs(similarity: float, first: bool):
-    """Pairs of buckets' members that can be similar, from rows (token, node, n, rest, root) sorted by token.
+def parity_map(hashes: np.ndarray, bits: int = MAP_BITS) -> bytes:
+    """For each bit whether an odd number of the hashes falls on it. Maps differ in no more bits than their sets in members."""
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
 
-    n is the size of a member's set and rest what of it the token and those after it hold, in the order of prefixes. At the first
-    hash that two sets share, they have no more in common than the smaller rest. `first`: all pairs of small buckets, of larger
-    ones those with a few members; otherwise all pairs of larger buckets whose members have different roots.
-    """
 
-    def able(n, rest, i, js):
-        most, least = np.maximum(n[js], n[i]), np.minimum(n[js], n[i])
-        return (least >= similarity * most - 1e-6) & (np.minimum(rest[js], rest[i]) >= similarity / (1 + similarity) * (n[js] + n[i]) - 1e-6)
-
-    def bucket(node, n, rest, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m = len(node)
-        if first:
-            at = range(m - 1) if m <= SMALL else range(PIVOTS)
-            for i in at:
-                js = np.arange(i + 1, m)
-                yield i, js[able(n, rest, i, js)]
-            if m > SMALL:
-                for i in range(PIVOTS, m - 1):
-                    js = np.arange(i + 1, i + 2)
-                    yield i, js[able(n, rest, i, js)]
-        elif m > SMALL:
-            names, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
-            if len(names) > 1:
-                inside = which == np.argmax(sizes)  # members of the largest group are compared with the others only
-                for i in np.flatnonzero(~inside).tolist():
-                    js = np.flatnonzero((which != which[i]) & (inside | (np.arange(m) > i)))
-                    yield i, js[able(n, rest, i, js)]
+def _compare(similarity: float, best: bool):
+    """Pairs that can be similar, from rows (token, lo, hi, block, node, n, root, map) sorted by token, lo and hi.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # the pieces of the last bucket so far
-
-        def done(cols, edges) -> Iterator[pa.RecordBatch]:
-            out, many = [], 0
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                node = cols[1][lo:hi]
-                for i, js in bucket(*(c[lo:hi] for c in cols[1:])):
-                    if len(js):
-                        out.append(np.stack((np.minimum(node[js], node[i]), np.maximum(node[js], node[i]))))
-                        many += len(js)
-                    if many > 100_000:
-                        yield send(out)
-                        out, many = [], 0
-            if out:
-                yield send(out)
-
-        def send(out) -> pa.RecordBatch:
-            both = np.unique(np.concatenate(out, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+    Such a group holds one block of a bucket, or two whose members are paired across. Members of one root aren't paired.
+    Sets of sizes m and n and similarity t differ in (1 - t) / (1 + t) (m + n) members at most, so those whose maps
+    differ in more bits are left out. `best`: of each two roots of a group only the pair that is nearest to that bound.
+    """
 
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(cols[0]):
+    def pairs(block, node, n, root, maps) -> Iterator[np.ndarray]:
+        cross = block[0] != block[-1] if len(block) else False
+        first = int(np.searchsorted(block, block[-1])) if cross else len(block)
+        for i in range(0, first, 128):
+            rows = np.arange(i, min(first, i + 128))
+            cols = np.arange(first if cross else i, len(node))
+            size = n[rows][:, None] + n[cols][None]
+            least = np.minimum(n[rows][:, None], n[cols][None])
+            may = (root[rows][:, None] != root[cols][None]) & (least >= similarity * (size - least) - 1e-6)
+            if not cross:
+                may &= cols[None] > rows[:, None]
+            r, c = np.nonzero(may)
+            if not len(r):
                 continue
-            if held and held[0][0][0] == cols[0][-1]:
-                held.append(cols)
+            r, c = rows[r], cols[c]
+            apart = np.concatenate([np.bitwise_count(maps[r[k : k + 65536]] ^ maps[c[k : k + 65536]]).sum(axis=1) for k in range(0, len(r), 65536)])
+            allowed = (1 - similarity) / (1 + similarity) * (n[r] + n[c])
+            near = apart <= allowed + 1e-6
+            r, c, rank = r[near], c[near], (apart - allowed)[near]
+            if best and len(r):
+                x, y = np.minimum(root[r], root[c]), np.maximum(root[r], root[c])
+                order = np.lexsort((node[c], node[r], rank, y, x))
+                r, c, x, y = r[order], c[order], x[order], y[order]
+                new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+                r, c = r[new], c[new]
+            if len(r):
+                yield np.stack((np.minimum(node[r], node[c]), np.maximum(node[r], node[c])))
+
+    def group(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        block, node, n, root, maps = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((node, block))
+        for both in pairs(block[order], node[order], n[order].astype(np.int64), root[order], maps[order]):
+            for k in range(0, both.shape[1], 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(both[0, k : k + (1 << 17)]), pa.array(both[1, k : k + (1 << 17)])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            cols = [np.concatenate(x) for x in zip(*held, cols, strict=True)]
-            edges = np.concatenate(([0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1))
-            yield from done(cols, edges)  # all but the last bucket, which the next batch may go on with
-            held = [[c[edges[-1] :] for c in cols]]
+            token, lo, hi, block, node, n, root = (b.column(k).to_numpy() for k in range(7))
+            maps = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(token)], strict=True):
+                if (here := (token[x], lo[x], hi[x])) != name and held:
+                    yield from group(held)
+                    held = []
+                name = here
+                held.append([c[x:y] for c in (block, node, n, root, maps)])
         if held:
-            yield from done([np.concatenate(x) for x in zip(*held, strict=True)], np.array([0, sum(len(h[0]) for h in held)]))
+            yield from group(held)
 
     return run
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", radius: int = 4) -> DataFrame:
     """(key, node, root, group_id, copies): rows whose texts are linked by shingle similarity have the same root, and group_id, their smallest key.
 
-    Texts are linked if the Jaccard similarity of all their shingle hashes is `similarity` or more. Every such pair shares a hash
-    of its prefixes and so meets in that hash's bucket; it is tested there unless links that passed the test connect it
-    already, so the groups are those of all pairs, whatever the partitioning. Equal texts are one node (xxhash64 of the
-    text; null is empty). Every row comes back; `copies` counts rows of equal key and text.
+    Texts are linked if the Jaccard similarity of all their shingle hashes is `similarity` or more. First the covering
+    tables give links between SimHashes within `radius` bits, which are tested. SimHashes of texts that are just
+    similar enough may lie farther apart, so the rest is found exactly: every similar pair shares a hash of its prefixes and
+    meets in that hash's bucket, and is tested unless links that passed the test connect it already. So the groups
+    are those of all pairs, whatever the partitioning. Equal texts are one node (xxhash64 of the text; null is empty).
+    Every row comes back; `copies` counts rows of equal key and text.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -335,33 +338,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, first = [], []
+            sizes, first, prints, maps = [], [], [], []
             for t in b.column(2).to_pylist():
-                h = shingle_set(t, words)
+                found = list(shingle_hashes(t, words))
+                h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
                 sizes.append(len(h))
                 first.append(prefix(h, similarity, frequent.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[key, "node", "n", "first"])
+                prints.append(_print_of(found))
+                maps.append(parity_map(h))
+            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "node", "n", "first", "fp", "map"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by token, those whose token stands in two rows or more."""
-        last = None  # the row before, which the next one decides about
-        for b in batches:
-            t = pa.Table.from_batches([b] if last is None else [last[0], b]).combine_chunks()
-            if not t.num_rows:
-                continue
-            token = t.column(0).to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.concatenate(([last is not None and last[1]], same)) | np.concatenate((same, [False]))
-            last = (t.slice(t.num_rows - 1).to_batches()[0], bool(keep[-1]))
-            yield from t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
-        if last is not None and last[1]:
-            yield last[0]
-
-    signed = written(rows.mapInArrow(tidied(run), f"{key} long, node long, n int, first array<long>"), "signatures")
-    nodes = signed.groupBy("node").agg(F.min(key).alias("least"))
-    once = signed.dropDuplicates(["node"]) if signed.count() > nodes.count() else signed
-    postings = once.select("node", "n", F.posexplode("first").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
-    met = written(postings.repartition(n, "token").sortWithinPartitions("token", "node").mapInArrow(tidied(shared), "token long, node long, n int, rest int"), "buckets")
+    signed = written(rows.mapInArrow(tidied(run), f"{key} long, node long, n int, first array<long>, fp long, map binary"), "signatures")
+    nodes = written(signed.groupBy("node").agg(F.min(key).alias("least")), "nodes")
+    once = signed.drop(key)
+    if signed.count() > nodes.count():
+        once = written(once.dropDuplicates(["node"]), "once")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar."""
@@ -377,23 +369,44 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
                 near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-9 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
                 yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-        whole = written(rows.select("node", "text").join(ends, "node", "left_semi").mapInArrow(tidied(sets), "node long, hashes binary").dropDuplicates(["node"]), "sets")
+        whole = written(rows.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(tidied(sets), "node long, hashes binary"), "sets")
         both = pairs.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("s")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("t")), "b").select("a", "b", "s", "t")
         return written(both.mapInArrow(tidied(compare), "a long, b long"), "similar")
 
-    def pairs_of(members: DataFrame, first: bool) -> DataFrame:
-        sorted_ = members.repartition(n, "token").sortWithinPartitions("token", "node").select("token", "node", "n", "rest", "root")
-        return sorted_.mapInArrow(tidied(_pairs(similarity, first)), "a long, b long")
-
-    found = similar(pairs_of(met.withColumn("root", F.col("node")), True))
-    roots = components(found)
-    # what is left: buckets with many members that the links so far don't connect
-    large = met.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SMALL).select("token")
-    rooted = met.join(large, "token", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = similar(pairs_of(rooted, False))
-    if not more.isEmpty():
-        roots = components(found.union(more))
-    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    # texts of one SimHash with the least of them, and the least ones of SimHashes that the tables link
+    classes = written(once.groupBy("fp").agg(F.min("node").alias("rep")), "classes")
+    linked = links(classes.select(F.col("fp").alias("node"), "fp"), radius)
+    for end in ("a", "b"):
+        linked = linked.join(classes.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_")), end)
+    near = linked.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
+    equal = once.select("fp", "node").join(classes, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    found = similar(near.union(equal))
+
+    def rooted(of: DataFrame, roots: DataFrame) -> DataFrame:
+        return of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    roots = written(components(found), "roots")
+    postings = rooted(once.select("node", "n", "first"), roots).select(F.explode("first").alias("token"), "root", "node", "n")
+    several = postings.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    met = written(postings.join(written(several, "several"), "token", "left_semi").select("token", "node", "n"), "buckets")
+    # of buckets with the same members one is enough
+    held = met.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("node").alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("y"))
+    held = written(held.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "tokens")
+    met = written(met.join(held, "token"), "members")
+    maps = written(once.select("node", "map").join(met.select("node").distinct(), "node", "left_semi"), "maps")
+
+    def pairs_of(members: DataFrame, best: bool) -> DataFrame:
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "root", "map")
+        return dealt.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(tidied(_compare(similarity, best)), "a long, b long")
+
+    for best in (True, False):
+        more = similar(pairs_of(rooted(met.join(maps, "node"), roots), best))
+        if not more.isEmpty():
+            found = found.union(more)
+            roots = written(components(found), "roots")
+    named = rooted(nodes, roots)
     names = written(named.groupBy("root").agg(F.min("least").alias("group_id")), "names")
     groups = named.join(names, "root").select("node", "root", "group_id")
     return signed.groupBy(key, "node").agg(F.count(F.lit(1)).alias("copies")).join(groups, "node").select(key, "node", "root", "group_id", "copies")

@@ -11,6 +11,7 @@ vocabulary allows it, else 32.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,11 +29,33 @@ LENGTH, BATCH = 2048, 64
 WORDS_KEPT = 700_000
 
 
+#: Pieces and gaps of the texts by which a tokenizer shows whether it splits at white space first.
+_PIECES = "a B the words don't x1 9.5% ,, ... (q) é ß 日本 -- #tag low-er UPPER \u0301 ü.".split(" ")
+_GAPS = (" ", "  ", "\n", "\t ", " \r\n", "   \n\n")
+
+
+def splits_first(tokenizer) -> bool:
+    """Whether a tokenizer splits at white space before all else and drops it: texts of any pieces and gaps have their pieces' ids in a row.
+
+    Told by what it does with every two of some pieces, over every gap, also at a text's ends. Tokens added to it that hold white space, or reach for it, say no.
+    """
+    if any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    ids = [e.ids for e in tokenizer.encode_batch(_PIECES, add_special_tokens=False)]
+    pairs = [(i, j) for i in range(len(_PIECES)) for j in range(len(_PIECES))]
+    for k, gap in enumerate(_GAPS):
+        ends = ("", gap) if k % 2 else (gap, "")
+        got = tokenizer.encode_batch([f"{ends[0]}{_PIECES[i]}{gap}{_PIECES[j]}{ends[1]}" for i, j in pairs], add_special_tokens=False)
+        if any(e.ids != ids[i] + ids[j] for e, (i, j) in zip(got, pairs, strict=True)):
+            return False
+    return True
+
+
 class WordMemory:
     """Encodes with a tokenizer of the tokenizers library, each whitespace-separated piece once while it is remembered.
 
-    Only for tokenizers that split at white space before all else and drop it, as word_bpe_49k does: there, a text's
-    ids are its pieces' ids in a row. Pieces are told apart at space, tab, newline and return alone. A piece of letters
+    That is for tokenizers that split at white space before all else and drop it, as word_bpe_49k does: there, a text's
+    ids are its pieces' ids in a row. Others, as splits_first() tells, encode whole texts. Pieces are told apart at space, tab, newline and return alone. A piece of letters
     with one mark after it has the ids of the letters, then the mark's; where the tokenizer lower-cases, ASCII letters
     are looked up in lower case. Pieces of letters are encoded together, and their ids told apart by the ends of words.
     """
@@ -41,6 +64,7 @@ class WordMemory:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {"": b""}
+        self.whole = not splits_first(self.tokenizer)
         model = self.tokenizer.model
         self.ends = None
         if suffix := getattr(model, "end_of_word_suffix", None):
@@ -49,6 +73,8 @@ class WordMemory:
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
 
     def encode(self, text: str) -> bytes:
+        if self.whole:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:
             return b"".join([self.known[p] for p in pieces])
@@ -111,14 +137,12 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _publish(uri: str, name: str, attempt: int, write) -> None:
-    """Writes a file under another name and then moves it: a task that is run again replaces it whole."""
+def _write(uri: str, name: str, write) -> None:
+    """Writes a file under a name that no other attempt of the task has: it is read only if the manifest names it."""
     files, root = _filesystem(uri)
     files.create_dir(root, recursive=True)
-    draft = f"{root}/.{name}.{attempt}"
-    with files.open_output_stream(draft) as sink:
+    with files.open_output_stream(f"{root}/{name}") as sink:
         write(sink)
-    files.move(draft, f"{root}/{name}")
 
 
 class _Sequences:
@@ -154,7 +178,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH
     """Encodes docs (doc_id, text) into the files under `uri`; returns their manifest: shard, name, n_docs, n_tokens.
 
     Documents are written in ascending doc_id order, or in that of the columns `order`. A null text is empty; every document gets at least the end id. Documents of equal doc_id, also null ones (which
-    come first), follow one another in the order of their texts. Other columns are ignored. An empty table makes no
+    come first), follow one another in the order of their texts' hashes. A file has the name of one attempt, which the manifest tells: what lost attempts wrote isn't read. Other columns are ignored. An empty table makes no
     files. The manifest is a table in the shared folder: reading it doesn't encode again.
     """
     dtype = np.dtype(np.uint16 if vocabulary <= 1 << 16 else np.uint32)
@@ -164,8 +188,8 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        shard, attempt = task.partitionId(), task.taskAttemptId()
-        name, ids, starts, at = f"{shard:06d}", [], [], 0
+        shard = task.partitionId()
+        name, ids, starts, at = f"{shard:06d}-{uuid.uuid4().hex}", [], [], 0
         memory = _memory(tokenizer, dtype)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
@@ -183,14 +207,16 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, length: int = LENGTH
             with pa.ipc.new_file(sink, pa.schema([(k, v.type) for k, v in columns.items()])) as w:
                 w.write_table(pa.table(columns), max_chunksize=1 << 16)
 
-        _publish(uri, f"{name}.seq.arrow", attempt, sequences)
-        _publish(uri, f"{name}.doc.arrow", attempt, index)
+        _write(uri, f"{name}.seq.arrow", sequences)
+        _write(uri, f"{name}.doc.arrow", index)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(ids)], "n_tokens": [at]}, schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by = [c.alias(f"order{k}") for k, c in enumerate(order or [F.col("doc_id").cast("long")])]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *by)
-    names = [f"order{k}" for k in range(len(by))]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # rows of one id, also those without, are dealt over ranges by their texts' hashes
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *by, F.xxhash64(text).alias(f"order{len(by)}"))
+    names = [f"order{k}" for k in range(len(by) + 1)]
     dealt = rows.repartitionByRange(parts, *names).sortWithinPartitions(*names, "text").select("doc_id", "text")
     return written(dealt.mapInArrow(tidied(write, KEEP), "shard int, name string, n_docs long, n_tokens long"), "manifest")
 

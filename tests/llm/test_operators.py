@@ -49,6 +49,7 @@ def test_tokens_round_trip(spark, docs, corpus, no_docs):
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
         want.append((doc_id, at, len(ids), zlib.crc32(ids)))
         at += len(ids)
+    # equal ids follow one another in the order of their texts' hashes
     uri = common.shared_dir(spark) + "/t"
     manifest = token_store.write_tokens(docs.withColumn("shard", F.lit("clash")), uri, path, length=64)
     got = [tuple(r) for r in token_store.read_tokens(spark, uri, manifest).collect()]
@@ -67,6 +68,20 @@ def test_words_are_encoded_as_whole_texts_are(text):
         assert np.frombuffer(memory.encode(text), np.uint16).tolist() == memory.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts(spark, docs, corpus):
+    """Byte-level BPE keeps white space, so its texts aren't put together from pieces."""
+    from tokenizers import Tokenizer
+
+    path = token_store.public_tokenizer("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    assert not token_store.splits_first(t) and token_store.splits_first(Tokenizer.from_file(token_store.public_tokenizer()))
+    uri = common.shared_dir(spark) + "/whole"
+    manifest = token_store.write_tokens(docs, uri, path, length=64, vocabulary=50_257)
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read_tokens(spark, uri, manifest).collect())
+    ids = ((r[0], np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")) for r in corpus)
+    assert got == Counter((k, len(i), zlib.crc32(i)) for k, i in ids)
+
+
 def test_shards(docs, corpus, no_docs):
     tree = shard_tree.balanced_tree(8)
     got = shard_tree.assign_shards(docs, tree).withColumn("grown", shard_tree.shard_of([F.col("doc_id").cast("string")], shard_tree.grown_tree(tree))).collect()

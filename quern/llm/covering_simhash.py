@@ -204,6 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+#: Rows of one number up to which a table is given to all executors instead of moving what it is joined with.
+TOLD = 2_000_000
 #: Bits of a set's parity map, and members of a block: a bucket of more is compared block by block.
 MAP_BITS, MEMBERS = 1024, 2048
 #: Texts that frequent shingles are counted in, and the most that are told to all tasks. Which they are decides only the cost.
@@ -321,6 +323,11 @@ def _compare(similarity: float, best: bool):
     return run
 
 
+def _told(numbers: DataFrame) -> DataFrame:
+    """A written table of one column of numbers, for a join: broadcast if its counted rows are few enough."""
+    return F.broadcast(numbers) if numbers.count() <= TOLD else numbers
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", radius: int = 4) -> DataFrame:
     """(key, node, root, group_id, copies): rows whose texts are linked by shingle similarity have the same root, and group_id, their smallest key.
 
@@ -358,7 +365,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar."""
         pairs = written(pairs.distinct(), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = _told(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -388,7 +395,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     roots = written(components(found), "roots")
     postings = rooted(once.select("node", "n", "first"), roots).select(F.explode("first").alias("token"), "root", "node", "n")
     several = postings.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    met = written(postings.join(written(several, "several"), "token", "left_semi").select("token", "node", "n"), "buckets")
+    met = written(postings.join(_told(written(several, "several")), "token", "left_semi").select("token", "node", "n"), "buckets")
     # of buckets with the same members one is enough
     held = met.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("node").alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("y"))
     held = written(held.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "tokens")

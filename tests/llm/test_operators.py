@@ -131,17 +131,14 @@ def test_toxicity_on_held_out_rows(spark, docs, corpus, no_docs):
     assert toxicity_cnn.toxicity_scores(no_docs, labels).count() == 0
 
 
-def test_long_texts_are_scored_whole():
+def test_long_texts_are_scored_whole(monkeypatch):
     rows = toxic_rows(400)
     model = toxicity_cnn.train([r[1] for r in rows], [r[2] for r in rows])
-    words = [model.ids(toxicity_cnn.words_of(rows[1][1]), {})]
-    before = toxicity_cnn.PIECE
-    try:
-        whole = model.pooled([np.concatenate(words * 3)])
-        toxicity_cnn.PIECE = 7
-        assert np.allclose(whole, model.pooled([np.concatenate(words * 3)]))
-    finally:
-        toxicity_cnn.PIECE = before
+    texts = [model.ids(toxicity_cnn.words_of(r[1])[:n], {}) for n, r in enumerate(rows[:40])]
+    alone = np.concatenate([model.pooled([t]) for t in texts])
+    for piece in (1 << 16, 7, 3, 2, 1):
+        monkeypatch.setattr(toxicity_cnn, "PIECE", piece)
+        assert np.allclose(alone, model.pooled(texts))
 
 
 def removed(texts, length):

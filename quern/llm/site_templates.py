@@ -23,7 +23,7 @@ from quern.llm.common import spread, table, tidied, written
 #: A subtree is template if it stands on at least so many pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.3
 #: Template subtrees that are given to all executors; beyond it they are joined by host.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 #: Element names by what is done with them.
 RAW = frozenset("script style noscript template textarea title iframe svg math xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -287,8 +287,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 known.setdefault(host, []).append(h)
         shared = spark.sparkContext.broadcast(known)
         return rows.mapInArrow(tidied(run(shared)), schema)
-    by_host = template.groupBy("host").agg(F.collect_set("hash").alias("template"))  # a host's templates are few: each stands on a share of its pages
-    host = F.udf(host_of, "string")
+    # a host's templates are few: each stands on a share of its pages. Written, so that a large host's pages can be split in the join
+    by_host = written(template.groupBy("host").agg(F.collect_set("hash").alias("template")), "hosts")
+    host = F.udf(host_of, "string", useArrow=True)
     return rows.withColumn("host", host("url")).join(by_host, "host", "left").select("page_id", "url", "html", F.coalesce("template", F.array().cast("array<long>")).alias("template")).mapInArrow(tidied(run(None)), schema)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import fresh, spread, table, tidied, written
@@ -147,6 +147,20 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(tidied(run), "hash long, item_id long, at int, size int, of int, slots array<string>, full boolean").distinct()
 
 
+def key_windows(bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(hash, item_id) of each item's rarest windows, so many that a document which holds the item's share of windows holds one of them.
+
+    Of an item's places a document may miss those beyond the share; one more than that can't all be missed. Windows that
+    many items have are keys of an item only if it has no rarer ones.
+    """
+    counts = bench.groupBy("hash").agg(F.countDistinct("item_id").alias("items"))
+    places = bench.join(counts, "hash").groupBy("item_id", "at", "of").agg(F.max("items").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "at"))
+    missed = F.col("of") - F.ceil(F.col("of") * coverage - 1e-9)
+    chosen = places.withColumn("rank", rank).where(F.col("rank") <= missed + 1).select("item_id", "at")
+    return bench.join(chosen, ["item_id", "at"]).select("hash", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, sieve: int = SIEVE) -> DataFrame:
     """doc_id, text_hash, item_id, covered, of, coverage, n_slots, n_changed, kind for each item that a document holds.
 
@@ -189,7 +203,12 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
                 start = stop
 
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    hits = rows.mapInArrow(tidied(run), "doc_id long, text_hash long, hash long, pos int, found array<string>, begins boolean").join(bench, "hash")
+    seen = written(rows.mapInArrow(tidied(run), "doc_id long, text_hash long, hash long, pos int, found array<string>, begins boolean"), "hits")
+    # items of which a document has a rare window; only those are compared, so a window that many items share pairs no document with all of them
+    keys = written(key_windows(bench, coverage), "keys")
+    maybe = seen.select("doc_id", "text_hash", "hash").join(keys, "hash").select(F.col("doc_id").alias("maybe_id"), F.col("text_hash").alias("maybe_hash"), "item_id").distinct()
+    asked = seen.join(written(maybe, "maybe"), F.col("doc_id").eqNullSafe(F.col("maybe_id")) & (F.col("text_hash") == F.col("maybe_hash"))).drop("maybe_id", "maybe_hash")
+    hits = asked.join(bench, ["hash", "item_id"])
     # one alignment of an item in a document: windows at the same distance, whose slots must agree one to one; if they don't with
     # the words that begin sentences as names, then they may without
     pairs = F.zip_with("slots", "found", lambda a, b: F.struct(F.regexp_replace(a, "^\\d+:", "").alias("a"), F.regexp_replace(b, "^\\d+:", "").alias("b")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -89,7 +90,31 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.append((path, out := spark.read.schema(df.schema).parquet(path)))
+    return out
+
+
+#: Tables of this driver in the shared folder, the latest last, and rows of numbers up to which a table is given to all executors.
+_TABLES: list[tuple[str, DataFrame]] = []
+TOLD = 1_000_000
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables that are written within it when it ends, but for those that are put into the list it gives."""
+    mark, kept = len(_TABLES), []
+    try:
+        yield kept
+    finally:
+        for path, df in _TABLES[mark:]:
+            if not any(df is k for k in kept):
+                _remove(spark, path)
+        _TABLES[mark:] = [t for t in _TABLES[mark:] if any(t[1] is k for k in kept)]
+
+
+def told(numbers: DataFrame) -> DataFrame:
+    """A written table of few numbers a row, for a join: broadcast if its counted rows are few enough, else as it is."""
+    return F.broadcast(numbers) if numbers.count() <= TOLD else numbers
 
 
 #: Rows that a block of numbered rows is meant to hold; how many ranges, squared, a column is cut into at most.

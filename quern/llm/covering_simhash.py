@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, spread, table, tidied, written
+from quern.llm.common import fresh, scratch, spread, table, tidied, told, written
 from quern.llm.components import components
 
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
@@ -204,8 +204,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-#: Rows of one number up to which a table is given to all executors instead of moving what it is joined with.
-TOLD = 2_000_000
 #: Bits of a set's parity map, and members of a block: a bucket of more is compared block by block.
 MAP_BITS, MEMBERS = 1024, 2048
 #: Texts that frequent shingles are counted in, and the most that are told to all tasks. Which they are decides only the cost.
@@ -323,11 +321,6 @@ def _compare(similarity: float, best: bool):
     return run
 
 
-def _told(numbers: DataFrame) -> DataFrame:
-    """A written table of one column of numbers, for a join: broadcast if its counted rows are few enough."""
-    return F.broadcast(numbers) if numbers.count() <= TOLD else numbers
-
-
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", radius: int = 4) -> DataFrame:
     """(key, node, root, group_id, copies): rows whose texts are linked by shingle similarity have the same root, and group_id, their smallest key.
 
@@ -362,10 +355,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     if signed.count() > nodes.count():
         once = written(once.dropDuplicates(["node"]), "once")
 
+    tested: list[DataFrame] = []
+
     def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar."""
-        pairs = written(pairs.distinct(), "pairs")
-        ends = _told(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
+        """The pairs that are similar, of those that weren't tested before."""
+        pairs = pairs.distinct()
+        for before in tested:
+            pairs = pairs.join(told(before), ["a", "b"], "left_anti")
+        tested.append(pairs := written(pairs, "pairs"))
+        ends = told(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -393,9 +391,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
         return of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     roots = written(components(found), "roots")
-    postings = rooted(once.select("node", "n", "first"), roots).select(F.explode("first").alias("token"), "root", "node", "n")
-    several = postings.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    met = written(postings.join(_told(written(several, "several")), "token", "left_semi").select("token", "node", "n"), "buckets")
+    postings = once.select("node", "n", F.explode("first").alias("token"))
+
+    def several(of: DataFrame) -> DataFrame:
+        """Tokens that stand with two roots or more."""
+        return written(of.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"), "several")
+
+    wanted = several(rooted(once.select("node", "first"), roots).select(F.explode("first").alias("token"), "root"))
+    met = written(postings.join(told(wanted), "token", "left_semi").select("token", "node", "n"), "buckets")
     # of buckets with the same members one is enough
     held = met.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("node").alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("y"))
     held = written(held.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "tokens")
@@ -409,7 +412,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
         return dealt.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(tidied(_compare(similarity, best)), "a long, b long")
 
     for best in (True, False):
-        more = similar(pairs_of(rooted(met.join(maps, "node"), roots), best))
+        members = rooted(met, roots)
+        if not best:  # only buckets that still have several roots
+            members = members.join(told(several(members)), "token", "left_semi")
+        more = similar(pairs_of(members.join(maps, "node"), best))
         if not more.isEmpty():
             found = found.union(more)
             roots = written(components(found), "roots")
@@ -426,15 +432,20 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     group the row with the smallest key stays (null last; of several texts with that key the one with the least hash), of
     rows equal in key and text one. Equal hashes of 64 bits are taken for equal texts.
     """
-    groups = written(similar_groups(docs, words, similarity, key), "groups")
-    k, n, rows, h = fresh(docs, "kept_key", "kept_node", "kept_rows", "kept_hash")
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), key, "node", "copies"))
-    one = written(groups.groupBy("root").agg(first.alias("x")).select(F.col(f"x.{key}").alias(k), F.col("x.node").alias(n), F.col("x.copies").alias(rows)), "kept")
+    k, n, h, kept_key, kept_node = fresh(docs, "gone_key", "gone_node", "gone_hash", "kept_key", "kept_node")
+    with scratch(docs.sparkSession) as kept:
+        groups = written(similar_groups(docs, words, similarity, key), "groups")
+        first = F.min(F.struct(F.col(key).isNull().alias("none"), key, "node"))
+        one = written(groups.groupBy("root").agg(first.alias("x")).select("root", F.col(f"x.{key}").alias(kept_key), F.col("x.node").alias(kept_node)), "kept")
+        stays = F.col(key).eqNullSafe(F.col(kept_key)) & (F.col("node") == F.col(kept_node))
+        gone = written(groups.join(one, "root").where(~stays).select(F.col(key).alias(k), F.col("node").alias(n)), "gone")
+        repeated = not groups.where("copies > 1").isEmpty()
+        kept.append(gone)
     hashed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(one.select(k, n), F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.col(h) == F.col(n)), "left_semi")
-    if not one.where(F.col(rows) > 1).isEmpty():
-        kept = kept.dropDuplicates([key, h])
-    return kept.drop(h)
+    left = hashed.join(told(gone), F.col(key).cast("long").eqNullSafe(F.col(k)) & (F.col(h) == F.col(n)), "left_anti")
+    if repeated:
+        left = left.dropDuplicates([key, h])
+    return left.drop(h)
 
 
 def op8_covering_simhash(spark, sf_dir: str) -> DataFrame:

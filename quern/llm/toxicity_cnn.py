@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from quern.llm.common import fresh, spread, table, tidied, written
+from quern.llm.common import fresh, spread, table, tidied, told, written
 
 #: Labelled rows that training takes at most, chosen by the hash of doc_id.
 TRAIN_ROWS = 8_000
@@ -313,15 +313,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
     The score is from 0 to 1, and at least 0.7 where a text reaches the threshold of its guessed language. All rows are kept;
     null and empty texts are scored as texts without words; an empty table stays empty. Without labels of both classes no
     text passes, or, if all are toxic, every text. If docs have a column named like the score, the new one, which is the
-    last, gets an underscore more. Raw scores are written to the shared folder with the columns that are kept.
+    last, gets an underscore more. Labelled texts are scored twice: for the thresholds, and with all others.
     """
     keep = docs.columns if keep is None else keep
     out, raw, spoken, y, of = fresh(docs, score, "raw", "spoken", "y", "labelled_id")
     fit, rest = _labelled_ids(labels, ~held_out(), "toxic", rows)
     model = train(*_texts_of(docs, fit))
-    scored = written(raw_scored(docs, model, raw, spoken).select(*keep, raw, spoken, F.col("doc_id").alias(of)), "raw")
-    told = scored.join(rest.select(F.col("doc_id").alias(y + "_id"), F.col("y").alias(y)), F.col(of) == F.col(y + "_id")).select(F.col(spoken).alias("spoken"), F.col(raw).alias("z"), F.col(y).alias("y"))
-    general, limits = thresholds(told)
+    labelled = told(written(rest, "labelled").select(F.col("doc_id").alias(of), F.col("y").alias(y)))
+    some = docs.select("doc_id", "text").join(labelled, F.col("doc_id") == F.col(of)).select("text", y)
+    general, limits = thresholds(raw_scored(some, model, raw, spoken).select(F.col(spoken).alias("spoken"), F.col(raw).alias("z"), F.col(y).alias("y")))
+    scored = raw_scored(docs, model, raw, spoken)
     at = F.lit(general)
     for name, limit in sorted(limits.items()):
         at = F.when(F.col(spoken) == name, F.lit(limit)).otherwise(at)

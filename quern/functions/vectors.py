@@ -110,3 +110,37 @@ def _answer(spark, base: DataFrame, table: pa.Table, k: int, metric: str, width:
 
     rows_ = base.select(F.col("node_id").cast("long").alias("node_id"), F.col("v").cast("array<double>").alias("v"))
     return rows_.mapInArrow(run, "query_id long, node_id long, score double")
+
+
+def nearest_of(rows: DataFrame, few: DataFrame, k: int) -> DataFrame:
+    """query_id, node_id, score, rank: for each of rows (query_id, v) the k rows of few (node_id, v) with the largest cosine.
+
+    The other way round than nearest(): the few, such as the centroids of a level, are sent to all tasks, and rows stream
+    past them without a shuffle. Where the few take over QUERY_BYTES, nearest() answers. Scores and ties as there.
+    """
+    spark = rows.sparkSession
+    n, width = few.where("v is not null").agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if 8 * n * (width or 1) > QUERY_BYTES:
+        return nearest(few, rows, k)
+    told = few.where("v is not null").select(F.col("node_id").cast("long"), F.col("v").cast("array<double>")).orderBy("node_id").toArrow()  # at most QUERY_BYTES
+    kept = [(i, v) for i, v in zip(told.column(0).to_pylist(), told.column(1).to_pylist(), strict=True) if len(v) == width and any(v)]
+    ids, c = np.array([i for i, _ in kept], np.int64), np.array([v for _, v in kept], np.float64).reshape(len(kept), width or 1)
+    shared = spark.sparkContext.broadcast((ids, c / np.maximum(np.linalg.norm(c, axis=1), 1e-300)[:, None]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            fit = np.array(lists.is_valid()) & (np.array(lists.value_lengths().fill_null(0)) == width)
+            if not fit.any() or not len(ids):
+                continue
+            x = np.array(lists.filter(pa.array(fit)).flatten(), np.float64).reshape(-1, width)
+            size = np.linalg.norm(x, axis=1)
+            query, x, size = batch.column(0).to_numpy()[fit][size > 0], x[size > 0], size[size > 0]
+            s = np.round(x @ c.T / size[:, None], 6)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # the few stand in the order of their ids
+            row = np.repeat(np.arange(len(query)), order.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(ids[order.ravel()]), pa.array(np.take_along_axis(s, order, 1).ravel()), pa.array(np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(query)))], names=["query_id", "node_id", "score", "rank"])
+
+    asked = rows.where("v is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v"))
+    return asked.mapInArrow(run, "query_id long, node_id long, score double, rank int")

@@ -48,6 +48,65 @@ def traverse(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "b
     return reduce(DataFrame.union, levels)
 
 
+def traverse_paths(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "both", relations: list[str] | None = None, least: float = 0.0, targets: DataFrame | None = None) -> DataFrame:
+    """start, node, distance, path: like traverse(), over edges (src, dst, relation, confidence) of some relations and of a confidence on.
+
+    path holds the nodes of the shortest way, of equals the least. targets (node) keep nodes of the output only: ways may
+    lead through others.
+    """
+    kept = edges.where(F.col("confidence") >= least)
+    if relations is not None:
+        kept = kept.where(F.col("relation").isin(relations))
+    steps = directed(kept.select("src", "dst"), direction).distinct()
+    frontier = starts.select("start", F.col("start").alias("node")).distinct().withColumn("path", F.array("node"))
+    seen, levels = frontier.select("start", "node"), []
+    for d in range(1, hops + 1):
+        grown = frontier.join(steps, F.col("node") == F.col("at")).select("start", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"))
+        frontier = grown.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti")
+        levels.append(frontier.select("start", "node", F.lit(d).alias("distance"), "path"))
+        seen = seen.union(frontier.select("start", "node"))
+    out = reduce(DataFrame.union, levels)
+    return out if targets is None else out.join(targets.select("node"), "node", "left_semi").select("start", "node", "distance", "path")
+
+
+def relationships(edges: DataFrame, ids: DataFrame, direction: str = "both", relation: str | None = None, as_of: Column | None = None) -> DataFrame:
+    """id and the edges (src, dst, relation, ...) at each of ids (id), in a direction, of a relation, and active at a time if given."""
+    kept = edges if relation is None else edges.where(F.col("relation") == relation)
+    kept = kept if as_of is None else active(kept, as_of)
+    ends = {"outgoing": ["src"], "incoming": ["dst"], "both": ["src", "dst"]}[direction]
+    parts = [kept.join(ids.select("id"), F.col(e) == F.col("id")) for e in ends]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def between(edges: DataFrame, src, dst, relation: str | None = None) -> DataFrame:
+    """The edges from src to dst, of a relation if given."""
+    kept = edges.where((F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(dst)))
+    return kept if relation is None else kept.where(F.col("relation") == relation)
+
+
+def related(edges: DataFrame, ids: DataFrame, direction: str = "both") -> DataFrame:
+    """id, other: the different entities one step from each of ids (id)."""
+    steps = directed(edges.select("src", "dst"), direction).distinct()
+    return steps.join(ids.select("id"), F.col("at") == F.col("id")).select("id", F.col("to").alias("other")).distinct()
+
+
+def inverted(edges: DataFrame) -> DataFrame:
+    """edges (id, src, dst, relation) the other way round: ends swapped, the inverse relation, and `_inv` after the id."""
+    from quern.functions.extract import inverse
+
+    return edges.select(F.concat("id", F.lit("_inv")).alias("id"), F.col("dst").alias("src"), F.col("src").alias("dst"), inverse(F.col("relation")).alias("relation"))
+
+
+def to_rows(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """part, json: a graph as lines of JSON, one for each entity and edge."""
+    return entities.select(F.lit("entity").alias("part"), F.to_json(F.struct("*")).alias("json")).union(edges.select(F.lit("edge"), F.to_json(F.struct("*"))))
+
+
+def from_rows(rows: DataFrame, entities: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) of lines of JSON, with the columns that the two schemas name."""
+    return tuple(rows.where(F.col("part") == part).select(F.from_json("json", schema).alias("x")).select("x.*") for part, schema in (("entity", entities), ("edge", edges)))
+
+
 def simple_paths(edges: DataFrame, start, end, hops: int, direction: str = "both") -> DataFrame:
     """path, length of all paths without a repeated node from start to end, stopping at the end."""
     steps = directed(edges.select("src", "dst"), direction).distinct()
@@ -90,12 +149,16 @@ def retrieval_scores(terms: DataFrame, edges: DataFrame, documents: DataFrame, q
     """query_id, node_id, score of documents (node_id) by queries (query_id, entity) over graph nodes.
 
     terms (term, node_id, value): each graph node under the tokens of its value. A node whose value is the query's
-    entity scores `exact`, one that contains it `contains`; each neighbour of such a node scores `neighbour`.
+    entity scores `exact`, one that contains it `contains`; each neighbour of such a node scores `neighbour`. Nodes are looked
+    up by all words of the entity; an entity that a query names again counts again.
     """
-    asked = queries.select("query_id", F.lower("entity").alias("entity"), F.get(F.split(F.lower("entity"), r"\s+"), 0).alias("term"))
-    met = terms.join(asked, "term").where(F.contains(F.lower("value"), F.col("entity"))).select("query_id", "entity", "node_id", "value").distinct()
-    own = met.select("query_id", "node_id", F.when(F.lower("value") == F.col("entity"), exact).otherwise(contains).alias("s"))
-    near = met.join(directed(edges.select("src", "dst"), "both").distinct(), F.col("node_id") == F.col("at")).select("query_id", F.col("to").alias("node_id"), F.lit(neighbour).alias("s"))
+    from quern.functions.text import words
+
+    asked = queries.groupBy("query_id", F.lower("entity").alias("entity")).agg(F.count(F.lit(1)).alias("times")).where("entity != ''")
+    by_term = asked.select("query_id", "entity", "times", F.explode(F.array_distinct(words(F.col("entity")))).alias("term"))
+    met = terms.join(by_term, "term").where(F.contains(F.lower("value"), F.col("entity"))).select("query_id", "entity", "times", "node_id", "value").distinct()
+    own = met.select("query_id", "node_id", (F.col("times") * F.when(F.lower("value") == F.col("entity"), exact).otherwise(contains)).alias("s"))
+    near = met.join(directed(edges.select("src", "dst"), "both").distinct(), F.col("node_id") == F.col("at")).select("query_id", F.col("to").alias("node_id"), (F.col("times") * neighbour).alias("s"))
     return own.union(near).join(documents.select("node_id"), "node_id", "left_semi").groupBy("query_id", "node_id").agg(F.round(F.sum("s"), 6).alias("score"))
 
 

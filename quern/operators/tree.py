@@ -34,9 +34,9 @@ def best_parents(nodes: DataFrame, parents: DataFrame, least: float = 0.25) -> D
 
     Parents are sent to all tasks as vectors of one level, whose number a tree bounds; ties go to the smaller parent.
     """
-    from quern.functions.vectors import nearest
+    from quern.functions.vectors import nearest_of
 
-    found = nearest(parents.select(F.col("parent").alias("node_id"), "v"), nodes.select(F.col("node_id").alias("query_id"), "v"), 1)
+    found = nearest_of(nodes.select(F.col("node_id").alias("query_id"), "v"), parents.select(F.col("parent").alias("node_id"), "v"), 1)
     kept = found.where(F.col("score") >= least).select(F.col("query_id").alias("node_id"), F.col("node_id").alias("parent"), F.col("score").alias("similarity"))
     return nodes.select("node_id").join(kept, "node_id", "left")
 
@@ -47,14 +47,116 @@ def beam(queries: DataFrame, parents: DataFrame, children: DataFrame, width: int
     queries (query_id, v), parents (parent, v), children (parent, node_id, v). Each query meets the children of
     `width` parents only, by an equi join.
     """
-    from quern.functions.vectors import nearest
+    from quern.functions.vectors import nearest_of
 
-    top = nearest(parents.select(F.col("parent").alias("node_id"), "v"), queries, width).select("query_id", F.col("node_id").alias("parent"))
+    top = nearest_of(queries, parents.select(F.col("parent").alias("node_id"), "v"), width).select("query_id", F.col("node_id").alias("parent"))
     met = top.join(queries.select("query_id", F.col("v").alias("q")), "query_id").join(children, "parent")
     scored = met.select("query_id", "node_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).distinct()
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))).where(F.col("rank") <= k)
 
 
+def descend(queries: DataFrame, levels: list[DataFrame], width: int, k: int) -> DataFrame:
+    """query_id, node_id, level, score, rank: what a beam of `width` nodes finds on its way from the top level down, and at the leaves k.
+
+    queries (query_id, v); levels (parent, node_id, v) from the top, whose parents are null, to the leaves. Each level joins the
+    children of the nodes that the one above kept; a child of several of them counts once.
+    """
+    found, kept = None, None
+    for depth, level in enumerate(levels):
+        last = depth == len(levels) - 1
+        if kept is None:
+            met = queries.withColumnRenamed("v", "q").join(F.broadcast(level), F.col("parent").isNull())  # the top level has as many nodes as a tree has roots
+        else:
+            met = kept.select("query_id", F.col("node_id").alias("parent")).join(level, "parent").join(queries.withColumnRenamed("v", "q"), "query_id")
+        scored = met.select("query_id", "node_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).distinct()
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+        kept = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (k if last else width)).withColumn("level", F.lit(len(levels) - 1 - depth))
+        found = kept if found is None else found.unionByName(kept)
+    return found.select("query_id", "node_id", "level", "score", "rank")
+
+
+def depths(edges: DataFrame, most: int = 32) -> DataFrame:
+    """node_id, depth of all nodes of edges (parent, child): hops to the root along the smallest parent, at most `most`.
+
+    Nodes in a circle have no root and don't come back. Each round joins the nodes that were found last with their children.
+    """
+    from quern.store import materialised
+
+    up = edges.groupBy(F.col("child").alias("node_id")).agg(F.min("parent").alias("parent"))
+    roots = edges.select(F.col("parent").alias("node_id")).distinct().join(up, "node_id", "left_anti")
+    found = last = materialised(roots.withColumn("depth", F.lit(0)))
+    for depth in range(1, most + 1):
+        last = materialised(up.join(last.select(F.col("node_id").alias("parent")), "parent").select("node_id", F.lit(depth).alias("depth")))
+        if last.isEmpty():
+            break
+        found = found.union(last)
+    return found
+
+
+def children_of(edges: DataFrame) -> DataFrame:
+    """parent, children, n of edges (parent, child): each parent's different children in order."""
+    return edges.groupBy("parent").agg(F.sort_array(F.collect_set("child")).alias("children")).withColumn("n", F.size("children"))
+
+
+def layer_map(layers: DataFrame) -> DataFrame:
+    """node_id, layer of layers (layer, nodes: an array): a node that stands in several has the lowest."""
+    return layers.select(F.explode("nodes").alias("node_id"), "layer").groupBy("node_id").agg(F.min("layer").alias("layer"))
+
+
+def touched(changed: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
+    """node_id, height of the nodes over changed (node_id): those whose summaries are to be written again, nearest first.
+
+    height is the longest way up from a change, so that each node comes after all that it is made of.
+    """
+    from quern.store import materialised
+
+    found, last = None, changed.select("node_id").distinct()
+    for height in range(1, most + 1):
+        last = materialised(edges.join(last.select(F.col("node_id").alias("child")), "child").select(F.col("parent").alias("node_id")).distinct())
+        if last.isEmpty():
+            break
+        level = last.withColumn("height", F.lit(height))
+        found = level if found is None else found.union(level)
+    if found is None:
+        return changed.sparkSession.createDataFrame([], changed.select("node_id").schema.add("height", "int"))
+    return found.groupBy("node_id").agg(F.max("height").alias("height"))
+
+
+def resummarised(nodes: DataFrame, edges: DataFrame, changed: DataFrame, summarise, most: int = 50, tokens: int = 12_000) -> DataFrame:
+    """nodes (node_id, text) in which all that stand over changed (node_id) have new summaries, from the lowest up.
+
+    A summary is made from the texts of up to `most` children, in their order, while they have `tokens` words together.
+    """
+    from quern.functions.text import words
+    from quern.store import materialised
+
+    todo = materialised(touched(changed, edges))
+    for height in sorted(r["height"] for r in todo.select("height").distinct().collect()):  # at most as many as a tree has levels
+        own = todo.where(F.col("height") == height).select(F.col("node_id").alias("parent"))
+        made = edges.join(own, "parent").join(nodes.select(F.col("node_id").alias("child"), "text"), "child").withColumn("w", F.size(words(F.col("text"))))
+        order = Window.partitionBy("parent").orderBy("child").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        few = made.withColumn("n", F.count(F.lit(1)).over(order)).withColumn("sum", F.sum("w").over(order)).where((F.col("n") <= most) & ((F.col("sum") <= tokens) | (F.col("n") == 1)))
+        joined = few.groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "text"))), lambda s: s["text"]), "\n\n").alias("t"))
+        new = joined.select(F.col("parent").alias("node_id"), summarise(F.col("t")).alias("new"))
+        nodes = materialised(nodes.join(new, "node_id", "left").withColumn("text", F.coalesce("new", "text")).drop("new"))
+    return nodes
+
+
+def with_nodes(forest: DataFrame, new: DataFrame) -> DataFrame:
+    """A forest (tree_id, node_id, ...) with nodes added; one that is there already is replaced."""
+    return forest.join(new.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti").unionByName(new)
+
+
+def with_tree(forest: DataFrame, tree: DataFrame) -> DataFrame:
+    """A forest with a tree added; nodes of a tree of the same name go."""
+    return without_tree(forest, tree.select("tree_id").distinct()).unionByName(tree)
+
+
+def without_tree(forest: DataFrame, trees: DataFrame) -> DataFrame:
+    """A forest without the named trees (tree_id)."""
+    return forest.join(trees.select("tree_id"), "tree_id", "left_anti")
+
+
 def level_sizes(n: int) -> tuple[int, int]:
     """Clusters of the two levels above n chunks; 0 where a level isn't built."""
     k1 = min(max(3, int(n**0.5)), 50) if n > 5 else 0
@@ -120,10 +222,11 @@ def merge(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("k", within).join(base, "tree_id").select("tree_id", F.col("index").alias("old_index"), (F.col("base") + F.col("k") - 1).alias("new_index"))
 
 
-def build(leaves: DataFrame, summarise, embed, target: int = 75, layers: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def build(leaves: DataFrame, summarise, embed, target: int = 75, layers: int = 5, seed: int = 42, after_layer=None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a tree over leaves (node_id, text, v): layers of k-means clusters with summaries, until at most `target` nodes.
 
-    summarise and embed are ports. Each layer is written before the next is built. A cluster's summary is made from its
+    summarise and embed are ports; after_layer, if given, is a function from a new layer's nodes and its number to the nodes that
+    are taken instead. Each layer is written before the next is built. A cluster's summary is made from its
     `SHOWN` members nearest to the centroid.
     """
     from pyspark.ml.clustering import KMeans
@@ -143,7 +246,8 @@ def build(leaves: DataFrame, summarise, embed, target: int = 75, layers: int = 5
         near = nearest_members(labelled, centroids(labelled), SHOWN).join(labelled.select("node_id", "text"), "node_id")
         joined = near.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]), "\n\n").alias("t"))
         name = F.concat(F.lit(f"L{depth}_"), F.col("cluster").cast("string"))
-        layer = materialised(joined.select(name.alias("node_id"), summarise(F.col("t")).alias("text")).select("node_id", "text", embed(F.col("text")).alias("v"), F.lit(depth).alias("layer")))
+        made = joined.select(name.alias("node_id"), summarise(F.col("t")).alias("text")).select("node_id", "text", embed(F.col("text")).alias("v"), F.lit(depth).alias("layer"))
+        layer = materialised(made if after_layer is None else after_layer(made, depth))
         more = labelled.select(name.alias("parent"), F.col("node_id").cast("string").alias("child"))
         nodes = nodes.withColumn("node_id", F.col("node_id").cast("string")).unionByName(layer)
         edges = more if edges is None else edges.unionByName(more)

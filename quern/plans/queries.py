@@ -129,12 +129,6 @@ def chunk_legal(spark, sf):
     return chunks.legal(_legal_docs(spark, sf)).select("chunk_id", "doc_id", "article", "clause", "point", F.md5("text").alias("text_md5"))
 
 
-@query()
-def chunk_plain_packed(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.posexplode(chunks.packed(chunks.paragraphs(F.col("text"), r"\n+"))).alias("pos", "t"))
-    return d.select("doc_id", "pos", F.md5("t").alias("text_md5"))
-
-
 @query()
 def chunk_sentences_packed(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.posexplode(chunks.sentence_chunks(F.col("text"))).alias("pos", "t"))
@@ -232,7 +226,8 @@ bm25_all AS (SELECT query_id, doc_id AS node_id, round(sum(qtf * idf * tf * 2.5
 bm25 AS (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM bm25_all WHERE score > 0)"""
 
 
-@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@query(f"""WITH docs AS (SELECT {_TOKENS} AS t FROM documents), each AS (SELECT unnest(list_distinct(t)) AS term FROM docs), raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM each GROUP BY term)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf FROM raw""")
 def bm25_terms(spark, sf):
     return _index(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -348,8 +343,10 @@ def _qrels(spark, sf) -> DataFrame:
     d = spread(read(spark, sf, "documents")).select("doc_id", "text")
     # a passage may begin inside a word or a word may go on after it, so the six words are met without the first and the last
     inner = b.withColumn("key", F.array_join(F.slice(w, 2, 4), " "))
-    grams = d.select("doc_id", "text", F.split("text", r"\s+").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.flatten(F.transform(F.array("w"), lambda a: F.when(F.size(a) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - 3, F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(4)), " "))))))).alias("key"))
-    return grams.join(inner, "key").where(F.contains("text", "item")).select("qid", "doc_id").distinct()
+    grams = d.select("doc_id", F.split("text", r"\s+").alias("w")).select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(F.array("w"), lambda a: F.when(F.size(a) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - 3, F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(4)), " "))))))).alias("key"))
+    # only ids are met by their windows; texts are fetched for the few that remain
+    maybe = grams.join(inner.select("qid", "key"), "key").select("qid", "doc_id").distinct()
+    return maybe.join(b.select("qid", "item"), "qid").join(d, "doc_id").where(F.contains("text", "item")).select("qid", "doc_id").distinct()
 
 
 def _answers(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -493,21 +490,23 @@ def usage_costs(spark, sf):
     return ingest.costs(u).select("conv_id", "turn", F.round("cost_usd", 9).alias("cost_usd"), F.round(running, 9).alias("running_usd"))
 
 
-_CHANGED = rf"""sims AS (SELECT a.doc_id AS new_id, b.doc_id AS existing_id, 0.95 AS similarity FROM documents a JOIN documents b ON a.source <> b.source AND a.lang = b.lang AND a.n_chars = b.n_chars AND b.doc_id < a.doc_id)"""
-
-
-@query(rf"WITH {_CHANGED} SELECT new_id, min(existing_id) AS existing_id, 'REPLACE' AS decision FROM sims GROUP BY new_id")
+@query(rf"""WITH s AS (SELECT doc_id, list_distinct({_WORDS}) AS s FROM documents), e AS (SELECT doc_id, s, len(s) AS n, doc_id IN (SELECT doc_id FROM labels) AS old FROM s WHERE len(s) > 0),
+j AS (SELECT a.doc_id AS new_id, b.doc_id AS existing_id, len(list_intersect(a.s, b.s)) AS i, a.n + b.n AS n FROM e a JOIN e b ON NOT a.old AND b.old AND a.n >= 0.75 * b.n AND b.n >= 0.75 * a.n),
+c AS (SELECT new_id, existing_id, round(i / (n - i), 6) AS similarity FROM j WHERE i / (n - i) >= 0.75 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY round(i / (n - i), 6) DESC, existing_id) = 1)
+SELECT new_id, existing_id, similarity, CASE WHEN similarity >= 0.98 THEN 'SKIP' WHEN similarity >= 0.9 THEN 'REPLACE' ELSE 'MERGE' END AS decision FROM c""")
 def ingest_conflicts(spark, sf):
-    d = read(spark, sf, "documents")
-    a, b = d.alias("a"), d.alias("b")
-    close = (F.col("a.lang") == F.col("b.lang")) & (F.col("a.n_chars") == F.col("b.n_chars")) & (F.col("a.source") != F.col("b.source")) & (F.col("b.doc_id") < F.col("a.doc_id"))
-    sims = a.join(b, close).select(F.col("a.doc_id").alias("new_id"), F.col("b.doc_id").alias("existing_id"), F.lit(0.95).alias("similarity"))
-    return ingest.decide(ingest.conflicts(sims)).select("new_id", "existing_id", "decision")
+    """Documents without a label against those with one: the most similar by words, and what is done about it."""
+    d = spread(read(spark, sf, "documents")).select("doc_id", text.words(F.col("text")).alias("items"))
+    done = read(spark, sf, "labels").select("doc_id").distinct()
+    marked = d.join(done.withColumn("old", F.lit(1)), "doc_id", "left").select(F.struct(F.coalesce("old", F.lit(0)).alias("old"), "doc_id").alias("id"), "items")
+    pairs = joins.set_similarity(marked, top=None, across="old").where("id.old = 0 and other.old = 1")
+    sims = pairs.select(F.col("id.doc_id").alias("new_id"), F.col("other.doc_id").alias("existing_id"), "similarity")
+    return ingest.decide(ingest.conflicts(sims)).select("new_id", "existing_id", "similarity", "decision")
 
 
 @query("""WITH s AS (SELECT l.doc_id AS node_id, d.text FROM labels l JOIN documents d USING (doc_id)), n AS (SELECT doc_id AS node_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
 e AS (SELECT text, min(node_id) AS existing_id FROM s GROUP BY text), c AS (SELECT existing_id, count(*) AS k, any_value(e.text) AS t FROM n JOIN e USING (text) GROUP BY existing_id)
-SELECT s.node_id, md5(CASE WHEN c.k IS NULL THEN s.text ELSE s.text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || c.t END) AS text_md5, (1 + CASE WHEN c.k IS NULL THEN 0 ELSE 1 END)::BIGINT AS version FROM s LEFT JOIN c ON c.existing_id = s.node_id
+SELECT s.node_id, md5(s.text || repeat(chr(10) || chr(10) || '---' || chr(10) || chr(10) || s.text, coalesce(c.k, 0))) AS text_md5, (1 + coalesce(c.k, 0))::BIGINT AS version FROM s LEFT JOIN c ON c.existing_id = s.node_id
 UNION ALL SELECT node_id, md5(text), 1 FROM n WHERE text NOT IN (SELECT text FROM e)""")
 def ingest_merge(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
@@ -712,7 +711,7 @@ def _keyword_search(spark, sf, k: int = 50):
 
     def search(queries: DataFrame) -> DataFrame:
         tokens = queries.select("query_id", text.legal_tokens(F.col("text")).alias("tokens"))
-        return bm25.top(bm25.scores(index, tokens), k).select("query_id", "node_id", F.round(scoring.bm25_clamped(F.col("score")), 6).alias("score"))
+        return bm25.top(bm25.scores(index, tokens), k).select("query_id", "node_id", scoring.bm25_clamped(F.col("score")).alias("score"))
 
     return search
 
@@ -733,35 +732,42 @@ def strategy_semantic(spark, sf):
     return fusion.ranked(met, ["query_id"], [F.desc("score"), F.col("node_id")]).where("rank <= 10")
 
 
-_VARIANTS = rf"""variants2 AS (SELECT item_id AS qid, 0 AS v, text FROM benchmark UNION ALL SELECT item_id, 1, array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})), ' ') FROM benchmark),
-variants AS (SELECT * FROM variants2 UNION ALL SELECT qid, 2, CASE intent {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in strategies.REWORDED.items())} END || text FROM (SELECT item_id, {_INTENT} AS intent FROM (SELECT item_id, lower(text) AS q FROM benchmark)) JOIN variants2 ON qid = item_id AND v = 1 WHERE intent IN ({_listed(strategies.REWORDED)})),
-vasked AS (SELECT qid, v, term, count(*) AS qtf FROM (SELECT qid, v, unnest({_TOKENS}) AS term FROM variants) GROUP BY qid, v, term),
+_KEYS = rf"array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})), ' ')"
+#: What texts (qid, v, text) find: the 50 best nodes of each, with BM25 as similarity.
+_FOUND = rf"""vasked AS (SELECT qid, v, term, count(*) AS qtf FROM (SELECT qid, v, unnest({_TOKENS}) AS term FROM variants) GROUP BY qid, v, term),
 vall AS (SELECT qid, v, doc_id AS node_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM vasked JOIN terms USING (term) JOIN postings USING (term), stats GROUP BY qid, v, doc_id),
-vtop AS (SELECT qid, v, node_id, round(least(1, score / 10), 6) AS s FROM vall WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid, v ORDER BY score DESC, node_id) <= 50)"""
+vtop AS (SELECT qid, v, node_id, least(1.0::DOUBLE, score / 10) AS s FROM vall WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid, v ORDER BY score DESC, node_id) <= 50)"""
+_VARIANTS = rf"""variants2 AS (SELECT item_id AS qid, 0 AS v, text FROM benchmark UNION ALL SELECT item_id, 1, {_KEYS} FROM benchmark),
+variants AS (SELECT * FROM variants2 UNION ALL SELECT qid, 2, CASE intent {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in strategies.REWORDED.items())} END || text FROM (SELECT item_id, {_INTENT} AS intent FROM (SELECT item_id, lower(text) AS q FROM benchmark)) JOIN variants2 ON qid = item_id AND v = 1 WHERE intent IN ({_listed(strategies.REWORDED)})),
+{_FOUND}"""
+_CLAUSES = rf"""clauses AS (SELECT item_id AS qid, text AS whole, list_filter(list_transform(string_split_regex(text, '(?i)\s+(?:and|or)\s+|[,;?]\s*'), lambda x: trim(x)), lambda x: x <> '') AS c FROM benchmark),
+variants AS (SELECT qid, 0 AS v, whole AS text FROM clauses UNION ALL SELECT qid, i, c[i] FROM (SELECT qid, whole, c, unnest(range(1, len(c) + 1)) AS i FROM clauses) WHERE c[i] <> whole AND list_position(c, c[i]) = i), {_FOUND}"""
+_TEMPLATES = {k: v.replace("'", "''") for k, v in strategies.HYPOTHESES.items()}
+_HYPOTHESES = rf"""guessed AS (SELECT item_id, text, {_KEYS} AS keys, {_INTENT} AS intent FROM (SELECT item_id, text, lower(text) AS q FROM benchmark)),
+variants AS (SELECT item_id AS qid, 0 AS v, replace(CASE intent WHEN 'procedural' THEN '{_TEMPLATES["procedural"]}' WHEN 'troubleshooting' THEN '{_TEMPLATES["troubleshooting"]}' ELSE '{_TEMPLATES["other"]}' END, '{{keywords}}', CASE WHEN keys <> '' THEN keys ELSE text END) AS text FROM guessed), {_FOUND}"""
 
 
-@query(f"WITH {_BM25}, {_VARIANTS} SELECT qid AS query_id, node_id, max(s) AS score FROM vtop GROUP BY qid, node_id")
+@query(f"WITH {_BM25}, {_VARIANTS} SELECT qid AS query_id, node_id, round(max(s), {strategies.PLACES}) AS score FROM vtop GROUP BY qid, node_id")
 def strategy_multi_query(spark, sf):
-    # invented texts have no intent words, so the variants are the text and its keywords
-    return strategies.multi_query(_asked(spark, sf), _keyword_search(spark, sf))
+    return strategies.multi_query(_asked(spark, sf), _keyword_search(spark, sf)).withColumn("score", F.round("score", strategies.PLACES))
 
 
-@query(f"WITH {_BM25}, {_VARIANTS} SELECT qid AS query_id, node_id, round(least(1.0, max(s) * (1 + 0.2 * (count(*) - 1))), 6) AS score FROM vtop GROUP BY qid, node_id")
+@query(f"WITH {_BM25}, {_CLAUSES} SELECT qid AS query_id, node_id, round(least(1.0, max(s) * (1 + 0.2 * (count(*) - 1))), {strategies.PLACES})::DOUBLE AS score FROM vtop GROUP BY qid, node_id")
 def strategy_decomposition(spark, sf):
-    got = strategies.decomposition(_asked(spark, sf), _keyword_search(spark, sf), strategies.variants(F.col("text")))
-    return got.withColumn("score", F.round("score", 6))
+    got = strategies.decomposition(_asked(spark, sf), _keyword_search(spark, sf), strategies.with_sub_queries(F.col("text")))
+    return got.withColumn("score", F.round("score", strategies.PLACES))
 
 
-@query(f"""WITH {_BM25}, {_VARIANTS}, h AS (SELECT qid, node_id, round(least(1.0, 0.9 * arg_min(s, v) + 0.1 * (count(*) - 1)), 6) AS score FROM vtop GROUP BY qid, node_id)
-SELECT qid AS query_id, node_id, score FROM h UNION ALL SELECT qid, node_id, s FROM vtop WHERE v = 0 AND (qid, node_id) NOT IN (SELECT (qid, node_id) FROM h)""")
+@query(f"""WITH {_BM25}, {_HYPOTHESES}, h AS (SELECT qid, node_id, round(least(1.0, 0.9 * arg_min(s, v) + 0.1 * (count(*) - 1)), {strategies.PLACES})::DOUBLE AS score FROM vtop GROUP BY qid, node_id)
+SELECT qid AS query_id, node_id, score FROM h UNION ALL SELECT query_id, node_id, round(least(1.0::DOUBLE, score / 10), {strategies.PLACES}) FROM bm25 WHERE rank <= 50 AND (query_id, node_id) NOT IN (SELECT (qid, node_id) FROM h)""")
 def strategy_hyde(spark, sf):
-    got = strategies.hyde(_asked(spark, sf), _keyword_search(spark, sf), strategies.variants(F.col("text")))
-    return got.select("query_id", "node_id", F.round("score", 6).alias("score"))
+    got = strategies.hyde(_asked(spark, sf), _keyword_search(spark, sf), strategies.hypotheses(F.col("text")))
+    return got.select("query_id", "node_id", F.round("score", strategies.PLACES).alias("score"))
 
 
 @query(rf"""WITH {_BM25}, {_KEYWORDS}, k AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})))) AS w FROM benchmark),
-g AS (SELECT DISTINCT query_id, doc_id AS node_id FROM k JOIN keywords USING (w)), u AS (SELECT query_id, node_id, 0.32 AS s FROM g UNION ALL SELECT query_id, node_id, 0.6 * round(least(1, score / 10), 6) FROM bm25 WHERE rank <= 50)
-SELECT query_id, node_id, round(sum(s), 6)::DOUBLE AS score FROM u GROUP BY query_id, node_id""")
+g AS (SELECT DISTINCT query_id, doc_id AS node_id FROM k JOIN keywords USING (w)), u AS (SELECT query_id, node_id, 0.4::DOUBLE * 0.8 AS s FROM g UNION ALL SELECT query_id, node_id, 0.6::DOUBLE * least(1.0::DOUBLE, score / 10) FROM bm25 WHERE rank <= 50)
+SELECT query_id, node_id, round(sum(s), {strategies.PLACES})::DOUBLE AS score FROM u GROUP BY query_id, node_id""")
 def strategy_hybrid_graph_tree(spark, sf):
     asked = _asked(spark, sf)
     index = spread(read(spark, sf, "documents")).select(F.col("doc_id").alias("node_id"), F.explode(text.frequency_keywords(F.col("text"))).alias("keyword"))
@@ -772,7 +778,7 @@ def strategy_hybrid_graph_tree(spark, sf):
 @query()
 def strategy_orchestrated(spark, sf):
     search = _keyword_search(spark, sf, 30)
-    each = {"hyde": lambda q: strategies.hyde(q, search, strategies.variants(F.col("text"))), "multi_query": lambda q: strategies.multi_query(q, search), "query_decomposition": lambda q: strategies.decomposition(q, search, strategies.sub_queries(F.col("text"))), "bm25_hybrid": search}
+    each = {"hyde": lambda q: strategies.hyde(q, search, strategies.hypotheses(F.col("text"))), "multi_query": lambda q: strategies.multi_query(q, search), "query_decomposition": lambda q: strategies.decomposition(q, search, strategies.with_sub_queries(F.col("text"))), "bm25_hybrid": search}
     return strategies.retrieve(_asked(spark, sf), each, _nodes(spark, sf))
 
 
@@ -879,14 +885,14 @@ def keywords_propagated(spark, sf):
 # a legal graph and its retrieval
 
 
-@query(rf"""WITH {_KEYWORDS}, links AS (SELECT doc_id, w FROM keywords), asked AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})))) AS entity FROM benchmark)
+@query(rf"""WITH {_KEYWORDS}, links AS (SELECT doc_id, w FROM keywords), asked AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)}))) AS entity FROM benchmark)
 SELECT query_id, 'd' || doc_id AS node_id, round(count(*) * 0.5, 6)::DOUBLE AS score FROM asked JOIN links ON w = entity GROUP BY query_id, doc_id""")
 def graph_retrieval(spark, sf):
     d = spread(read(spark, sf, "documents")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), F.explode(text.frequency_keywords(F.col("text"))).alias("w"))
     entity = F.concat(F.lit("e:"), "w")
     # entity nodes stand under their value; documents are their neighbours
     terms = d.select(F.col("w").alias("term"), entity.alias("node_id"), F.col("w").alias("value")).distinct()
-    asked = _asked(spark, sf).select("query_id", F.explode(F.array_distinct(text.query_keywords(F.col("text")))).alias("entity"))
+    asked = _asked(spark, sf).select("query_id", F.explode(text.query_keywords(F.col("text"))).alias("entity"))
     return graph.retrieval_scores(terms, d.select(entity.alias("src"), F.col("node_id").alias("dst")), d.select("node_id").distinct(), asked)
 
 
@@ -948,3 +954,6 @@ def source_trees(spark, sf):
     d = read(spark, sf, "documents").select((F.col("doc_id") % 3).alias("tree_id"), F.col("doc_id").alias("node_id"), "text", (F.col("doc_id") % 4).alias("layer"))
     sinks.save_tree(d, path)
     return sinks.list_trees(spark, path).select(F.col("tree_id").cast("long").alias("tree_id"), "nodes", F.col("layers").cast("long").alias("layers"))
+
+
+from quern.plans import more_queries  # noqa: E402, F401  # registers its queries here

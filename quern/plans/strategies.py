@@ -20,6 +20,59 @@ ROUTES = {"procedural": ["hyde", "hybrid", "adaptive_depth", "bm25_hybrid"], "re
 OTHER_ROUTE = ["hyde", "multi_query", "hybrid", "query_decomposition", "bm25_hybrid"]
 MODES = {"fast": ["adaptive_depth"], "incident": ["incident"], "thorough": ["multi_query", "hyde", "hybrid", "query_decomposition"]}
 GRAPH, GRAPH_SCORE, TREE = 0.4, 0.8, 0.6
+#: What a document that answers a query of an intent may look like, around the query's keywords.
+HYPOTHESES = {
+    "procedural": """## Procedure: {keywords}
+
+### Prerequisites
+- Access to the relevant system
+- Required permissions configured
+
+### Steps
+1. First, verify the current state of {keywords}
+2. Make the necessary configuration changes
+3. Apply and validate the changes
+4. Monitor for any issues
+
+### Troubleshooting
+If issues occur, check the logs and rollback if necessary.""",
+    "troubleshooting": """## Troubleshooting: {keywords}
+
+### Symptoms
+- Service degradation or errors related to {keywords}
+- Alert triggered from monitoring
+
+### Root Causes
+1. Configuration drift or misconfiguration
+2. Resource exhaustion (CPU, memory, disk)
+3. Network connectivity issues
+4. Dependency service failures
+
+### Resolution Steps
+1. Check service logs: `kubectl logs` or CloudWatch
+2. Verify configuration matches expected state
+3. Check resource utilization metrics
+4. Restart affected components if needed
+
+### Prevention
+Set up monitoring and alerting for early detection.""",
+    "other": """## {keywords}
+
+### Overview
+This documentation covers {keywords} and related concepts.
+
+### Key Information
+- Primary purpose and functionality
+- Integration points with other systems
+- Configuration options and best practices
+
+### Related Topics
+- Dependencies and requirements
+- Monitoring and observability
+- Common operations and maintenance tasks""",
+}
+#: Places of a score: more than products of rounded scores and shares have, so that none is rounded at a half.
+PLACES = 9
 
 
 def variants(query: Column) -> Column:
@@ -58,6 +111,20 @@ def decomposition(queries: DataFrame, search: Search, parts: Column) -> DataFram
     return hits.select("query_id", "node_id", scoring.boosted(F.col("best"), F.col("n")).alias("score"))
 
 
+def hypotheses(query: Column) -> Column:
+    """The text that HYDE searches by where no model writes one: its intent's template around the query's keywords, or the query if it has none."""
+    keys = F.array_join(text.query_keywords(query), " ")
+    template = F.lit(HYPOTHESES["other"])
+    for name in ("troubleshooting", "procedural"):
+        template = F.when(text.intent(query) == name, F.lit(HYPOTHESES[name])).otherwise(template)
+    return F.array(F.replace(template, F.lit("{keywords}"), F.when(keys != "", keys).otherwise(query)))
+
+
+def with_sub_queries(query: Column) -> Column:
+    """A query and its clauses, each once."""
+    return F.array_distinct(F.concat(F.array(query), sub_queries(query)))
+
+
 def sub_queries(query: Column) -> Column:
     """A query's clauses between `and`, `or`, commas and question marks; the query itself if it has one."""
     return F.filter(F.transform(F.split(query, r"(?i)\s+(?:and|or)\s+|[,;?]\s*"), lambda x: F.trim(x)), lambda x: x != "")
@@ -67,7 +134,7 @@ def hybrid(graph_nodes: DataFrame, tree_hits: DataFrame) -> DataFrame:
     """Nodes linked in the graph (query_id, node_id) and tree candidates: their scores by share, summed."""
     a = graph_nodes.select("query_id", "node_id").distinct().withColumn("score", F.lit(GRAPH * GRAPH_SCORE))
     b = tree_hits.select("query_id", "node_id", (TREE * F.col("score")).alias("score"))
-    return a.unionByName(b).groupBy("query_id", "node_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return a.unionByName(b).groupBy("query_id", "node_id").agg(F.round(F.sum("score"), PLACES).alias("score"))
 
 
 def adaptive_depth(queries: DataFrame, search_layer: Callable[[DataFrame, int], DataFrame], deepest: int, k: int) -> DataFrame:
@@ -76,7 +143,8 @@ def adaptive_depth(queries: DataFrame, search_layer: Callable[[DataFrame, int],
     Each round searches the queries that stand at each layer; a layer is visited once, so at most `deepest` + 1 rounds run.
     What middling layers found is kept.
     """
-    start = F.when(text.intent(F.col("text")).isin("factual", "troubleshooting"), 0).otherwise(1)
+    intent = text.intent(F.col("text"))
+    start = F.when(intent.isin("factual", "troubleshooting"), 0).when(intent == "exploratory", 2).otherwise(1)
     at = queries.withColumn("layer", F.least(start, F.lit(deepest))).withColumn("seen", F.array("layer"))
     kept = None
     for _ in range(deepest + 1):

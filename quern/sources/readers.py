@@ -59,3 +59,18 @@ def api_operations(specs: DataFrame) -> DataFrame:
     kind = "struct<paths:map<string,map<string,struct<summary:string,description:string,parameters:array<struct<name:string>>,responses:map<string,struct<description:string>>>>>>"
     paths = specs.select(F.explode(F.from_json("spec", kind)["paths"]).alias("path", "methods"))
     return paths.select("path", F.explode("methods").alias("method", "op")).select("path", F.upper("method").alias("method"), F.coalesce("op.summary", "op.description", F.lit("")).alias("summary"), F.col("op.parameters.name").alias("parameters"), F.sort_array(F.map_keys("op.responses")).alias("responses"))
+
+
+def sample_rows(spark: SparkSession) -> DataFrame:
+    """doc_id, title, content, type: three rows to try an ingestion on."""
+    rows = [("sample_1", "Deploying a service", "Build the image, push it and restart the service.", "runbook"), ("sample_2", "Database ownership", "The storage team owns the orders database.", "documentation"), ("sample_3", "Outage of the gateway", "The gateway failed as its certificate had expired.", "incident")]
+    return spark.createDataFrame(rows, "doc_id string, title string, content string, type string")
+
+
+def restored(parts: list[DataFrame], key: str, order: str) -> DataFrame:
+    """Checkpoints of several folders as one: of a key the row with the latest `order`, of equals that of the first folder."""
+    from functools import reduce
+
+    both = reduce(DataFrame.unionByName, (p.withColumn("_at", F.lit(-k)) for k, p in enumerate(parts)))
+    last = both.groupBy(key).agg(F.max_by(F.struct(*parts[0].columns), F.struct(F.col(order), "_at")).alias("r"))
+    return last.select("r.*")

@@ -61,13 +61,12 @@ def cache_stale_summaries(spark, sf):
     return ingest.stale_summaries(c).select("conv_id", "turn")
 
 
-@query("""WITH u AS (SELECT event_id, user_id, ts, round(value, 0)::BIGINT AS n FROM events), c AS (SELECT event_id, user_id, n * 1.75 / 1e6 AS cost, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) - n AS before FROM u)
+@query("""WITH u AS (SELECT event_id, user_id, ts, floor(value)::BIGINT AS n FROM events), c AS (SELECT event_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) - n AS before FROM u)
 SELECT event_id, before * 1.75 / 1e6 <= 0.0005 AS allowed FROM c""")
 def usage_budget(spark, sf):
-    e = read(spark, sf, "events").select("event_id", "user_id", "ts", F.lit("chat").alias("model"), F.rint("value").cast("long").alias("tokens_in"), F.lit(0).alias("tokens_out"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # whole tokens are summed, so that no sum of cents decides at the budget's edge
-    return e.withColumn("before", F.sum("tokens_in").over(w) - F.col("tokens_in")).select("event_id", (F.col("before") * 1.75 / 1e6 <= 0.0005).alias("allowed"))
+    e = read(spark, sf, "events").select("event_id", "user_id", "ts", F.lit("chat").alias("model"), F.floor("value").alias("tokens_in"), F.lit(0).alias("tokens_out"))
+    # no whole number of tokens costs the budget to the cent, so sums of doubles decide as whole ones do
+    return ingest.within_budget(e, 0.0005, "user_id", ["ts", "event_id"]).select("event_id", "allowed")
 
 
 @query("""WITH c AS (SELECT substring(sha256(doc_id || '|' || text), 1, 16) AS change_id, doc_id FROM documents WHERE doc_id % 2 = 0)

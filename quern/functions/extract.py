@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import AUDIENCES, DOCUMENT_TYPES, DOMAINS, completeness, holds_any, vote
+from quern.functions.text import AUDIENCES, DOCUMENT_TYPES, DOMAINS, bound, completeness, holds_any, vote
 
 #: Patterns and terms of legal entities.
 LEGAL_MARKS = {"ARTICLE": r"(?iu)(Điều\s+\d+[a-zA-Z]?[.:\s]+)", "CLAUSE": r"(?iu)(Khoản\s+\d+[a-zA-Z]?[.:\s]+)", "POINT": r"(?iu)(Điểm\s+[a-zâêôơưđ][.:\s]+)"}
@@ -71,27 +71,66 @@ def legal_relations(text: Column) -> Column:
     return F.filter(F.array(*(F.when(lower.rlike(p), F.lit(kind)) for kind, p in LEGAL_RELATIONS.items())), lambda x: x.isNotNull())
 
 
-def entities(text: Column, confidence: float = 0.8) -> Column:
-    """(type, name, confidence) of operational entities, each name once for its type, whatever its case."""
+def _spots(text: Column, pattern: str, group: int = 1) -> Column:
+    """(value, start, end) of each match: the group's text, and the whole match's place in characters."""
+    whole, parts = _all(text, pattern, 0), F.split(text, pattern, -1)
+
+    def placed(p: Column) -> Column:
+        def length(a: Column, n: Column) -> Column:
+            return F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+
+        return F.transform(F.zip_with(p["whole"], p["values"], lambda w, v: F.struct(w.alias("w"), v.alias("v"))), lambda m, i: F.struct(m["v"].alias("value"), (length(p["parts"], i + 1) + length(p["whole"], i)).alias("start"), (length(p["parts"], i + 1) + length(p["whole"], i + 1)).alias("end")))
+
+    return bound(F.struct(whole.alias("whole"), parts.alias("parts"), _all(text, pattern, group).alias("values")), placed)
+
+
+def _around(text: Column, start: Column, end: Column, n: int) -> Column:
+    """The text from n characters before a place to n after it."""
+    first = F.greatest(F.lit(0), start - n)
+    return F.substring(text, first + 1, end + n - first)
+
+
+def entities(text: Column, confidence: float = 0.8, around: int = 50) -> Column:
+    """(type, name, confidence, start, end, context) of operational entities, each name once for its type, whatever its case: where it is first found."""
     found = []
     for kind, patterns in ENTITY_PATTERNS.items():
         source = text if kind in ("person", "endpoint") else F.lower(text)
-        names = F.concat(*(_all(source, p) for p in patterns))
-        found.append(F.transform(F.transform(names, lambda n: F.lower(n)), _named(kind, "name")))
-    return F.transform(F.array_distinct(F.concat(*found)), lambda e: F.struct(e["type"].alias("type"), e["name"].alias("name"), F.lit(confidence).alias("confidence")))
+        spots = F.concat(*(_spots(source, p) for p in patterns))
+        found.append(F.transform(spots, _of_kind(kind)))
+
+    def once(all_: Column) -> Column:
+        return F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda x: (x["type"] == e["type"]) & (x["name"] == e["name"])))
+
+    def told(e: Column) -> Column:
+        return F.struct(e["type"].alias("type"), e["name"].alias("name"), F.lit(confidence).alias("confidence"), e["start"].alias("start"), e["end"].alias("end"), _around(text, e["start"], e["end"], around).alias("context"))
+
+    return F.transform(bound(F.concat(*found), once), told)
+
+
+def _of_kind(kind: str):
+    """A function of a spot that makes it a struct of type, name and place."""
+    return lambda m: F.struct(F.lit(kind).alias("type"), F.regexp_replace(F.lower(m["value"]), r"^\s+|\s+$", "").alias("name"), m["start"].alias("start"), m["end"].alias("end"))
+
+
+def _related(kind: str, lower: Column, names: Column | None, around: int):
+    def told(e: Column) -> Column:
+        sure = F.lit(True) if names is None else F.array_contains(names, e["s"]["value"]) & F.array_contains(names, e["t"]["value"])
+        return F.struct(e["s"]["value"].alias("source"), F.lit(kind).alias("relation"), e["t"]["value"].alias("target"), F.when(sure, 0.7).otherwise(0.5).alias("confidence"), _around(lower, e["s"]["start"], e["s"]["end"], around).alias("evidence"))
 
+    return told
 
-def _related(kind: str):
-    return lambda e: F.struct(e["source"].alias("source"), F.lit(kind).alias("relation"), e["target"].alias("target"))
 
+def relationships(text: Column, names: Column | None = None, around: int = 20) -> Column:
+    """(source, relation, target, confidence, evidence) of all patterns, lower-cased, each once.
 
-def relationships(text: Column) -> Column:
-    """(source, relation, target) of all patterns, lower-cased, each once."""
+    The confidence is 0.7 where both ends are among the names of entities (lower-cased), or no names are given, else 0.5. The
+    evidence is the match with `around` characters on either side.
+    """
     lower, found = F.lower(text), []
     for pattern, kind, swap in RELATION_PATTERNS:
         a, b = (2, 1) if swap else (1, 2)
-        ends = F.zip_with(_all(lower, pattern, a), _all(lower, pattern, b), lambda s, t: F.struct(s.alias("source"), t.alias("target")))
-        found.append(F.transform(ends, _related(kind)))
+        ends = F.zip_with(_spots(lower, pattern, a), _spots(lower, pattern, b), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+        found.append(F.transform(ends, _related(kind, lower, names, around)))
     return F.array_distinct(F.concat(*found))
 
 

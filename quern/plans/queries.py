@@ -124,15 +124,26 @@ def chunk_articles(spark, sf):
     return parts.select("doc_id", F.col("p.num").alias("num"), F.md5("p.body").alias("body_md5"))
 
 
-@query()
+@query(rf"""WITH b AS (SELECT conv_id, turn + 1 AS a, {_trimmed('text')} AS b FROM conversations),
+n AS (SELECT conv_id, a, b, regexp_extract_all(b, '{chunks.POINT}', 1) AS nums, list_transform(string_split_regex(b, '{chunks.POINT}'), lambda x: trim({_trimmed('x')})) AS parts FROM b),
+f AS (SELECT conv_id, a, b, list_filter(list_transform(range(1, len(parts) + 1), lambda i: {{'num': CASE WHEN i = 1 THEN '0' ELSE nums[i - 1] END, 'body': parts[i]}}), lambda x: x.body <> '') AS found, list_transform(range(0, greatest(0, ceil((length(b) - {chunks.WINDOW}) / {chunks.STEP}))::BIGINT + 1), lambda i: {{'num': 's' || i * {chunks.STEP}, 'body': substring(b, i * {chunks.STEP} + 1, {chunks.WINDOW})}}) AS cut FROM n),
+c AS (SELECT conv_id, a, CASE WHEN length(b) <= {chunks.CLAUSE} THEN [{{'num': NULL::VARCHAR, 'body': b}}] WHEN len(found) > 1 THEN found ELSE cut END AS c FROM f),
+p AS (SELECT conv_id, a, i, c[i].num AS num, c[i].body AS body FROM (SELECT conv_id, a, c, unnest(range(1, len(c) + 1)) AS i FROM c) WHERE length(c[i].body) > {chunks.SHORTEST}),
+k AS (SELECT *, conv_id || '_a' || a || coalesce('_' || num, '') AS base FROM p)
+SELECT base || CASE WHEN row_number() OVER (PARTITION BY base ORDER BY i) > 1 THEN '~' || row_number() OVER (PARTITION BY base ORDER BY i) ELSE '' END AS chunk_id, conv_id AS doc_id, a::VARCHAR AS article, NULL::VARCHAR AS clause, num AS point, md5('[Luật ' || conv_id || '] Điều ' || a || ': ' || body) AS text_md5 FROM k""")
 def chunk_legal(spark, sf):
+    # the invented turns have no clauses or points
     return chunks.legal(_legal_docs(spark, sf)).select("chunk_id", "doc_id", "article", "clause", "point", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(r"""WITH marked AS (SELECT doc_id, regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g') AS t FROM documents), s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\x01|\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM marked),
+u AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN len(string_split_regex(x, '\s+')) > 100 THEN list_filter(list_transform(string_split(regexp_replace(x, '([,;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '') ELSE [x] END)) AS u FROM s),
+p AS (SELECT doc_id, list_reduce(list_transform(u, lambda x: {'cur': x, 'n': len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')), 'out': []::VARCHAR[]}), lambda a, b: CASE WHEN a.n + b.n <= 100 THEN {'cur': a.cur || ' ' || b.cur, 'n': a.n + b.n, 'out': a.out} ELSE {'cur': b.cur, 'n': b.n, 'out': list_append(a.out, a.cur)} END) AS p FROM u WHERE len(u) > 0),
+c AS (SELECT doc_id, list_append(p.out, p.cur) AS c FROM p)
+SELECT doc_id, i - 1 AS pos, md5(c[i]) AS text_md5 FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)""")
 def chunk_sentences_packed(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.posexplode(chunks.sentence_chunks(F.col("text"))).alias("pos", "t"))
-    return d.select("doc_id", "pos", F.md5("t").alias("text_md5"))
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("t").alias("text_md5"))
 
 
 # text functions
@@ -688,14 +699,50 @@ def extract_legal_entities(spark, sf):
     return _legal_docs(spark, sf).select("doc_id", F.explode(extract.legal_entities(F.col("text"))).alias("e")).select("doc_id", "e.type", "e.value")
 
 
-@query()
+_HTML = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+#: A sentence that has something for the patterns, in a few forms.
+_SAID = "' The auth-service depends on pay-db-' || page_id % 3 || ' and calls billing-api. It is owned by Team Alpha. Jane Doe of the storage team uses Kafka, GET /v1/users and cpu_total on 2024-03-0' || page_id % 9 || '. Urgent: fix it.'"
+
+
+def _told_pages(spark, sf) -> DataFrame:
+    return spread(read(spark, sf, "pages")).select("page_id", F.concat(text.html_text(F.col("html")), F.expr(_SAID.replace("||", ",").join(("concat(", ")")))).alias("t"))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_ENTITIES = " UNION ".join(f"SELECT page_id, '{kind}' AS type, regexp_replace(lower(v), '^\\s+|\\s+$', '', 'g') AS name FROM (SELECT page_id, unnest({' || '.join(f'regexp_extract_all({"t" if kind in ("person", "endpoint") else "lower(t)"}, {_quoted(p)}, 1)' for p in patterns)}) AS v FROM t)" for kind, patterns in extract.ENTITY_PATTERNS.items())
+_RELATIONS = " UNION ".join(f"SELECT page_id, s AS source, '{kind}' AS relation, x AS target FROM (SELECT page_id, unnest(regexp_extract_all(lower(t), {_quoted(p)}, {2 if swap else 1})) AS s, unnest(regexp_extract_all(lower(t), {_quoted(p)}, {1 if swap else 2})) AS x FROM t)" for p, kind, swap in extract.RELATION_PATTERNS)
+
+
+@query(f"WITH t AS (SELECT page_id, {_HTML} || {_SAID} AS t FROM pages) {_ENTITIES}")
 def extract_entities(spark, sf):
-    return spread(read(spark, sf, "pages")).select("page_id", F.explode(extract.entities(text.html_text(F.col("html")))).alias("e")).select("page_id", "e.type", "e.name")
+    return _told_pages(spark, sf).select("page_id", F.explode(extract.entities(F.col("t"))).alias("e")).select("page_id", "e.type", "e.name")
 
 
-@query()
+@query(f"WITH t AS (SELECT page_id, {_HTML} || {_SAID} AS t FROM pages), e AS ({_ENTITIES}) SELECT page_id, type, name, instr(CASE WHEN type IN ('person', 'endpoint') THEN t ELSE lower(t) END, CASE type WHEN 'person' THEN 'Jane Doe' ELSE name END) - 1 AS start, substring(t, greatest(0, instr(CASE WHEN type = 'person' THEN t ELSE lower(t) END, CASE type WHEN 'person' THEN 'Jane Doe' ELSE name END) - 51) + 1, 50 + length(name) + 50) AS context FROM e JOIN t USING (page_id) WHERE type = 'technology' OR (type = 'person' AND name = 'jane doe')")
+def extract_entity_contexts(spark, sf):
+    """Where entities are first found, and the text around them."""
+    e = _told_pages(spark, sf).select("page_id", F.explode(extract.entities(F.col("t"))).alias("e"))
+    return e.where("e.type = 'technology' or (e.type = 'person' and e.name = 'jane doe')").select("page_id", "e.type", "e.name", F.col("e.start").cast("long").alias("start"), "e.context")
+
+
+@query(f"WITH t AS (SELECT page_id, {_HTML} || {_SAID} AS t FROM pages), e AS ({_ENTITIES}), r AS ({_RELATIONS}) SELECT page_id, source, relation, target, CASE WHEN source IN (SELECT name FROM e WHERE e.page_id = r.page_id) AND target IN (SELECT name FROM e WHERE e.page_id = r.page_id) THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM r")
+def extract_relationships(spark, sf):
+    t = _told_pages(spark, sf).withColumn("names", F.transform(extract.entities(F.col("t")), lambda e: e["name"]))
+    return t.select("page_id", F.explode(extract.relationships(F.col("t"), F.col("names"))).alias("r")).select("page_id", "r.source", "r.relation", "r.target", "r.confidence").distinct()
+
+
+_DATES = " + ".join(f"len(regexp_extract_all(t, {_quoted(p)}, 1))" for p in extract.DATES)
+_SECTIONS = " ".join(f"WHEN '{k}' THEN ({' + '.join(f'contains(l, {_quoted(w)})::INT' for w in ws)}) / {len(ws)}" for k, ws in text.SECTIONS.items())
+
+
+@query(f"""WITH t AS (SELECT page_id, {_HTML} || {_SAID} AS t FROM pages), l AS (SELECT page_id, t, lower(t) AS l FROM t), m AS (SELECT page_id, t, l, {_vote('l', text.DOCUMENT_TYPES)} AS document_type, {_vote('l', text.DOMAINS)} AS domain, {_vote('l', text.AUDIENCES)} AS audience FROM l)
+SELECT page_id, document_type, domain, audience, least(5, {_DATES})::INT AS n_dates, CASE WHEN {_any('l', extract.URGENT)} THEN 'critical' WHEN {_any('l', extract.SOON)} THEN 'high' WHEN {_any('l', extract.LATER)} THEN 'low' END AS urgency,
+ round(greatest(0.1, (1.0::DOUBLE - CASE WHEN {_any('l', ["todo", "tbd", "placeholder", "[insert"])} THEN 0.3 ELSE 0 END) * CASE document_type {_SECTIONS} ELSE 1.0 END), 6)::DOUBLE AS completeness FROM m""")
 def extract_metadata(spark, sf):
-    return spread(read(spark, sf, "pages")).select("page_id", extract.metadata(text.html_text(F.col("html"))).alias("m")).select("page_id", "m.document_type", "m.domain", "m.audience", F.size("m.dates").alias("n_dates"), "m.urgency", F.round("m.completeness", 6).alias("completeness"))
+    return _told_pages(spark, sf).select("page_id", extract.metadata(F.col("t")).alias("m")).select("page_id", "m.document_type", "m.domain", "m.audience", F.size("m.dates").alias("n_dates"), "m.urgency", F.round("m.completeness", 6).alias("completeness"))
 
 
 # strategies
@@ -733,32 +780,36 @@ def strategy_semantic(spark, sf):
 
 
 _KEYS = rf"array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_listed(text.QUERY_STOP_WORDS)})), ' ')"
-#: What texts (qid, v, text) find: the 50 best nodes of each, with BM25 as similarity.
-_FOUND = rf"""vasked AS (SELECT qid, v, term, count(*) AS qtf FROM (SELECT qid, v, unnest({_TOKENS}) AS term FROM variants) GROUP BY qid, v, term),
-vall AS (SELECT qid, v, doc_id AS node_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM vasked JOIN terms USING (term) JOIN postings USING (term), stats GROUP BY qid, v, doc_id),
-vtop AS (SELECT qid, v, node_id, least(1.0::DOUBLE, score / 10) AS s FROM vall WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid, v ORDER BY score DESC, node_id) <= 50)"""
+
+
+def _found(of: str = "variants", to: str = "v", most: int = 50) -> str:
+    """SQL of what the texts of a table (qid, v, text) find: the best nodes of each, with BM25 as similarity, as `<to>top`."""
+    return rf"""{to}asked AS (SELECT qid, v, term, count(*) AS qtf FROM (SELECT qid, v, unnest({_TOKENS}) AS term FROM {of}) GROUP BY qid, v, term),
+{to}all AS (SELECT qid, v, doc_id AS node_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {to}asked JOIN terms USING (term) JOIN postings USING (term), stats GROUP BY qid, v, doc_id),
+{to}top AS (SELECT qid, v, node_id, least(1.0::DOUBLE, score / 10) AS s FROM {to}all WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid, v ORDER BY score DESC, node_id) <= {most})"""
+
+
 _VARIANTS = rf"""variants2 AS (SELECT item_id AS qid, 0 AS v, text FROM benchmark UNION ALL SELECT item_id, 1, {_KEYS} FROM benchmark),
-variants AS (SELECT * FROM variants2 UNION ALL SELECT qid, 2, CASE intent {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in strategies.REWORDED.items())} END || text FROM (SELECT item_id, {_INTENT} AS intent FROM (SELECT item_id, lower(text) AS q FROM benchmark)) JOIN variants2 ON qid = item_id AND v = 1 WHERE intent IN ({_listed(strategies.REWORDED)})),
-{_FOUND}"""
+variants AS (SELECT * FROM variants2 UNION ALL SELECT qid, 2, CASE intent {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in strategies.REWORDED.items())} END || text FROM (SELECT item_id, {_INTENT} AS intent FROM (SELECT item_id, lower(text) AS q FROM benchmark)) JOIN variants2 ON qid = item_id AND v = 1 WHERE intent IN ({_listed(strategies.REWORDED)}))"""
 _CLAUSES = rf"""clauses AS (SELECT item_id AS qid, text AS whole, list_filter(list_transform(string_split_regex(text, '(?i)\s+(?:and|or)\s+|[,;?]\s*'), lambda x: trim(x)), lambda x: x <> '') AS c FROM benchmark),
-variants AS (SELECT qid, 0 AS v, whole AS text FROM clauses UNION ALL SELECT qid, i, c[i] FROM (SELECT qid, whole, c, unnest(range(1, len(c) + 1)) AS i FROM clauses) WHERE c[i] <> whole AND list_position(c, c[i]) = i), {_FOUND}"""
+variants AS (SELECT qid, 0 AS v, whole AS text FROM clauses UNION ALL SELECT qid, i, c[i] FROM (SELECT qid, whole, c, unnest(range(1, len(c) + 1)) AS i FROM clauses) WHERE c[i] <> whole AND list_position(c, c[i]) = i)"""
 _TEMPLATES = {k: v.replace("'", "''") for k, v in strategies.HYPOTHESES.items()}
 _HYPOTHESES = rf"""guessed AS (SELECT item_id, text, {_KEYS} AS keys, {_INTENT} AS intent FROM (SELECT item_id, text, lower(text) AS q FROM benchmark)),
-variants AS (SELECT item_id AS qid, 0 AS v, replace(CASE intent WHEN 'procedural' THEN '{_TEMPLATES["procedural"]}' WHEN 'troubleshooting' THEN '{_TEMPLATES["troubleshooting"]}' ELSE '{_TEMPLATES["other"]}' END, '{{keywords}}', CASE WHEN keys <> '' THEN keys ELSE text END) AS text FROM guessed), {_FOUND}"""
+variants AS (SELECT item_id AS qid, 0 AS v, replace(CASE intent WHEN 'procedural' THEN '{_TEMPLATES["procedural"]}' WHEN 'troubleshooting' THEN '{_TEMPLATES["troubleshooting"]}' ELSE '{_TEMPLATES["other"]}' END, '{{keywords}}', CASE WHEN keys <> '' THEN keys ELSE text END) AS text FROM guessed)"""
 
 
-@query(f"WITH {_BM25}, {_VARIANTS} SELECT qid AS query_id, node_id, round(max(s), {strategies.PLACES}) AS score FROM vtop GROUP BY qid, node_id")
+@query(f"WITH {_BM25}, {_VARIANTS}, {_found()} SELECT qid AS query_id, node_id, round(max(s), {strategies.PLACES}) AS score FROM vtop GROUP BY qid, node_id")
 def strategy_multi_query(spark, sf):
     return strategies.multi_query(_asked(spark, sf), _keyword_search(spark, sf)).withColumn("score", F.round("score", strategies.PLACES))
 
 
-@query(f"WITH {_BM25}, {_CLAUSES} SELECT qid AS query_id, node_id, round(least(1.0, max(s) * (1 + 0.2 * (count(*) - 1))), {strategies.PLACES})::DOUBLE AS score FROM vtop GROUP BY qid, node_id")
+@query(f"WITH {_BM25}, {_CLAUSES}, {_found()} SELECT qid AS query_id, node_id, round(least(1.0, max(s) * (1 + 0.2 * (count(*) - 1))), {strategies.PLACES})::DOUBLE AS score FROM vtop GROUP BY qid, node_id")
 def strategy_decomposition(spark, sf):
     got = strategies.decomposition(_asked(spark, sf), _keyword_search(spark, sf), strategies.with_sub_queries(F.col("text")))
     return got.withColumn("score", F.round("score", strategies.PLACES))
 
 
-@query(f"""WITH {_BM25}, {_HYPOTHESES}, h AS (SELECT qid, node_id, round(least(1.0, 0.9 * arg_min(s, v) + 0.1 * (count(*) - 1)), {strategies.PLACES})::DOUBLE AS score FROM vtop GROUP BY qid, node_id)
+@query(f"""WITH {_BM25}, {_HYPOTHESES}, {_found()}, h AS (SELECT qid, node_id, round(least(1.0, 0.9 * arg_min(s, v) + 0.1 * (count(*) - 1)), {strategies.PLACES})::DOUBLE AS score FROM vtop GROUP BY qid, node_id)
 SELECT qid AS query_id, node_id, score FROM h UNION ALL SELECT query_id, node_id, round(least(1.0::DOUBLE, score / 10), {strategies.PLACES}) FROM bm25 WHERE rank <= 50 AND (query_id, node_id) NOT IN (SELECT (qid, node_id) FROM h)""")
 def strategy_hyde(spark, sf):
     got = strategies.hyde(_asked(spark, sf), _keyword_search(spark, sf), strategies.hypotheses(F.col("text")))
@@ -775,7 +826,15 @@ def strategy_hybrid_graph_tree(spark, sf):
     return strategies.hybrid(linked, _keyword_search(spark, sf)(asked))
 
 
-@query()
+@query(f"""WITH {_BM25}, {_VARIANTS.replace("variants AS", "reworded AS")}, {_CLAUSES.replace("variants AS", "parted AS")}, {_HYPOTHESES.replace("variants AS", "supposed AS").replace("guessed", "guesses")}, {_found("reworded", "m", 30)}, {_found("parted", "d", 30)}, {_found("supposed", "h", 30)}, {_IMPORTANT},
+route AS (SELECT item_id AS query_id, CASE WHEN {_INTENT} = 'troubleshooting' AND {_URGENCY} > 0.7 THEN 'incident' ELSE {_INTENT} END AS r FROM (SELECT item_id, lower(text) AS q FROM benchmark)),
+own AS (SELECT query_id, node_id, least(1.0::DOUBLE, score / 10) AS s FROM bm25 WHERE rank <= 30), hyde AS (SELECT qid AS query_id, node_id, least(1.0, 0.9 * arg_min(s, v) + 0.1 * (count(*) - 1)) AS s FROM htop GROUP BY qid, node_id),
+each AS (SELECT query_id, node_id, s, 'bm25_hybrid' AS strategy FROM own UNION ALL SELECT * , 'hyde' FROM (SELECT * FROM hyde UNION ALL SELECT * FROM own WHERE (query_id, node_id) NOT IN (SELECT (query_id, node_id) FROM hyde))
+  UNION ALL SELECT qid, node_id, max(s), 'multi_query' FROM mtop GROUP BY qid, node_id UNION ALL SELECT qid, node_id, least(1.0, max(s) * (1 + 0.2 * (count(*) - 1))), 'query_decomposition' FROM dtop GROUP BY qid, node_id),
+taken AS (SELECT e.* FROM each e JOIN route USING (query_id) WHERE r <> 'incident' AND (strategy IN ('hyde', 'bm25_hybrid') OR (strategy = 'query_decomposition' AND r NOT IN ('procedural', 'troubleshooting')) OR (strategy = 'multi_query' AND r NOT IN ('procedural', 'relational', 'troubleshooting'))) QUALIFY row_number() OVER (PARTITION BY query_id, strategy ORDER BY s DESC, node_id) <= 30),
+best AS (SELECT query_id, node_id, max(s) AS s, arg_min(strategy, {{'s': -s, 'n': strategy}}) AS strategy FROM taken GROUP BY query_id, node_id),
+scored AS (SELECT query_id, node_id, strategy, round(0.7 * s + 0.3 * importance, {strategies.PLACES})::DOUBLE AS score FROM best JOIN imp ON doc_id = node_id)
+SELECT query_id, node_id, score, strategy, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scored QUALIFY rank <= 10""")
 def strategy_orchestrated(spark, sf):
     search = _keyword_search(spark, sf, 30)
     each = {"hyde": lambda q: strategies.hyde(q, search, strategies.hypotheses(F.col("text"))), "multi_query": lambda q: strategies.multi_query(q, search), "query_decomposition": lambda q: strategies.decomposition(q, search, strategies.with_sub_queries(F.col("text"))), "bm25_hybrid": search}

@@ -72,7 +72,7 @@ This documentation covers {keywords} and related concepts.
 - Common operations and maintenance tasks""",
 }
 #: Places of a score: more than products of rounded scores and shares have, so that none is rounded at a half.
-PLACES = 9
+PLACES = 10
 
 
 def variants(query: Column) -> Column:
@@ -196,7 +196,7 @@ def retrieve(queries: DataFrame, strategies: dict[str, Search], nodes: DataFrame
         met = met.where(F.col("source") == source)
     if most_layer is not None:
         met = met.where(F.col("layer") <= most_layer)
-    scored = met.withColumn("score", F.round(scoring.combined_score(F.col("score"), F.col("importance")), 6))
+    scored = met.withColumn("score", F.round(scoring.combined_score(F.col("score"), F.col("importance")), PLACES))
     return fusion.ranked(scored, ["query_id"], [F.desc("score"), F.col("node_id")]).where(F.col("rank") <= k).select("query_id", "node_id", "score", "strategy", "rank")
 
 

@@ -204,10 +204,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-#: Bits of a set's parity map, and members of a block: a bucket of more is compared block by block.
-MAP_BITS, MEMBERS = 1024, 2048
+#: Bits of a set's parity map at least and at most, and members of a block: a bucket of more is compared block by block.
+MAP_BITS, MOST_BITS, MEMBERS = 1024, 1 << 16, 2048
+#: Bits of the sieve that is told to all executors of hashes that stand in two texts or more.
+SIEVE_BITS = 1 << 26
 #: Texts that frequent shingles are counted in, and the most that are told to all tasks. Which they are decides only the cost.
-COUNTED_TEXTS, FREQUENT = 20_000, 200_000
+COUNTED_TEXTS, FREQUENT = 8_000, 200_000
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -253,9 +255,29 @@ def _frequent(rows: DataFrame, words: int, texts: int = COUNTED_TEXTS, most: int
     return np.sort(got.astype(np.int64).view(np.uint64))
 
 
-def parity_map(hashes: np.ndarray, bits: int = MAP_BITS) -> bytes:
-    """For each bit whether an odd number of the hashes falls on it. Maps differ in no more bits than their sets in members."""
-    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+def parity_map(hashes: np.ndarray) -> bytes:
+    """For each bit whether an odd number of the hashes falls on it. Maps differ in no more bits than their sets in members.
+
+    A map has two bits a member or more, a power of two; halves of a larger one, put over each other, are the smaller one.
+    """
+    bits = MAP_BITS
+    while bits < min(2 * len(hashes), MOST_BITS):
+        bits *= 2
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def _apart(maps: list[np.ndarray], r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """In how many bits the maps of rows r and c differ, the larger of two folded to the other's size."""
+    sizes, out = np.array([len(m) for m in maps]), np.zeros(len(r), np.int64)
+    for size in np.unique(np.minimum(sizes[r], sizes[c])):
+        here = np.flatnonzero(np.minimum(sizes[r], sizes[c]) == size)
+        rows = np.unique(np.concatenate((r[here], c[here])))
+        table = np.stack([np.bitwise_xor.reduce(maps[k].reshape(-1, size), axis=0) for k in rows.tolist()])
+        for k in range(0, len(here), 65536):
+            part = here[k : k + 65536]
+            both = table[np.searchsorted(rows, r[part])] ^ table[np.searchsorted(rows, c[part])]
+            out[part] = np.bitwise_count(both).sum(axis=1)
+    return out
 
 
 def _compare(similarity: float, best: bool):
@@ -281,8 +303,7 @@ def _compare(similarity: float, best: bool):
             if not len(r):
                 continue
             r, c = rows[r], cols[c]
-            apart = np.concatenate([np.bitwise_count(maps[r[k : k + 65536]] ^ maps[c[k : k + 65536]]).sum(axis=1) for k in range(0, len(r), 65536)])
-            allowed = (1 - similarity) / (1 + similarity) * (n[r] + n[c])
+            apart, allowed = _apart(maps, r, c), (1 - similarity) / (1 + similarity) * (n[r] + n[c])
             near = apart <= allowed + 1e-6
             r, c, rank = r[near], c[near], (apart - allowed)[near]
             if best and len(r):
@@ -294,10 +315,13 @@ def _compare(similarity: float, best: bool):
             if len(r):
                 yield np.stack((np.minimum(node[r], node[c]), np.maximum(node[r], node[c])))
 
-    def group(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        block, node, n, root, maps = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def group(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        *columns, raw = zip(*parts, strict=True)
+        block, node, n, root = (np.concatenate(x) for x in columns)
         order = np.lexsort((node, block))
-        for both in pairs(block[order], node[order], n[order].astype(np.int64), root[order], maps[order]):
+        maps = [m for part in raw for m in part]
+        maps = [np.frombuffer(maps[k], np.uint64) for k in order.tolist()]
+        for both in pairs(block[order], node[order], n[order].astype(np.int64), root[order], maps):
             for k in range(0, both.shape[1], 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(both[0, k : k + (1 << 17)]), pa.array(both[1, k : k + (1 << 17)])], names=["a", "b"])
 
@@ -307,14 +331,14 @@ def _compare(similarity: float, best: bool):
             if not b.num_rows:
                 continue
             token, lo, hi, block, node, n, root = (b.column(k).to_numpy() for k in range(7))
-            maps = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            maps = b.column(7).to_pylist()
             cut = np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(token)], strict=True):
                 if (here := (token[x], lo[x], hi[x])) != name and held:
                     yield from group(held)
                     held = []
                 name = here
-                held.append([c[x:y] for c in (block, node, n, root, maps)])
+                held.append(tuple(c[x:y] for c in (block, node, n, root, maps)))
         if held:
             yield from group(held)
 
@@ -350,10 +374,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
             yield pa.RecordBatch.from_arrays(columns, names=[key, "node", "n", "first", "fp", "map"])
 
     signed = written(rows.mapInArrow(tidied(run), f"{key} long, node long, n int, first array<long>, fp long, map binary"), "signatures")
-    nodes = written(signed.groupBy("node").agg(F.min(key).alias("least")), "nodes")
-    once = signed.drop(key)
-    if signed.count() > nodes.count():
+    nodes = written(signed.groupBy("node").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
+    # one row of each text: not those whose key isn't the least, and of rows that agree in both one
+    others = signed.select(key, "node").join(nodes, "node").where(~F.col(key).eqNullSafe(F.col("least"))).select(F.col(key).alias("other_key"), F.col("node").alias("other_node"))
+    once = signed.join(told(written(others, "others")), F.col(key).eqNullSafe(F.col("other_key")) & (F.col("node") == F.col("other_node")), "left_anti")
+    if once.count() > nodes.count():
         once = written(once.dropDuplicates(["node"]), "once")
+    once = once.drop(key)
 
     tested: list[DataFrame] = []
 
@@ -391,14 +418,29 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
         return of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     roots = written(components(found), "roots")
-    postings = once.select("node", "n", F.explode("first").alias("token"))
-
     def several(of: DataFrame) -> DataFrame:
         """Tokens that stand with two roots or more."""
         return written(of.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"), "several")
 
-    wanted = several(rooted(once.select("node", "first"), roots).select(F.explode("first").alias("token"), "root"))
-    met = written(postings.join(told(wanted), "token", "left_semi").select("token", "node", "n"), "buckets")
+    # most hashes stand in one text: a sieve of those that stand in more leaves few rows to be moved
+    spot = F.pmod(F.col("token"), F.lit(SIEVE_BITS))
+    twice = once.select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = twice.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(token, {SIEVE_BITS}) % 64 as int))")).alias("bits")).toArrow()  # at most SIEVE_BITS / 64 rows
+    sieve = np.zeros(SIEVE_BITS // 64, np.int64)
+    sieve[bits.column(0).to_numpy()] = bits.column(1).to_numpy()
+    sieve = spark.sparkContext.broadcast(sieve)
+
+    def sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            token = lists.flatten().to_numpy()
+            at = token & np.int64(SIEVE_BITS - 1)
+            keep = np.flatnonzero(sieve.value[at >> 6] >> (at & 63) & 1)
+            row = pa.array(np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), b.column(0).take(row), b.column(1).take(row)], names=["token", "node", "n"])
+
+    met = written(once.select("node", "n", "first").mapInArrow(tidied(sieved), "token long, node long, n int"), "sieved")
+    met = written(met.join(told(several(rooted(met, roots))), "token", "left_semi"), "buckets")
     # of buckets with the same members one is enough
     held = met.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("node").alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("y"))
     held = written(held.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "tokens")
@@ -419,7 +461,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
         if not more.isEmpty():
             found = found.union(more)
             roots = written(components(found), "roots")
-    named = rooted(nodes, roots)
+    named = rooted(nodes.select("node", "least"), roots)
     names = written(named.groupBy("root").agg(F.min("least").alias("group_id")), "names")
     groups = named.join(names, "root").select("node", "root", "group_id")
     return signed.groupBy(key, "node").agg(F.count(F.lit(1)).alias("copies")).join(groups, "node").select(key, "node", "root", "group_id", "copies")

@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which is set here only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", root)
     out = f"{root.rstrip('/')}/engine-{uuid.uuid4().hex}"

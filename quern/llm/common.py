@@ -68,6 +68,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder in the one that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

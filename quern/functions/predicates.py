@@ -52,6 +52,16 @@ def symptom_ratio(symptoms: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(symptoms, lambda s: F.contains(t, F.lower(s)))).cast("double"), F.size(symptoms)), F.lit(0.0))
 
 
+def expert_in(expertise: Column, topic: Column) -> Column:
+    """Whether a topic is part of some expertise, whatever its case."""
+    return F.coalesce(F.exists(expertise, lambda x: F.contains(F.lower(x), F.lower(topic))), F.lit(False))
+
+
+def critical(tier: Column) -> Column:
+    """Whether a service is of the highest tier."""
+    return F.coalesce(F.upper(F.trim(tier)) == "P1", F.lit(False))
+
+
 def by_importance(nodes: DataFrame, importance: str, least: float = 0.0, limit: int | None = None) -> DataFrame:
     """Nodes from an importance on, the most important first, ties by node_id."""
     out = nodes.where(F.col(importance) >= least).orderBy(F.desc(importance), "node_id")

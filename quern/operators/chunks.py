@@ -124,6 +124,11 @@ def markdown_sections(text: Column) -> Column:
     return F.filter(bound(F.split(text, "\n", -1), cut), lambda s: s["body"] != "")
 
 
+def markdown_packed(text: Column, most: int = PACKED, overlap: int = 40) -> Column:
+    """Markdown sections, each kept whole where it fits, packed to `most` words; chunks after the first begin with the last `overlap` words before."""
+    return packed_with_overlap(F.transform(markdown_sections(text), lambda s: s["body"]), most, overlap)
+
+
 def sentence_chunks(text: Column, most: int = 100) -> Column:
     """Sentences packed to `most` words with spaces; a longer sentence is cut at , ; : first."""
     whole = sentences(text)
@@ -176,3 +181,24 @@ def semantic_cuts(units: DataFrame, floor: float = 0.78, spread: float = 0.5) ->
     sim = units.withColumn("sim", cosine(F.col("v"), nxt))
     limit = F.least(F.lit(0.99), F.greatest(F.lit(0.0), F.least(F.lit(floor), F.avg("sim").over(doc) - spread * F.stddev_pop("sim").over(doc))))
     return sim.withColumn("cut", F.coalesce(F.col("sim") < limit, F.lit(True))).drop("v")
+
+
+def semantic_chunks(units: DataFrame, most: int = PACKED, least: int = 120, overlap: int = 40) -> DataFrame:
+    """doc_id, pos, text of units (doc_id, pos, text, tokens, v): segments that end at semantic_cuts(), packed with overlap.
+
+    A segment ends at a cut only from `least` tokens on, and before a unit that would take it over `most`. A document's units meet in
+    one row, which is as long as the document.
+    """
+    each = semantic_cuts(units).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "tokens", "cut"))).alias("u"))
+    start = F.struct(F.lit("").alias("cur"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, u: Column) -> Column:
+        over = (acc["cur"] != "") & (acc["n"] + u["tokens"] > most)
+        out = F.when(over, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"])
+        cur = F.when(over | (acc["cur"] == ""), u["text"]).otherwise(F.concat(acc["cur"], F.lit(" "), u["text"]))
+        n = F.when(over, u["tokens"]).otherwise(acc["n"] + u["tokens"]).cast("int")
+        ends = u["cut"] & (n >= least)
+        return F.struct(F.when(ends, "").otherwise(cur).alias("cur"), F.when(ends, 0).otherwise(n).alias("n"), F.when(ends, F.array_append(out, cur)).otherwise(out).alias("out"))
+
+    segments = F.aggregate("u", start, step, lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])))
+    return each.select("doc_id", F.posexplode(packed_with_overlap(segments, most, overlap)).alias("pos", "text"))

@@ -137,6 +137,35 @@ def chunk_clauses(spark, sf):
     return c.select("conv_id", "turn", F.explode("c").alias("c")).select("conv_id", "turn", F.col("c.num").cast("long").alias("num"), F.md5("c.body").alias("body_md5"))
 
 
+@query(r"""WITH u AS (SELECT conv_id, list('## Turn' || chr(10) || t ORDER BY turn) AS u FROM (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id),
+p AS (SELECT conv_id, list_reduce(list_transform(u, lambda x: {'cur': x, 'n': len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')), 'out': []::VARCHAR[]}), lambda a, b: CASE WHEN a.n + b.n <= 60 THEN {'cur': a.cur || chr(10) || chr(10) || b.cur, 'n': a.n + b.n, 'out': a.out} ELSE {'cur': b.cur, 'n': b.n, 'out': list_append(a.out, a.cur)} END) AS p FROM u),
+c AS (SELECT conv_id, list_append(p.out, p.cur) AS c FROM p), w AS (SELECT conv_id, c, list_transform(c, lambda x: list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')) AS w FROM c)
+SELECT conv_id, i - 1 AS pos, md5(CASE WHEN i = 1 THEN c[i] ELSE array_to_string(w[i - 1][greatest(len(w[i - 1]) - 9, 1) :], ' ') || chr(10) || chr(10) || c[i] END) AS text_md5 FROM (SELECT conv_id, c, w, unnest(range(1, len(c) + 1)) AS i FROM w)""")
+def chunk_markdown_packed(spark, sf):
+    """Conversations as markdown, a section a turn, packed with overlap."""
+    part = F.concat(F.lit("## Turn\n"), F.regexp_replace("text", r"^\s+|\s+$", ""))
+    c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("t")))), lambda s: s["t"]), "\n").alias("text"))
+    return c.select("conv_id", F.posexplode(chunks.markdown_packed(F.col("text"), 60, 10)).alias("pos", "t")).select("conv_id", F.col("pos").cast("long").alias("pos"), F.md5("t").alias("text_md5"))
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, text, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS n, [length(text) % 5, length(text) % 7, length(text) % 3, 1]::DOUBLE[] AS v FROM conversations),
+s AS (SELECT *, list_dot_product(v, x) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(x, x))) AS sim FROM (SELECT *, lead(v) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM u)),
+f AS (SELECT *, coalesce(sim < least(0.99, greatest(0.0, least(0.78, avg(sim) OVER (PARTITION BY conv_id) - 0.5 * stddev_pop(sim) OVER (PARTITION BY conv_id)))), true) AS cut FROM s),
+g AS (SELECT conv_id, list({'t': text, 'n': n, 'cut': cut} ORDER BY turn) AS u FROM f GROUP BY conv_id),
+segments AS (SELECT conv_id, list_reduce(list_prepend({'cur': '', 'n': 0, 'out': []::VARCHAR[], 't': '', 'm': 0, 'cut': false}, list_transform(u, lambda x: {'cur': '', 'n': 0, 'out': []::VARCHAR[], 't': x.t, 'm': x.n, 'cut': x.cut})), lambda a, b:
+  CASE WHEN b.cut AND (CASE WHEN a.cur <> '' AND a.n + b.m > 60 THEN b.m ELSE a.n + b.m END) >= 20 THEN {'cur': '', 'n': 0, 'out': list_append(CASE WHEN a.cur <> '' AND a.n + b.m > 60 THEN list_append(a.out, a.cur) ELSE a.out END, CASE WHEN a.cur = '' OR a.n + b.m > 60 THEN b.t ELSE a.cur || ' ' || b.t END), 't': '', 'm': 0, 'cut': false}
+  ELSE {'cur': CASE WHEN a.cur = '' OR a.n + b.m > 60 THEN b.t ELSE a.cur || ' ' || b.t END, 'n': CASE WHEN a.cur <> '' AND a.n + b.m > 60 THEN b.m ELSE a.n + b.m END, 'out': CASE WHEN a.cur <> '' AND a.n + b.m > 60 THEN list_append(a.out, a.cur) ELSE a.out END, 't': '', 'm': 0, 'cut': false} END) AS p FROM g),
+whole AS (SELECT conv_id, CASE WHEN p.cur = '' THEN p.out ELSE list_append(p.out, p.cur) END AS u FROM segments),
+packing AS (SELECT conv_id, list_reduce(list_transform(u, lambda x: {'cur': x, 'n': len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')), 'out': []::VARCHAR[]}), lambda a, b: CASE WHEN a.n + b.n <= 60 THEN {'cur': a.cur || chr(10) || chr(10) || b.cur, 'n': a.n + b.n, 'out': a.out} ELSE {'cur': b.cur, 'n': b.n, 'out': list_append(a.out, a.cur)} END) AS p FROM whole)
+SELECT conv_id AS doc_id, i - 1 AS pos, md5(c[i]) AS text_md5 FROM (SELECT conv_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT conv_id, list_append(p.out, p.cur) AS c FROM packing))""")
+def chunk_semantic(spark, sf):
+    """Turns as units, cut where neighbours differ and packed; vectors from the turns' lengths, so that SQL has them too."""
+    n = F.length("text")
+    v = F.array(*(x.cast("double") for x in (n % 5, n % 7, n % 3, F.lit(1))))
+    units = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("tokens"), v.alias("v"))
+    return chunks.semantic_chunks(units, 60, 20, 0).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("text_md5"))
+
+
 # predicates, lookups and scores
 
 
@@ -178,6 +207,13 @@ def node_symptom_ratio(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", F.round(predicates.symptom_ratio(F.array(*map(F.lit, ("A", "zq", "EN"))), F.col("text")), 6).alias("ratio"))
 
 
+@query("SELECT s_suppkey AS id, contains(lower(s_name), '7') OR s_nationkey = 7 AS expert, s_nationkey % 3 = 0 AS critical FROM supplier")
+def node_experts_and_tiers(spark, sf):
+    expertise = F.array("s_name", F.when(F.col("s_nationkey") == 7, "Area 7"), F.lit("other"))
+    tier = F.when(F.col("s_nationkey") % 3 == 0, " p1").when(F.col("s_nationkey") % 3 == 1, "P2")
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), predicates.expert_in(F.filter(expertise, lambda x: x.isNotNull()), F.lit("7")).alias("expert"), predicates.critical(tier).alias("critical"))
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS total, round(1 / (1 + list_dot_product(v, v)), 6) AS similarity FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
 def vector_normalised(spark, sf):
     v = F.col("embedding")

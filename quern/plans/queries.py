@@ -708,11 +708,15 @@ def _told_pages(spark, sf) -> DataFrame:
     return spread(read(spark, sf, "pages")).select("page_id", F.concat(text.html_text(F.col("html")), F.expr(_SAID.replace("||", ",").join(("concat(", ")")))).alias("t"))
 
 
+#: A letter beyond ASCII is a word's to Java, not to RE2: for the SQL it is one that is a word's to both.
+_ASCII = r"regexp_replace(t, '[À-ɏͰ-ϿЀ-ӿḀ-ỿ]', '_', 'g')"
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_ENTITIES = " UNION ".join(f"SELECT page_id, '{kind}' AS type, regexp_replace(lower(v), '^\\s+|\\s+$', '', 'g') AS name FROM (SELECT page_id, unnest({' || '.join(f'regexp_extract_all({"t" if kind in ("person", "endpoint") else "lower(t)"}, {_quoted(p)}, 1)' for p in patterns)}) AS v FROM t)" for kind, patterns in extract.ENTITY_PATTERNS.items())
+_ENTITIES = " UNION ".join(f"SELECT page_id, '{kind}' AS type, regexp_replace(lower(v), '^\\s+|\\s+$', '', 'g') AS name FROM (SELECT page_id, unnest({' || '.join(f'regexp_extract_all({_ASCII if kind in ("person", "endpoint") else f"lower({_ASCII})"}, {_quoted(p)}, 1)' for p in patterns)}) AS v FROM t)" for kind, patterns in extract.ENTITY_PATTERNS.items())
 _RELATIONS = " UNION ".join(f"SELECT page_id, s AS source, '{kind}' AS relation, x AS target FROM (SELECT page_id, unnest(regexp_extract_all(lower(t), {_quoted(p)}, {2 if swap else 1})) AS s, unnest(regexp_extract_all(lower(t), {_quoted(p)}, {1 if swap else 2})) AS x FROM t)" for p, kind, swap in extract.RELATION_PATTERNS)
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The input table `name` under `sf_dir`. Rows go to Python in batches of few megabytes from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """The input table `name` under `sf_dir`. Rows go to Python in batches of few rows from now on, as some have long texts or sets."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -273,8 +273,9 @@ def _apart(maps: list[np.ndarray], r: np.ndarray, c: np.ndarray) -> np.ndarray:
         here = np.flatnonzero(np.minimum(sizes[r], sizes[c]) == size)
         rows = np.unique(np.concatenate((r[here], c[here])))
         table = np.stack([np.bitwise_xor.reduce(maps[k].reshape(-1, size), axis=0) for k in rows.tolist()])
-        for k in range(0, len(here), 65536):
-            part = here[k : k + 65536]
+        step = max(1, (1 << 20) // int(size))  # words that are compared at a time
+        for k in range(0, len(here), step):
+            part = here[k : k + step]
             both = table[np.searchsorted(rows, r[part])] ^ table[np.searchsorted(rows, c[part])]
             out[part] = np.bitwise_count(both).sum(axis=1)
     return out

@@ -206,9 +206,9 @@ def build(vectors: DataFrame, sample: int = SAMPLE) -> Index | None:
     index = Index(None, float(np.sqrt(stats["norm"])), x[:PILOTS].copy(), np.zeros((0, REPLICAS), np.int64))
     lists = int(min(CENTROIDS, max(1, 0.9 * stats["n"] ** 0.5)))
     index.graph = Graph.of(balanced_centroids(index.lifted(x), lists))
-    if len(index.pilots):
-        found, keep = index._closest(index.pilots)
-        index.pilot_lists = np.where(keep, found, found[:, :1])
+    for k in range(0, len(index.pilots), 256):  # few at a time: a search gathers each row's neighbours in the graph
+        found, keep = index._closest(index.pilots[k : k + 256])
+        index.pilot_lists = np.concatenate((index.pilot_lists[:, : found.shape[1]], np.where(keep, found, found[:, :1])))
     return index
 
 

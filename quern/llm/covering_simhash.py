@@ -208,8 +208,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
 MAP_BITS, MOST_BITS, MEMBERS = 1024, 1 << 16, 2048
 #: Bits of the sieve that is told to all executors of hashes that stand in two texts or more.
 SIEVE_BITS = 1 << 26
-#: Texts that frequent shingles are counted in, and the most that are told to all tasks. Which they are decides only the cost.
-COUNTED_TEXTS, FREQUENT = 8_000, 200_000
+#: Cells that shingle hashes fall into, and rows of which three have a frequent shingle's cell. Which are frequent decides only the cost.
+CELLS, FREQUENT_IN = 1 << 24, 8_000
+#: Cells that are summed at a time, cells that a task holds until it sends their counts, and the most rows these are from, so that 16 bits count them.
+SLICE, HELD, ROWS_HELD = 1 << 16, 1 << 18, 60_000
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -222,14 +224,14 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray) -> np.nd
     """The hashes of a set of which any set of that Jaccard similarity has one in its own prefix: the first in an order that is the same for all sets.
 
     Sets of similarity t share at least t of the larger, so of each at most n - ceil(t n) are missing in the other, and
-    one more than that can't all be. Frequent hashes come last, others by value. A set without hashes has the prefix 0.
+    one more than that can't all be. Hashes in frequent cells (a bit each) come last, others by value. A set without
+    hashes has the prefix 0.
     """
     if not len(hashes):
         return np.zeros(1, np.uint64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        often = frequent[at] == hashes
-        hashes = np.concatenate((hashes[~often], hashes[often]))
+    cell = (hashes % CELLS).astype(np.int64)
+    often = (frequent[cell >> 3] >> (cell & 7) & 1).astype(bool)
+    hashes = np.concatenate((hashes[~often], hashes[often]))
     return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
 
 
@@ -239,20 +241,55 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _frequent(rows: DataFrame, words: int, texts: int = COUNTED_TEXTS, most: int = FREQUENT) -> np.ndarray:
-    """Shingle hashes that stand in three or more of about `texts` texts, sorted."""
+def _frequent(rows: DataFrame, words: int, texts: int = FREQUENT_IN, held: int = HELD) -> np.ndarray:
+    """A bit for each cell: whether three or more rows, and three or more in `texts`, have a shingle hash in it. Every row is counted."""
+
+    def counts(parts: list[np.ndarray]) -> pa.RecordBatch:
+        cell, n = np.unique(np.concatenate(parts), return_counts=True)
+        cut = np.flatnonzero(cell[1:] // SLICE != cell[:-1] // SLICE) + 1
+        edges = [0, *cut.tolist(), len(cell)]
+        place, n = (cell % SLICE).astype(np.uint16), n.astype(np.uint16)
+        columns = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)], pa.binary()) for x in (place, n)]
+        return pa.RecordBatch.from_arrays([pa.array((cell[edges[:-1]] // SLICE).astype(np.int32)), *columns], names=["slice", "place", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for b in batches:
+            for t in b.column(0):
+                if found := list(shingle_hashes(t.as_py(), words)):
+                    parts.append(np.unique((np.concatenate(found) % CELLS).astype(np.uint32)))
+                    size += len(parts[-1])
+                if size >= held or len(parts) >= ROWS_HELD:
+                    yield counts(parts)
+                    parts, size = [], 0
+        if parts:
+            yield counts(parts)
+
+    least = max(3, -(-3 * rows.count() // texts))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by slice: the slices that have frequent cells, a bit a cell."""
+
+        def bits() -> Iterator[pa.RecordBatch]:
+            if name is not None and (often := total >= least).any():
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([np.packbits(often, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+
+        name, total = None, np.zeros(SLICE, np.int64)
         for b in batches:
-            sets = [shingle_set(t, words) for t in b.column(0).to_pylist()]
-            h, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    share = max(1, rows.count() // texts)
-    some = rows.where(F.pmod("node", F.lit(share)) == 0).select("text")
-    counted = some.mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    got = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow().column(0).to_numpy()
-    return np.sort(got.astype(np.int64).view(np.uint64))
+            for at, place, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != name:
+                    yield from bits()
+                    name, total = at, np.zeros(SLICE, np.int64)
+                total[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint16)
+        yield from bits()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.select("text").mapInArrow(tidied(run), "slice int, place binary, n binary")
+    summed = counted.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(tidied(add), "slice int, bits binary")
+    got, out = summed.toArrow(), np.zeros((CELLS // SLICE, SLICE // 8), np.uint8)  # 2 MB, however many rows there are
+    for at, bits in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        out[at] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
 
 
 def parity_map(hashes: np.ndarray) -> bytes:

@@ -23,3 +23,33 @@ def test_unrelated_texts_of_one_key_stay(spark):
 def test_groups_are_alike_for_any_partitioning(docs):
     one = {(r["doc_id"], r["node"], r["group_id"]) for r in covering_simhash.similar_groups(docs.repartition(1)).collect()}
     assert one == {(r["doc_id"], r["node"], r["group_id"]) for r in covering_simhash.similar_groups(docs.repartition(7)).collect()}
+
+
+def test_frequent_shingles_are_counted_in_all_rows(spark):
+    """A phrase of all texts is frequent although no text's hash is one that a sample of every third would draw."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(52)
+    phrase = prose(rng, 12)
+    texts = spark.createDataFrame([(f"{prose(rng, 20)} {phrase}",) for _ in range(90)], "text string").withColumn("node", F.xxhash64("text"))
+    texts = [tuple(r) for r in texts.where(F.pmod("node", F.lit(3)) != 0).collect()][:30]
+    frequent = covering_simhash._frequent(spark.createDataFrame(texts, "text string, node long").repartition(3), 5, 10)
+    common = set(covering_simhash.shingle_set(phrase).tolist())
+    for text, _ in texts:
+        assert not common & set(covering_simhash.prefix(covering_simhash.shingle_set(text), 0.8, frequent).tolist())
+
+
+def test_frequent_cells_by_brute_force(spark, docs, corpus):
+    """However many rows and cells a task holds, every row counts once in each of its cells."""
+    import numpy as np
+
+    rows = Counter()
+    for row in corpus:
+        rows.update(np.unique(covering_simhash.shingle_set(row[1]) % covering_simhash.CELLS).tolist())
+    least = -(-3 * len(corpus) // 60)
+    for held in (1, 700, covering_simhash.HELD):
+        got = covering_simhash._frequent(docs.select("text"), 5, 60, held)
+        assert set(np.flatnonzero(np.unpackbits(got, bitorder="little")).tolist()) == {c for c, n in rows.items() if n >= least}
+    assert least > 3 and any(n >= least for n in rows.values())

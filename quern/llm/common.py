@@ -53,6 +53,12 @@ def tidied(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Ite
     return whole
 
 
+def relieve(spark: SparkSession) -> None:
+    """Gives memory back that the driver no longer needs, in Python and in the JVM, where the broadcasts and shuffles that nothing refers to any more end too."""
+    tidy()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """For each wanted column name, it or it with as many underscores as keep it from clashing with df's columns."""
     have, out = {c.lower() for c in df.columns}, []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, scratch, spread, table, tidied, told, written
+from quern.llm.common import fresh, relieve, scratch, spread, table, tidied, told, written
 from quern.llm.components import components
 
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
@@ -441,7 +441,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
 
         whole = written(rows.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(tidied(sets), "node long, hashes binary"), "sets")
         both = pairs.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("s")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("t")), "b").select("a", "b", "s", "t")
-        return written(both.mapInArrow(tidied(compare), "a long, b long"), "similar")
+        near = written(both.mapInArrow(tidied(compare), "a long, b long"), "similar")
+        relieve(spark)
+        return near
 
     # texts of one SimHash with the least of them, and the least ones of SimHashes that the tables link
     classes = written(once.groupBy("fp").agg(F.min("node").alias("rep")), "classes")

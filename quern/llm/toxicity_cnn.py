@@ -11,6 +11,7 @@ that the threshold scores 0.7.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from quern.llm.common import fresh, spread, table, tidied, told, written
+from quern.llm.common import fresh, relieve, spread, table, tidied, told, written
 
 #: Labelled rows that training takes at most, chosen by the hash of doc_id.
 TRAIN_ROWS = 8_000
@@ -166,7 +167,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 4, batch: in
     model, rng = Model(), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         return model
-    # words are read from a text when they are needed: lists of all texts' words would fill the driver
+    # words are read from a text when they are needed: lists of all texts' words would fill the memory
     word_buckets, prefix_buckets = [], []
     for t in texts:
         own = set(words_of(t))
@@ -249,13 +250,22 @@ def _labelled_ids(labels: DataFrame, usable: Column, target: str, rows: int) ->
     return fit.select("doc_id", "y"), rest.select("doc_id", "y")
 
 
-def _texts_of(docs: DataFrame, fit: DataFrame) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of the rows to fit on, in the order of their ids' sums; of a repeated id the greatest text counts."""
-    # at most as many rows of two numbers as may be fitted on: a bounded broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(fit), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).toArrow()
-    ids = got.column("doc_id").to_pylist()
-    got = got.take(pa.array(sorted(range(len(ids)), key=lambda k: zlib.crc32(str(ids[k]).encode())), pa.int64()))
-    return got.column("text").to_pylist(), got.column("y").to_pylist()
+def trained(docs: DataFrame, fit: DataFrame) -> Model:
+    """A model of the rows to fit on, in the order of their ids' sums; of a repeated id the greatest text counts.
+
+    One task trains it, and only the model comes to the driver: texts and gradients would take memory there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        model = train([t for _, t, _ in rows], [y for _, _, y in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # at most as many rows of two numbers as may be fitted on: a bounded broadcast, and a bounded task
+    rows = docs.select("doc_id", "text").join(F.broadcast(fit), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    got = rows.repartition(1).mapInArrow(tidied(run), "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else Model()
 
 
 def raw_scored(docs: DataFrame, model: Model, raw: str, spoken: str) -> DataFrame:
@@ -318,7 +328,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
     keep = docs.columns if keep is None else keep
     out, raw, spoken, y, of = fresh(docs, score, "raw", "spoken", "y", "labelled_id")
     fit, rest = _labelled_ids(labels, ~held_out(), "toxic", rows)
-    model = train(*_texts_of(docs, fit))
+    model = trained(docs, fit)
+    relieve(docs.sparkSession)
     labelled = told(written(rest, "labelled").select(F.col("doc_id").alias(of), F.col("y").alias(y)))
     some = docs.select("doc_id", "text").join(labelled, F.col("doc_id") == F.col(of)).select("text", y)
     general, limits = thresholds(raw_scored(some, model, raw, spoken).select(F.col(spoken).alias("spoken"), F.col(raw).alias("z"), F.col(y).alias("y")))

@@ -102,3 +102,17 @@ def test_all_labels_beyond_the_sample_set_thresholds(spark):
     assert len(a) == 50 and not a & b and a | b == usable
     general, limits = cnn.thresholds(spark.createDataFrame([("en", 2.0, 1), ("en", 1.0, 0), ("de", 0.5, 0), ("", 3.0, 1)], "spoken string, z double, y int"))
     assert general == pytest.approx(1.5, abs=0.02) and set(limits) == set(cnn.FUNCTION_WORDS)
+
+
+def test_the_driver_neither_gathers_texts_nor_trains(spark, monkeypatch):
+    """Training runs in a task: the driver, whose memory is the smallest, gets the model only."""
+    rows, here, train = toxic_rows(300), [], cnn.train
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    want = plain_scores([r[:2] for r in rows], {k: y for k, _, y in rows})
+    monkeypatch.setattr(cnn, "train", lambda *a: here.append(len(a[0])) or train(*a))
+    got = {r["doc_id"]: r["score"] for r in cnn.toxicity_scores(docs, labels, keep=["doc_id"]).collect()}
+    assert not here
+    assert got == {k: pytest.approx(s, abs=1e-6) for (k, _, _), s in zip(rows, want, strict=True)}
+    none = cnn.toxicity_scores(docs, labels.limit(0), keep=["doc_id"]).collect()
+    assert len(none) == len(rows) and all(r["score"] < cnn.PASS for r in none)

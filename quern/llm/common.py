@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a Parquet file that a task decodes at once where long texts are read.
+DECODED = 250
+
+
+def few_decoded(spark: SparkSession) -> None:
+    """From now on tasks decode few rows of a Parquet file at once: buffers for thousands of long texts, doubled as they fill, make an executor's heap grow."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(DECODED))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer files than there are cores, dealt over all cores before costly work on its rows; others as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import KEPT, shared_dir, table, tidied, written
+from quern.llm.common import KEPT, few_decoded, shared_dir, table, tidied, written
 
 END_ID = 1
 #: Ids per sequence, and per record batch of sequences.
@@ -288,5 +288,6 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written and read back."""
+    few_decoded(spark)
     docs, uri = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tokens"
     return read_tokens(spark, uri, write_tokens(docs, uri, public_tokenizer()))

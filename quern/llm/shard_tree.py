@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, numbered, table, unit_draw
+from quern.llm.common import few_decoded, fresh, numbered, table, unit_draw
 
 
 @dataclass(frozen=True)
@@ -79,6 +79,7 @@ def assign_shards(docs: DataFrame, tree: list[Leaf], key: str = "doc_id", shard:
 
 def op3_shard_tree(spark, sf_dir: str) -> DataFrame:
     """documents dealt to 8 shards by key, with what a ninth shard would take."""
+    few_decoded(spark)
     docs, tree = table(spark, sf_dir, "documents").select("doc_id", "text"), balanced_tree(8)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     grown = shard_of([F.col("doc_id").cast("string")], grown_tree(tree))

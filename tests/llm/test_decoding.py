@@ -2,7 +2,7 @@
 
 import pytest
 
-from quern.llm import common, token_store
+from quern.llm import common, shard_tree, token_store
 
 SIZE = "spark.sql.parquet.columnarReaderBatchSize"
 
@@ -24,7 +24,7 @@ def decoded(spark, run):
     return [x for x in out if len(x) == 2]
 
 
-@pytest.mark.parametrize("query", [token_store.op2_token_store])
+@pytest.mark.parametrize("query", [token_store.op2_token_store, shard_tree.op3_shard_tree])
 def test_few_rows_of_documents_are_decoded_at_once(spark, tmp_path, query):
     n = 6 * common.DECODED
     spark.range(n).selectExpr("id doc_id", "concat('text ', id) text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")

@@ -285,32 +285,6 @@ def _one_gaussian(points: DataFrame, n: int, dims: int) -> float:
     return float(-0.5 * n * (dims * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + dims))
 
 
-def recluster(nodes: DataFrame, cluster, tokens: str = "tokens", most: int = 3500, rounds: int = 5) -> DataFrame:
-    """node_id, path: clusters that hold over `most` tokens are clustered again, up to `rounds` times.
-
-    cluster: a function from rows (node_id, v) to (node_id, cluster). Each round clusters the rows of all clusters that
-    are too large, one cluster after the other; a cluster that stays whole is kept.
-    """
-    from quern.store import materialised
-
-    rows = materialised(nodes.withColumn("path", F.lit("")))
-    done = set()
-    for _ in range(rounds):
-        sizes = rows.groupBy("path").agg(F.sum(tokens).alias("t"), F.count(F.lit(1)).alias("n"))
-        large = [r["path"] for r in sizes.where((F.col("t") > most) & (F.col("n") > 1)).collect() if r["path"] not in done]  # as many as there are clusters
-        if not large:
-            break
-        parts = rows.where(~F.col("path").isin(large))
-        for p in large:
-            own = rows.where(F.col("path") == p)
-            got = cluster(own.select("node_id", "v"))
-            if got.select("cluster").distinct().count() < 2:
-                done.add(p)
-            parts = parts.unionByName(own.join(got, "node_id").withColumn("path", F.concat("path", F.lit("/"), F.col("cluster").cast("string")) if p not in done else F.col("path")).drop("cluster"))
-        rows = materialised(parts)
-    return rows.select("node_id", "path")
-
-
 def without_layers_above(nodes: DataFrame, edges: DataFrame, layer: int) -> tuple[DataFrame, DataFrame]:
     """A tree cut above a layer, ready for build() from there: its nodes, and the edges whose parent stays."""
     kept = nodes.where(F.col("layer") <= layer)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, relieve, scratch, spread, table, tidied, told, written
+from quern.llm.common import few_decoded, fresh, relieve, scratch, spread, table, tidied, told, written
 from quern.llm.components import components
 
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
@@ -383,6 +383,52 @@ def _compare(similarity: float, best: bool):
     return run
 
 
+def _several_cells(rows: DataFrame) -> np.ndarray:
+    """A bit for each of SIEVE_BITS cells: whether a token of it stands in two of rows (first: different tokens) or more.
+
+    Tokens are moved as packed arrays, by ranges of cells; a task sorts those of one range at a time, so no table of all
+    different tokens is built.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(SIEVE_BITS // 64, 1 << max(6, (n - 1).bit_length()))
+    width = SIEVE_BITS // ranges
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token = b.column(0).flatten().to_numpy()
+            at = (token & np.int64(SIEVE_BITS - 1)) // width
+            order = np.argsort(at, kind="stable")
+            token, at = token[order], at[order]
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else [0]
+            packed = [token[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[edges[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["range", "tokens"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bits(name: int, parts: list[bytes]) -> pa.RecordBatch:
+            token = np.sort(np.frombuffer(b"".join(parts), np.int64))
+            again = token[1:][token[1:] == token[:-1]]
+            cells = np.zeros(width, bool)
+            cells[(again & np.int64(SIEVE_BITS - 1)) - name * width] = True
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
+
+        name, parts = None, []
+        for b in batches:
+            for at, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != name:
+                    if parts:
+                        yield bits(name, parts)
+                    name, parts = at, []
+                parts.append(tokens)
+        if parts:
+            yield bits(name, parts)
+
+    dealt = rows.mapInArrow(tidied(deal), "range int, tokens binary").repartition(n, "range").sortWithinPartitions("range")
+    got, out = dealt.mapInArrow(tidied(mark), "range int, bits binary").toArrow(), np.zeros((ranges, width // 8), np.uint8)  # SIEVE_BITS, however many rows there are
+    for at, found in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        out[at] = np.frombuffer(found, np.uint8)
+    return out.reshape(-1)
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", radius: int = 4) -> DataFrame:
     """(key, node, root, group_id, copies): rows whose texts are linked by shingle similarity have the same root, and group_id, their smallest key.
 
@@ -463,12 +509,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
         return written(of.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"), "several")
 
     # most hashes stand in one text: a sieve of those that stand in more leaves few rows to be moved
-    spot = F.pmod(F.col("token"), F.lit(SIEVE_BITS))
-    twice = once.select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bits = twice.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(token, {SIEVE_BITS}) % 64 as int))")).alias("bits")).toArrow()  # at most SIEVE_BITS / 64 rows
-    sieve = np.zeros(SIEVE_BITS // 64, np.int64)
-    sieve[bits.column(0).to_numpy()] = bits.column(1).to_numpy()
-    sieve = spark.sparkContext.broadcast(sieve)
+    sieve = spark.sparkContext.broadcast(_several_cells(once.select("first")).view(np.int64))
 
     def sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -514,6 +555,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     group the row with the smallest key stays (null last; of several texts with that key the one with the least hash), of
     rows equal in key and text one. Equal hashes of 64 bits are taken for equal texts.
     """
+    few_decoded(docs.sparkSession)
     k, n, h, kept_key, kept_node = fresh(docs, "gone_key", "gone_node", "gone_hash", "kept_key", "kept_node")
     with scratch(docs.sparkSession) as kept:
         groups = written(similar_groups(docs, words, similarity, key), "groups")

@@ -118,11 +118,12 @@ def test_queries_run_over_whole_tables(spark, name):
     n = spark.read.parquet(f"{SMALL}/{table}.parquet").count()
     if name.startswith("op1_"):
         assert {r["doc_id"] for r in got} >= {r[0] for r in duckdb.sql(f"SELECT d.doc_id FROM '{SMALL}/documents.parquet' d JOIN '{SMALL}/benchmark.parquet' b ON contains(d.text, b.text)").fetchall()}
-    else:
+    elif name.split("_")[0] not in ("op11", "op13"):  # these give as many rows as SQL, below
         assert len(got) == (n if not name.startswith("op9") else 20 * (n // 20))
     if name in queries.ORACLES:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+        for table in ("documents", "benchmark", "conversations"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
         result = con.execute(queries.ORACLES[name])
         at = [d[0] for d in result.description]
-        assert sorted(tuple(r[c] for c in at) for r in got) == sorted(result.fetchall())
+        assert sorted((tuple(r[c] for c in at) for r in got), key=repr) == sorted(result.fetchall(), key=repr)

@@ -11,26 +11,10 @@ from quern.plans import ingestion, ports
 from quern.plans.queries import _CENTERS, _COS, _EDGES, _IMPORTANT, _NODE, _SIGNALS, _WORDS, _edges, _listed, _members, _signals, _typed_nodes, query
 from quern.session import read, spread
 from quern.sources import readers
-from quern.store import shared_folder
 
 # sources and sinks
 
 
-@query("SELECT * FROM (VALUES ('sample_1', 'runbook', 49), ('sample_2', 'documentation', 42), ('sample_3', 'incident', 50)) t(doc_id, type, n_chars)")
-def source_sample_rows(spark, sf):
-    return readers.sample_rows(spark).select("doc_id", "type", F.length("content").alias("n_chars"))
-
-
-@query("SELECT doc_id, 'Title ' || doc_id AS title, md5(text) AS text_md5 FROM documents WHERE trim(text) <> '' AND doc_id % 50 = 0")
-def source_json_documents(spark, sf):
-    """Documents written as JSON files, one document each, and read back."""
-    folder = shared_folder(spark)
-    d = read(spark, sf, "documents").where("doc_id % 50 = 0")
-    d.select(F.to_json(F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("Title "), "doc_id").alias("title"), F.col("text").alias("content")))).alias("value")).repartition(4).write.option("lineSep", "\n").text(folder)
-    rows = spark.read.text(folder)  # a line is a list of one document
-    return rows.select(F.explode(F.from_json("value", "array<struct<id:string,title:string,content:string>>")).alias("d")).where(F.trim("d.content") != "").select(F.col("d.id").cast("long").alias("doc_id"), "d.title", F.md5("d.content").alias("text_md5"))
-
-
 @query("SELECT doc_id, max(n) AS version FROM (SELECT doc_id, 1 AS n FROM documents UNION ALL SELECT doc_id, 2 FROM labels) GROUP BY doc_id")
 def sink_restored(spark, sf):
     a = read(spark, sf, "documents").select("doc_id", F.lit(1).alias("version"))
@@ -69,10 +53,10 @@ def usage_budget(spark, sf):
     return ingest.within_budget(e, 0.0005, "user_id", ["ts", "event_id"]).select("event_id", "allowed")
 
 
-@query("""WITH c AS (SELECT substring(sha256(doc_id || '|' || text), 1, 16) AS change_id, doc_id FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH c AS (SELECT substring(sha256(doc_id || '|' || text), 1, 16) AS change_id, doc_id FROM documents)
 SELECT change_id, CASE WHEN doc_id % 4 <> 0 THEN 'pending' WHEN doc_id % 8 = 0 THEN 'approved' ELSE 'rejected' END AS status FROM c""")
 def sink_pending_changes(spark, sf):
-    d = read(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("node_id"), "text")
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
     changes = ingest.submitted(d, F.lit(1))
     verdicts = ingest.submitted(d.where("node_id % 4 = 0"), F.lit(2)).join(ingest.submitted(d.where("node_id % 8 = 0"), F.lit(2)).select("change_id", F.lit(True).alias("yes")), "change_id", "left")
     return ingest.changed_status(ingest.reviewed(changes, verdicts.select("change_id", F.coalesce("yes", F.lit(False)).alias("approved"), "at")))
@@ -81,10 +65,10 @@ def sink_pending_changes(spark, sf):
 # chunks
 
 
-@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?s)\{\{.*?\}\}', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages WHERE NOT regexp_matches(html, '\n\s*\n\s*\n')")
+@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)\{\{.*?\}\}', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages")
 def chunk_without_provenance(spark, sf):
-    p = read(spark, sf, "pages").where(~F.col("html").rlike(r"\n\s*\n\s*\n"))
-    return p.select("page_id", F.md5(F.regexp_replace(text.without_provenance(F.concat(F.lit("Source: wiki\nURL: http://x\n"), "html")), r"^\s+|\s+$", "")).alias("text_md5"))
+    p = read(spark, sf, "pages")
+    return p.select("page_id", F.md5(text.without_provenance(F.concat(F.lit("Source: wiki\nURL: http://x\n"), "html"))).alias("text_md5"))
 
 
 _PACKED = r"""units AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS u FROM documents),
@@ -246,10 +230,10 @@ def text_normalised_keywords(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(text.normalised_keywords(k, 3), ",").alias("keywords"))
 
 
-@query("""WITH h AS (SELECT user_id AS query_id, event_id AS node_id, event_type AS source, round(value, 2) AS score FROM events WHERE event_id % 7 = 0), a AS (SELECT * FROM h WHERE source IN ('view', 'click')), b AS (SELECT * FROM h)
+@query("""WITH h AS (SELECT user_id AS query_id, event_id AS node_id, event_type AS source, round(value, 2) AS score FROM events), a AS (SELECT * FROM h WHERE source IN ('view', 'click')), b AS (SELECT * FROM h)
 SELECT query_id, source, max(score) AS score FROM h GROUP BY query_id, source""")
 def fusion_best_per_source(spark, sf):
-    h = read(spark, sf, "events").where("event_id % 7 = 0").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("node_id"), F.col("event_type").alias("source"), F.round("value", 2).alias("score"))
+    h = read(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("node_id"), F.col("event_type").alias("source"), F.round("value", 2).alias("score"))
     return fusion.best_per(h, ["query_id", "source"], [F.desc("score"), F.col("node_id")]).select("query_id", "source", "score")
 
 
@@ -290,10 +274,10 @@ def join_substring(spark, sf):
     return joins.substring_matches(n, c, F.col("name"), F.col("t")).select("conv_id", "turn", "key")
 
 
-@query(rf"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, list_sort(list_distinct(list_filter({_WORDS}, lambda w: length(w) > 2)))[1:2] AS k FROM conversations), d AS (SELECT doc_id, list_distinct({_WORDS}) AS w FROM documents WHERE doc_id % 5 = 0)
+@query(rf"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, list_sort(list_distinct(list_filter({_WORDS}, lambda w: length(w) > 2)))[1:2] AS k FROM conversations), d AS (SELECT doc_id, list_distinct({_WORDS}) AS w FROM documents)
 SELECT query_id, doc_id AS node_id, len(k)::BIGINT AS hits, 1.0::DOUBLE AS score FROM q JOIN d ON len(k) > 0 AND len(list_intersect(k, w)) = len(k)""")
 def join_keywords_all(spark, sf):
-    d = read(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("node_id"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("keyword"))
+    d = spread(read(spark, sf, "documents")).select(F.col("doc_id").alias("node_id"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("keyword"))
     w = F.filter(text.words(F.col("text")), lambda x: F.length(x) > 2)
     q = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.slice(F.array_sort(F.array_distinct(w)), 1, 2).alias("keywords"))
     return joins.keyword_matches(d, q, match_all=True)

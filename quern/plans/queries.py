@@ -1019,4 +1019,4 @@ def source_trees(spark, sf):
     return sinks.list_trees(spark, path).select(F.col("tree_id").cast("long").alias("tree_id"), "nodes", F.col("layers").cast("long").alias("layers"))
 
 
-from quern.plans import growth_queries, more_queries  # noqa: E402, F401  # register their queries here
+from quern.plans import growth_queries, more_queries, retrieval_queries  # noqa: E402, F401  # register their queries here

@@ -240,3 +240,30 @@ def incident_aware(queries: DataFrame, runbooks: DataFrame, incidents: DataFrame
     met = fusion.union_first([b.join(trouble, "query_id", "left_semi") for b in branches], ["query_id", "node_id"])
     rest = fallback.join(trouble, "query_id", "left_anti").select("query_id", "node_id", "score", F.lit("hybrid").alias("strategy"))
     return met.select("query_id", "node_id", "score", "strategy").unionByName(rest)
+
+
+#: What a matching symptom and a shared word add where no vectors are there, and least shared words of an incident.
+SYMPTOM_HIT, WORD_HIT, LEAST_WORDS = 0.3, 0.2, 2
+
+
+def runbooks_by_symptoms(queries: DataFrame, runbooks: DataFrame) -> DataFrame:
+    """query_id, node_id, score of runbooks (node_id, symptoms) where there are no vectors: 0.3 for each symptom of which a query holds a word, at most 1.
+
+    The symptoms' different words meet the queries as substrings; what they belong to is joined after.
+    """
+    from quern.operators.joins import substring_matches
+
+    each = runbooks.select("node_id", F.posexplode("symptoms").alias("symptom", "t")).select("node_id", "symptom", F.explode(F.array_distinct(text.words(F.col("t")))).alias("key"))
+    asked = queries.select("query_id", F.lower("text").alias("low"))
+    met = substring_matches(each.select("key").distinct(), asked, F.col("key"), F.col("low")).select("query_id", "key").distinct()
+    hits = met.join(each, "key").select("query_id", "node_id", "symptom").distinct().groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
+    return hits.select("query_id", "node_id", F.least(F.lit(1.0), F.round(F.col("n") * SYMPTOM_HIT, PLACES)).alias("score"))
+
+
+def incidents_by_words(queries: DataFrame, incidents: DataFrame) -> DataFrame:
+    """query_id, node_id, score of resolved incidents (node_id, name, description, status) without vectors: 0.2 for each different word shared with the query, from two on, at most 1."""
+    said = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
+    have = incidents.where("status = 'resolved'").select("node_id", F.explode(F.array_distinct(text.words(said))).alias("word"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word"))
+    shared = asked.join(have, "word").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_WORDS)
+    return shared.select("query_id", "node_id", F.least(F.lit(1.0), F.round(F.col("n") * WORD_HIT, PLACES)).alias("score"))

@@ -73,3 +73,39 @@ def lasting_boosts(events: DataFrame, hours: float = 24.0) -> DataFrame:
         yield pd.DataFrame({"node_id": [key[0]], "boost": [round(sum(s for _, s in kept), 6)]})
 
     return events.groupBy("node_id").applyInPandasWithState(run, "node_id long, boost double", "times array<double>, sizes array<double>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Where the state of last_turns() is kept: lists with a time to live need this store.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def last_turns(turns: DataFrame, keep: int = 5, hours: float = 24.0) -> DataFrame:
+    """conv_id, turn, context of a stream of turns (conv_id, turn, text): after each batch, a conversation's last `keep` turns as one text.
+
+    For output mode update. A conversation's state is a list of its last turns by number, which end `hours` after they were
+    written. Rows that come late take their place among them, or none if `keep` later turns are there; of one number the text that came last
+    holds. The session's state store must be RocksDB: spark.sql.streaming.stateStore.providerClass = ROCKS.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    ttl = max(1, int(hours * 3_600_000))
+
+    class LastTurns(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.turns = handle.getListState("turns", "turn long, text string", ttlDurationMs=ttl)
+
+        def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+            held = dict(self.turns.get()) if self.turns.exists() else {}
+            for batch in rows:
+                held.update(zip(batch["turn"].tolist(), batch["text"].tolist(), strict=True))
+            last = sorted(held.items())[-keep:]
+            self.turns.put([(int(n), t) for n, t in last])
+            yield pd.DataFrame({"conv_id": [key[0]], "turn": [last[-1][0]], "context": ["\n".join(t for _, t in last)]})
+
+        def close(self) -> None:
+            pass
+
+    return turns.groupBy("conv_id").transformWithStateInPandas(LastTurns(), "conv_id long, turn long, context string", "update", "processingTime")

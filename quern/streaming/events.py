@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,8 +54,6 @@ def lasting_boosts(events: DataFrame, hours: float = 24.0) -> DataFrame:
 
     A node's state holds its boosts that still last, and goes when the last of them has.
     """
-    from collections.abc import Iterator
-
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -75,8 +76,22 @@ def lasting_boosts(events: DataFrame, hours: float = 24.0) -> DataFrame:
     return events.groupBy("node_id").applyInPandasWithState(run, "node_id long, boost double", "times array<double>, sizes array<double>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-#: Where the state of last_turns() is kept: lists with a time to live need this store.
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of a session that runs last_turns(): lists with a time to live need this store, and a run that ends when all is read must
+#: not wait for their ends in batches without rows.
+KEEPING = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+@contextlib.contextmanager
+def keeping(spark: SparkSession) -> Iterator[None]:
+    """The settings of KEEPING while streams are started within it, then those of before."""
+    before = {k: spark.conf.get(k) for k in KEEPING}
+    for k, v in KEEPING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def last_turns(turns: DataFrame, keep: int = 5, hours: float = 24.0) -> DataFrame:
@@ -84,10 +99,8 @@ def last_turns(turns: DataFrame, keep: int = 5, hours: float = 24.0) -> DataFram
 
     For output mode update. A conversation's state is a list of its last turns by number, which end `hours` after they were
     written. Rows that come late take their place among them, or none if `keep` later turns are there; of one number the text that came last
-    holds. The session's state store must be RocksDB: spark.sql.streaming.stateStore.providerClass = ROCKS.
+    holds. Start it within keeping().
     """
-    from collections.abc import Iterator
-
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 

@@ -27,7 +27,7 @@ BROADCAST_ROWS = 100_000
 #: Element names by what is done with them.
 RAW = frozenset("script style noscript template textarea title iframe svg math xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg math object canvas dialog menu title".split())
+DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg annotation annotation-xml canvas dialog menu title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -35,7 +35,9 @@ SCOPES = frozenset("table ul ol dl div section article main body td th".split())
 #: Words in class, id or role that mark what isn't main text.
 MARKED = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion comment comments discussion disqus feedback responses reply replies respond nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended pagination pager widget complementary contentinfo search login signup toolbar skip hidden".split())
 #: Of these, words that an article's own parts have too.
-OWN = frozenset("header masthead".split())
+OWN = frozenset("header masthead discussion feedback reply replies responses respond side aside notice notices alert share sharing social related recommended widget search login signup toolbar skip banner promo promotion subscription".split())
+#: Words that mark a compound name too where they begin it, as comment-list.
+LEADS = frozenset("comment comments disqus cookie cookies newsletter sidebar breadcrumb breadcrumbs pagination".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -46,10 +48,11 @@ _DIGITS = re.compile(r"\d+")
 class Element:
     """An element; children are elements and strings."""
 
-    __slots__ = ("children", "hash", "marks", "name", "parent", "words")
+    __slots__ = ("children", "hash", "marks", "name", "parent", "tokens", "words")
 
     def __init__(self, name: str, marks: str, parent: Element | None):
         self.name, self.marks, self.parent, self.children, self.hash = name, marks, parent, [], 0
+        self.tokens = frozenset(marks.split())
         self.words = frozenset(_SPLIT.split(marks)) if marks else frozenset()
 
 
@@ -141,12 +144,21 @@ def hash_subtrees(root: Element) -> list[Element]:
 
 
 def _unwanted(x: Element) -> bool:
+    """Whether an element isn't main text by its name or marks.
+
+    Outside articles and main elements any part of a class, id or role marks it. Inside, where words stand for what an article is
+    about too, only a whole one does, and none of OWN, or one that begins with a word of LEADS.
+    """
     if x.name in DROPPED:
         return True
+    own = _within(x.parent, ("article", "main"))
     if x.name == "header":
-        return not _within(x, ("article", "main"))
-    found = x.words & MARKED
-    return bool(found) and x.name not in ("html", "body", "article", "main") and not (found <= OWN and _within(x, ("article", "main")))
+        return not own
+    if x.name in ("html", "body", "article", "main"):
+        return False
+    if not own:
+        return bool(x.words & MARKED)
+    return bool((x.tokens & MARKED) - OWN) or any(_SPLIT.split(t)[0] in LEADS for t in x.tokens)
 
 
 def _within(x: Element, names: tuple[str, ...]) -> bool:

@@ -35,12 +35,15 @@ def text_of(root, template=frozenset()):
     """Blocks in page order, white space made one space, joined by empty lines."""
 
     def gone(x):
-        marks = set(re.split("[^a-z0-9]+", x.marks)) & st.MARKED if x.marks else set()
-        own = any(y.name in ("article", "main") for y in ancestors(x))
-        if x.name in st.DROPPED or x.name == "header" and not own:
-            return True
-        if x.name != "header" and marks and x.name not in ("html", "body", "article", "main") and not (marks <= {"header", "masthead"} and own):
+        own = any(y.name in ("article", "main") for y in ancestors(x.parent))
+        if x.name in {"nav", "footer", "aside", "form", "script", "style", "button"} | st.DROPPED or x.name == "header" and not own:
             return True
+        if x.name not in ("header", "html", "body", "article", "main") and x.marks:
+            names = x.marks.split()
+            if own and ({"comments", "ad", "advertisement", "navigation", "hidden", "sidebar"} & set(names) or (set(names) & st.MARKED) - st.OWN or any(re.match("(comments?|disqus|cookies?|newsletter|sidebar|breadcrumbs?|pagination)(?![a-z0-9])", t) for t in names)):
+                return True
+            if not own and set(re.split("[^a-z0-9]+", x.marks)) & st.MARKED:
+                return True
         return may_be_template(x, root) and shape(x) in template
 
     def shown(x):
@@ -120,3 +123,22 @@ def test_repeated_rows_mirrors_and_odd_pages(spark, most):
         text[r["page_id"]].add(r["text"])
     assert text[0] == {"Title a\n\nText a of the page"} and text[50] == text[1] and text[20] == {"Only text"}
     assert text[30] == {"Title same\n\nText same of the page"} and text[43] == {"1 < 2 next"}
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('<section id="discussion"><p>What it means.</p></section>', "What it means."),
+        ('<p id="search">Search for meaning.</p>', "Search for meaning."),
+        ('<h2 class="side">The other side</h2>', "The other side"),
+        ('<p class="hidden-gem">A gem.</p>', "A gem."),
+        ('<div class="related">Related work is old.</div>', "Related work is old."),
+        ('<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p>', "Let x=2 be."),
+        ('<object data="f.pdf">The figure shows it.</object>', "The figure shows it."),
+        ('<p class="notice alert">Notice this.</p>', "Notice this."),
+        ('<div class="comment-list">first!</div><ol id="comments"><li>me too</li></ol><div class="ad">buy</div><p hidden>secret</p><div role="navigation">next</div>', ""),
+    ],
+)
+def test_an_articles_own_words_stay(inner, text):
+    page = f'<html><body><div id="search">find</div><div class="related-links">more</div><article><h1>Title</h1>{inner}</article></body></html>'
+    assert st.main_text(st.parse(page)) == "\n\n".join(t for t in ("Title", text) if t)

@@ -130,12 +130,12 @@ def with_tests(coded: Column) -> Column:
                 (a["high"] + up).alias("high"),
             )
 
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["b"]["encoding"].alias("encoding"), k.alias("k"), n.alias("n"), F.aggregate(x, zero, step).alias("m"), F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda acc, g: acc + F.pow(F.size(F.filter(x, lambda v: F.floor(v * 8 / k) == g)).cast("double"), F.lit(2.0))).alias("squares"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["b"]["encoding"].alias("encoding"), k.alias("k"), n.alias("n"), F.aggregate(x, zero, step).alias("m"), F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda acc, g: acc + F.pow(F.size(F.filter(x, lambda v: F.floor(v * 8 / k) == g)).cast("double"), F.lit(2.0)) / (F.ceil((g + 1) * k / 8) - F.ceil(g * k / 8))).alias("squares"))
 
     def tests(s: Column) -> Column:
         n, m, k = s["n"], s["m"], s["k"]
-        # eight parts of the alphabet, expected alike but for rounding; Wilson and Hilferty's normal form of chi-squared
-        chi = s["squares"] * 8 / F.greatest(n, F.lit(1.0)) - n
+        # eight parts of the alphabet, each expected by its symbols; Wilson and Hilferty's normal form of chi-squared
+        chi = s["squares"] * k / F.greatest(n, F.lit(1.0)) - n
         z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / 7, F.lit(1 / 3)) - (1 - 2 / 63)) / (2 / 63) ** 0.5
         low = n - m["high"]
         mean = m["high"] * low * 2 / F.greatest(n, F.lit(1.0)) + 1

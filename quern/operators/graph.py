@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last version of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    """The last version of each key, null orders first; versions meet in partial aggregations, not in a sort of each key's."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(F.col(order).isNotNull(), F.col(order)))
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(last.alias("_r")).select("_r.*")
 
 
 def without_entities(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -75,6 +75,20 @@ def descend(queries: DataFrame, levels: list[DataFrame], width: int, k: int) ->
     return found.select("query_id", "node_id", "level", "score", "rank")
 
 
+def collapsed(queries: DataFrame, nodes: DataFrame, k: int, most: int = 3500) -> DataFrame:
+    """query_id, node_id, score, rank, tokens, cum: a tree's nodes of all layers as one list, nearest first, while their texts have `most` words together.
+
+    queries (query_id, v), nodes (node_id, v, text). At most k nodes a query are looked at; texts are joined to these only.
+    """
+    from quern.functions.text import words
+    from quern.functions.vectors import nearest
+    from quern.operators.fusion import within_budget
+
+    found = nearest(nodes.select("node_id", "v"), queries, k, exclude_same=True)
+    sized = found.join(nodes.select("node_id", F.size(words(F.col("text"))).cast("long").alias("tokens")), "node_id")
+    return within_budget(sized, most=most).select("query_id", "node_id", "score", "rank", "tokens", "cum")
+
+
 def depths(edges: DataFrame, most: int = 32) -> DataFrame:
     """node_id, depth of all nodes of edges (parent, child): hops to the root along the smallest parent, at most `most`.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import fusion, graph
+from quern.operators import fusion, graph, tree
 from quern.plans import queries as q
 from quern.plans import strategies
 from quern.plans.queries import SQL, query
@@ -106,6 +106,24 @@ def strategy_incident(spark, sf):
     return strategies.incident_aware(asked, strategies.runbooks_by_symptoms(asked, books), strategies.incidents_by_words(asked, told), services, needed, tree, tree)
 
 
+# a collapsed tree
+
+
+@query(f"""WITH {q._CENTERS}, own AS (SELECT vec_id, label, text, v FROM vec JOIN documents ON doc_id = vec_id), n AS (SELECT vec_id AS id, v, text FROM own UNION ALL SELECT 1000000000 + label, c, text FROM centers JOIN (SELECT label, arg_min(text, vec_id) AS text FROM own GROUP BY label) USING (label)),
+s AS (SELECT q.vec_id AS query_id, n.id AS node_id, {q._COS.format(a='q.v', b='n.v')} AS score FROM vec q JOIN benchmark ON item_id = q.vec_id JOIN n ON n.id <> q.vec_id),
+r AS (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 20),
+w AS (SELECT query_id, node_id, score, rank, len({q._WORDS})::BIGINT AS tokens FROM r JOIN n ON id = node_id)
+SELECT *, (sum(tokens) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS cum FROM w QUALIFY cum <= 3500""")
+def tree_collapsed(spark, sf):
+    """Documents and the summaries over them as one list, nearest first, within a budget of tokens."""
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    m = q._members(spark, sf).join(texts, "node_id")
+    heads = m.groupBy("cluster").agg(F.min_by("text", "node_id").alias("text"))
+    above = tree.centroids(m).join(heads, "cluster").select((F.lit(1_000_000_000) + F.col("cluster")).alias("node_id"), "v", "text")
+    leaves = m.select("node_id", F.col("v").cast("array<double>").alias("v"), "text")
+    return tree.collapsed(read(spark, sf, "benchmark").select(F.col("item_id").alias("node_id")).join(q._members(spark, sf).select("node_id", "v"), "node_id").select(F.col("node_id").alias("query_id"), "v"), leaves.unionByName(above), 20)
+
+
 # sources as files
 
 

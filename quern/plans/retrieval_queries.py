@@ -119,7 +119,7 @@ def tree_collapsed(spark, sf):
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
     m = q._members(spark, sf).join(texts, "node_id")
     heads = m.groupBy("cluster").agg(F.min_by("text", "node_id").alias("text"))
-    above = tree.centroids(m).join(heads, "cluster").select((F.lit(1_000_000_000) + F.col("cluster")).alias("node_id"), "v", "text")
+    above = tree.centroids(q._members(spark, sf)).join(heads, "cluster").select((F.lit(1_000_000_000) + F.col("cluster")).alias("node_id"), "v", "text")
     leaves = m.select("node_id", F.col("v").cast("array<double>").alias("v"), "text")
     return tree.collapsed(read(spark, sf, "benchmark").select(F.col("item_id").alias("node_id")).join(q._members(spark, sf).select("node_id", "v"), "node_id").select(F.col("node_id").alias("query_id"), "v"), leaves.unionByName(above), 20)
 

@@ -71,7 +71,8 @@ class WikiSource(DataSource):
     gives a page or None; a page is a dict of id, title, html, author, when (ISO time), version, parent (id or None).
     `pages` is how many pages of results there are at most, `run` how many one task reads; a task stops at one
     that isn't full. With spark.sql.python.filterPushdown.enabled a filter on updated_at (>, >=) is sent as `since`, to
-    the minute, and held exactly here, and id = '...' fetches that page only.
+    the minute, and held exactly here, and id = '...' fetches that page only. Spark keeps one reader for what a load() returns: load again
+    for another query that is planned before this one has run.
     """
 
     @classmethod

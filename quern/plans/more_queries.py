@@ -413,11 +413,12 @@ changed AS (SELECT DISTINCT label + 100000 AS p FROM embeddings JOIN documents O
 SELECT p AS node_id, md5(array_to_string(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')[1:60], ' ')) AS text_md5 FROM first JOIN changed USING (p)""")
 def tree_resummarised(spark, sf):
     """New summaries over changed leaves; the others keep theirs."""
-    leaves = _members(spark, sf).select("node_id", (F.col("cluster") + 100000).cast("long").alias("parent")).join(read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text"), "node_id")
+    # parents stand below zero, where no leaf's id is, however many leaves there are
+    leaves = _members(spark, sf).select("node_id", (-1 - F.col("cluster")).cast("long").alias("parent")).join(read(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text"), "node_id")
     edges = leaves.select("parent", F.col("node_id").alias("child"))
     nodes = leaves.select("node_id", "text").union(edges.select(F.col("parent").alias("node_id"), F.lit("old")).distinct())
     got = tree.resummarised(nodes, edges, leaves.where("node_id % 40 = 3").select("node_id"), ports.leading_summary)
-    return got.where((F.col("node_id") >= 100000) & (F.col("text") != "old")).select("node_id", F.md5("text").alias("text_md5"))
+    return got.where((F.col("node_id") < 0) & (F.col("text") != "old")).select((100000 - 1 - F.col("node_id")).alias("node_id"), F.md5("text").alias("text_md5"))
 
 
 @query("""WITH d AS (SELECT source AS tree_id, doc_id AS node_id, 1 AS version FROM documents)

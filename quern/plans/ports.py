@@ -8,27 +8,34 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import bound, words
+from quern.functions.text import words
 from quern.operators.chunks import sentences
 
 DIM = 64
 
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
-    """Signed feature hashing of a text's words, scaled to norm 1; a text without words is zero."""
-    spots = F.transform(words(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-
-    def summed(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(s, lambda x: x["at"] == k), F.lit(0.0), lambda a, x: a + x["s"]))
-
-    def scaled(v: Column) -> Column:
-        n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))
-
-    return bound(bound(spots, summed), scaled)
+    """Signed feature hashing of a text's words, scaled to norm 1; a text without words is zero.
+
+    Words are hashed by Spark, and the signs of a batch are summed at once, so the cost grows with the words and not with
+    the words times `dim`.
+    """
+    spots = F.transform(words(text), lambda w: (2 * F.pmod(F.xxhash64(w), F.lit(dim)) + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))).cast("int"))
+
+    @F.arrow_udf("array<double>")
+    def summed(lists: pa.Array) -> pa.Array:
+        flat, n = np.asarray(lists.flatten(), np.int64), len(lists)
+        row = np.repeat(np.arange(n), np.asarray(lists.value_lengths().fill_null(0)))
+        v = np.bincount(row * dim + flat // 2, weights=1.0 - 2 * (flat % 2), minlength=n * dim).reshape(n, dim)  # sums of ones: exact
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array((v / np.where(norm > 0, norm, 1.0)).ravel() + 0.0))
+
+    return summed(spots)
 
 
 def leading_summary(text: Column, most: int = 60) -> Column:

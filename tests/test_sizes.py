@@ -33,3 +33,19 @@ def far_ids(tmp_path):
 
 def test_parents_of_many_leaves(spark, far_ids):
     assert len(against_sql(spark, far_ids, "tree_resummarised")) > 1
+
+
+def test_embedding_costs_by_words(spark):
+    """Wide embeddings of many sentences take no longer for each of their components, and null and empty texts are zero."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quern.plans import ports
+
+    texts = spark.range(4000).select(F.when(F.col("id") > 1, F.concat_ws(" ", F.lit("a b c a"), "id")).when(F.col("id") == 1, "").alias("t"))
+    wide = texts.select(ports.hashed_embedding(F.col("t"), 4096).alias("v"))
+    began = time.monotonic()
+    got = wide.select(F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("q")).groupBy("n", "q").count().collect()
+    assert {(r["n"], r["q"]): r["count"] for r in got} == {(4096, 1.0): 3998, (4096, 0.0): 2}
+    assert time.monotonic() - began < 15

@@ -49,3 +49,24 @@ def test_embedding_costs_by_words(spark):
     got = wide.select(F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("q")).groupBy("n", "q").count().collect()
     assert {(r["n"], r["q"]): r["count"] for r in got} == {(4096, 1.0): 3998, (4096, 0.0): 2}
     assert time.monotonic() - began < 15
+
+
+def test_neighbours_of_all_in_bounded_products(spark, monkeypatch):
+    """All vectors as queries: products are small, each query gives k rows and not k a partition, in one block or several."""
+    import numpy as np
+
+    from quern.functions import vectors
+
+    v = np.random.default_rng(3).integers(-3, 4, (300, 5)).astype(float)
+    base = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(300, None), (301, [1.0])], "node_id long, v array<double>").repartition(7)
+    asked = base.withColumnRenamed("node_id", "query_id")
+    unit = np.where((n := np.linalg.norm(v, axis=1)) > 0, n, np.nan)
+    cosine = np.round(v @ v.T / (unit[:, None] * unit[None]), 6)
+    gap = -np.round(((v[:, None] - v[None]) ** 2).sum(2), 6)
+    for metric, s in (("cosine", cosine), ("l2", gap)):
+        want = {(a, b, r + 1) for a in range(300) for r, b in enumerate(sorted((b for b in range(300) if b != a and np.isfinite(s[a, b])), key=lambda b: (-s[a, b], b))[:9])}
+        for size in (64 << 20, 4096):
+            monkeypatch.setattr(vectors, "QUERY_BYTES", size)
+            monkeypatch.setattr(vectors, "PRODUCT_BYTES", 8 * 300 * 7)
+            assert {(r["query_id"], r["node_id"], r["rank"]) for r in vectors.nearest(base, asked, 9, metric, True).collect()} == want
+            assert {(r["query_id"], r["node_id"], r["rank"]) for r in vectors.nearest(base, asked.where("query_id < 50"), 9, metric, True).collect()} == {x for x in want if x[0] < 50}

@@ -70,3 +70,22 @@ def test_neighbours_of_all_in_bounded_products(spark, monkeypatch):
             monkeypatch.setattr(vectors, "PRODUCT_BYTES", 8 * 300 * 7)
             assert {(r["query_id"], r["node_id"], r["rank"]) for r in vectors.nearest(base, asked, 9, metric, True).collect()} == want
             assert {(r["query_id"], r["node_id"], r["rank"]) for r in vectors.nearest(base, asked.where("query_id < 50"), 9, metric, True).collect()} == {x for x in want if x[0] < 50}
+
+
+def test_similar_sets_meet_few_others(spark, monkeypatch):
+    """Sets of few different items share many: the pairs that leave the join are hardly more than the similar ones, and none of these is missed."""
+    import random
+
+    from quern.operators import joins
+
+    rnd, sets = random.Random(5), []
+    for k in range(240):
+        sets.append(set(rnd.sample(range(300), rnd.randint(1, 120))) if k % 3 or not k else set(x for x in sets[-1] if rnd.random() > 0.08) | {rnd.randrange(300)})
+    written = []
+    keep = joins.materialised
+    monkeypatch.setattr(joins, "materialised", lambda df: written.append(keep(df)) or written[-1])
+    got = {(r["id"], r["other"]) for r in joins.set_similarity(spark.createDataFrame([(k, list(x)) for k, x in enumerate(sets)], "id long, items array<long>"), top=None).collect()}
+    want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a != b and len(x & y) / len(x | y) >= 0.75}
+    assert got == want and len(want) > 80
+    pairs = [df.count() for df in written if df.columns == ["x", "y"]]
+    assert len(pairs) == 1 and pairs[0] < 10 * len(want)

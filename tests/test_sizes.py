@@ -89,3 +89,12 @@ def test_similar_sets_meet_few_others(spark, monkeypatch):
     assert got == want and len(want) > 80
     pairs = [df.count() for df in written if df.columns == ["x", "y"]]
     assert len(pairs) == 2 and pairs[0] < 10 * len(want) and pairs[1] < 2 * len(want)
+
+
+def test_nothing_near_or_similar_in_empty_tables(spark):
+    from quern.functions import vectors
+    from quern.operators import joins
+
+    base = spark.createDataFrame([], "node_id long, v array<double>")
+    assert vectors.nearest(base, base.withColumnRenamed("node_id", "query_id"), 3).collect() == []
+    assert joins.set_similarity(spark.createDataFrame([], "id long, items array<string>")).collect() == []

@@ -204,7 +204,9 @@ def cited_context(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, context, citations of ranked (query_id, node_id, rank) and nodes (node_id, text, source): each source numbered as it is first met."""
     from pyspark.sql import Window
 
-    met = ranked.join(nodes, "node_id").withColumn("first", F.min("rank").over(Window.partitionBy("query_id", "source")))
+    from quern.operators.joins import looked_up
+
+    met = looked_up(ranked, nodes).withColumn("first", F.min("rank").over(Window.partitionBy("query_id", "source")))
     numbered = met.withColumn("n", F.when(F.col("source").isNotNull(), F.dense_rank().over(Window.partitionBy("query_id", F.col("source").isNull()).orderBy("first"))))
     short = F.when(F.length("source") > 80, F.concat(F.substring("source", 1, 77), F.lit("..."))).otherwise(F.col("source"))
     flat = F.regexp_replace("text", r"[\r\n]+", " ")

@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 _DOC = "struct<id:string,_id:string,doc_id:string,title:string,name:string,passage:string,content:string,text:string,type:string>"
 
+#: Stands between the JSON values of a sequence.
+SEPARATOR = "\x1e"
+
 
 def _chain(*names: str) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.col(f"d.{n}")), F.lit("")) for n in names))
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, title, content, type of JSON files: one document, a list, or a map of documents by id. Empty contents go."""
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("j"))
+    """doc_id, title, content, type of JSON files: one document, a list, or a map of documents by id. Empty contents go.
+
+    A file is one JSON value, or a sequence of values between record separators (RFC 7464). JSON never has that character
+    itself, so a file of one value is read whole, and one of many value by value, by as many tasks as its size asks for.
+    """
+    raw = spark.read.text(path, lineSep=SEPARATOR).select(F.trim("value").alias("j"))
     many = raw.where(F.startswith("j", F.lit("["))).select(F.posexplode(F.from_json("j", f"array<{_DOC}>")).alias("k", "d")).select(F.col("k").cast("string").alias("key"), "d")
     one = raw.where(~F.startswith("j", F.lit("[")))
     # an object with a text of its own is a document, any other a map of documents

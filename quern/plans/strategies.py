@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scoring, text
 from quern.operators import fusion
+from quern.store import materialised
 
 Search = Callable[[DataFrame], DataFrame]
 #: What a query is reworded with, by intent; strategies by intent; share of graph and tree.
@@ -141,17 +142,22 @@ def adaptive_depth(queries: DataFrame, search_layer: Callable[[DataFrame, int],
     """query_id, node_id, score, layer: from a start by intent, queries stop where the mean score is 0.7, go up below 0.3, else down.
 
     Each round searches the queries that stand at each layer; a layer is visited once, so at most `deepest` + 1 rounds run.
-    What middling layers found is kept.
+    What middling layers found is kept. A round's queries and what they found are written, as each is read several times
+    and plans would else hold all earlier rounds as often.
     """
     intent = text.intent(F.col("text"))
     start = F.when(intent.isin("factual", "troubleshooting"), 0).when(intent == "exploratory", 2).otherwise(1)
-    at = queries.withColumn("layer", F.least(start, F.lit(deepest))).withColumn("seen", F.array("layer"))
+    at = queries.select("query_id", "text", F.least(start, F.lit(deepest)).alias("layer")).withColumn("seen", F.array("layer"))
     kept = None
     for _ in range(deepest + 1):
+        at = materialised(at)
+        if kept is not None and at.isEmpty():
+            break
         found = None
         for layer in range(deepest + 1):
             part = search_layer(at.where(F.col("layer") == layer).select("query_id", "text"), layer).withColumn("layer", F.lit(layer))
             found = part if found is None else found.unionByName(part)
+        found = materialised(found)
         means = found.groupBy("query_id").agg(F.avg("score").alias("mean"))
         met = at.join(means, "query_id", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
         good = met.where("mean >= 0.3").select("query_id")

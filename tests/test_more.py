@@ -85,6 +85,21 @@ def test_adaptive_depth_ends(spark):
     assert got == {(1, 1, 0), (2, 7, 1), (3, 1, 0)}
 
 
+def test_adaptive_depth_plan(spark):
+    """A round more adds its own joins to the plan, not those of all rounds before as often as it reads them."""
+    q = spark.createDataFrame([(1, "plain text")], "query_id long, text string")
+    joins = []
+    for deepest in (0, 1, 2):
+
+        def layer(queries, k, deepest=deepest):
+            return search_of(spark, [("plain text", k, 0.5 if k == deepest else 0.1)])(queries)
+
+        got = strategies.adaptive_depth(q, layer, deepest, 5)
+        assert [(r["query_id"], r["node_id"], r["score"], r["layer"]) for r in got.collect()] == [(1, deepest, 0.5, deepest)]
+        joins.append(got._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+    assert joins[2] - joins[1] == joins[1] - joins[0]
+
+
 def test_orchestrated(spark):
     q = spark.createDataFrame([(1, "plain")], "query_id long, text string")
     nodes = spark.createDataFrame([(1, 1.0, "a", 0), (2, 0.0, "a", 0), (3, 1.0, "b", 2)], "node_id long, importance double, source string, layer int")

@@ -98,3 +98,45 @@ def test_nothing_near_or_similar_in_empty_tables(spark):
     base = spark.createDataFrame([], "node_id long, v array<double>")
     assert vectors.nearest(base, base.withColumnRenamed("node_id", "query_id"), 3).collect() == []
     assert joins.set_similarity(spark.createDataFrame([], "id long, items array<string>")).collect() == []
+
+
+def test_neighbours_of_all_leave_tasks_ranked(spark, monkeypatch):
+    """Queries pass several blocks in one task: no k for each block is shuffled. Copies, far more than k, tie by id, in single and double precision."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quern.functions import vectors
+
+    rng = np.random.default_rng(11)
+    v = rng.random((900, 8)).astype(np.float32)
+    v[200:600] = v[200]
+    v[700:] *= 1000
+    v[3], v[4] = 0, np.nan
+    base = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(900, None)], "node_id long, v array<float>")
+    asked = base.withColumnRenamed("node_id", "query_id")
+    w = v.astype(np.float64)
+    unit = np.where((n := np.linalg.norm(w, axis=1)) > 0, n, np.nan)
+    for metric, s in (("cosine", np.round(w @ w.T / (unit[:, None] * unit[None]), 6)), ("l2", -np.round(((w[:, None] - w[None]) ** 2).sum(2), 6))):
+        want = {(a, b, r + 1) for a in range(900) for r, b in enumerate(sorted((b for b in range(900) if b != a and np.isfinite(s[a, b])), key=lambda b: (-s[a, b], b))[:7])}
+        for kind in ("array<float>", "array<double>"):
+            cast = F.col("v").cast(kind)
+            for size, cut in ((64 << 20, 1 << 31), (12000, 100_000)):
+                monkeypatch.setattr(vectors, "QUERY_BYTES", size)
+                monkeypatch.setattr(vectors, "PAIRS", cut)
+                got = vectors.nearest(base.withColumn("v", cast), asked.withColumn("v", cast), 7, metric, True)
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert {(r["query_id"], r["node_id"], r["rank"]) for r in got.collect()} == want
+                if kind == "array<float>":
+                    assert "Window" not in plan and plan.count("MapInArrow") == 1
+                if cut < 1 << 31:
+                    assert got.rdd.getNumPartitions() >= 8
+
+
+def test_neighbour_graph_counts_pairs_once(spark):
+    """A pair that both ends found weighs 1, one that one found a half; rows are searched and dealt once for both ways round."""
+    from quern.operators import neighbour_graph
+
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (5, 5)], "node_id long, other long")
+    got = neighbour_graph.symmetric(pairs)
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1.0), (2, 1, 1.0), (3, 1, 0.5), (1, 3, 0.5), (5, 5, 1.0)}
+    assert "Union" not in got._jdf.queryExecution().executedPlan().toString()

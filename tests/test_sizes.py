@@ -139,3 +139,33 @@ def test_neighbour_graph_counts_pairs_once(spark):
     got = neighbour_graph.symmetric(pairs)
     assert {tuple(r) for r in got.collect()} == {(1, 2, 1.0), (2, 1, 1.0), (3, 1, 0.5), (1, 3, 0.5), (5, 5, 1.0)}
     assert "Union" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_sets_are_told_apart_before_they_are_sent(spark, monkeypatch):
+    """Maps grow with the sets: pairs of large sets that fall short aren't sent with them, and of maps of two widths the wider is folded."""
+    import random
+
+    from quern.operators import joins
+
+    rnd = random.Random(8)
+    base = rnd.sample(range(10**9), 4000)
+    sets = [set(rnd.sample(base, 2300)) | {k} for k in range(24)]  # any two share about two fifths
+    sets += [set(base[:1050]), set(base[:1000]), set(base[:1300])]  # on both sides of a width
+    written, keep = [], joins.materialised
+    monkeypatch.setattr(joins, "materialised", lambda df: written.append(keep(df)) or written[-1])
+    got = {(r["id"], r["other"]) for r in joins.set_similarity(spark.createDataFrame([(k, list(x)) for k, x in enumerate(sets)], "id long, items array<long>"), top=None).collect()}
+    want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a != b and len(x & y) / len(x | y) >= 0.75}
+    assert got == want and len(want) == 6
+    assert [df.count() for df in written if df.columns == ["x", "y"]][-1] == 3
+
+
+def test_copies_on_both_sides_offer_few_ids(spark):
+    """Across a field, each row gets its `top` others however many copies there are, as without that bound."""
+    from quern.operators import joins
+
+    rows = [((k % 2, k), [1, 2, 3, 4]) for k in range(40)] + [((k % 2, k), [1, 2, 3, 4, 5]) for k in range(40, 60)] + [((0, 99), [7])]
+    df = spark.createDataFrame(rows, "id struct<old: int, doc: long>, items array<long>")
+    every = joins.set_similarity(df, top=None, across="old").where("rank <= 2")
+    few = joins.set_similarity(df, top=2, across="old")
+    assert sorted(map(str, few.collect())) == sorted(map(str, every.collect())) and few.count() == 120
+    assert "WindowGroupLimit [y" in few._jdf.queryExecution().executedPlan().toString()
